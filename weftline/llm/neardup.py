@@ -249,7 +249,7 @@ def _links(clusters: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int")
     placed = clusters.withColumn("block", block)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    mine = texts.join(placed.select("doc_id", "cluster", "blocks", "block"), "doc_id")
+    mine = texts.join(placed.select("doc_id", "cluster", "blocks", "block").hint("merge"), "doc_id")  # alike at every size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
