@@ -43,6 +43,7 @@ CAPACITY = 2048
 GROUPS = 96
 SMALL = 4
 SALT_ROWS = 100_000
+SLICE_BYTES = 10 << 20  # a larger slice has fewer words new to it
 
 
 def encode_words(texts: pa.Array, name: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, name: str = VOCABULARY)
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             ids, off = encode_words(texts_of(batch), name)
             rows: list[list] = [[], [], [], [], []]
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
