@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 4 << 20
@@ -126,25 +127,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences by byte planes; the high planes are zeros, which the shuffle's codec removes."""
+    """Sorted 64-bit keys as differences by byte planes, compressed: the high planes are mostly zeros."""
     v = values.astype(np.uint64)
-    return np.ascontiguousarray(np.diff(v, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return planes(np.diff(v, prepend=np.uint64(0)))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Any numbers by byte planes."""
+    """Any numbers by byte planes, compressed."""
     width = values.dtype.itemsize
-    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T).tobytes()
+    raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unplanes(data: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
 def shared_folder(spark: SparkSession) -> str:
