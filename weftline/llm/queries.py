@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, neardup, packing, quality, sharding, tokens, toxicity
+from . import katz, media, mixing, neardup, packing, quality, sharding, substring, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,10 +35,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies of every hundredth raster, searched among all rasters of ``embeddings``."""
+    images = media.rasters(table(spark, sf_dir, "embeddings"))
+    return media.search(images, media.edited(images.where(F.col("id") % 100 == 0)))
+
+
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +64,10 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_source_mixing": op4_source_mixing,
         "op5_token_counts": op5_token_counts,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_image_copies": op8_image_copies,
+        "op9_katz_scores": op9_katz_scores,
         "op10_near_duplicates": op10_near_duplicates,
     }
 
