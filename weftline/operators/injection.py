@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Injection
+from ..functions.once import evaluated
 
 CHUNK = "array<struct<index: int, text: string, byte_offset: int, length: int>>"
 LABELS = "array<struct<label: string, score: double>>"
@@ -49,7 +50,6 @@ def with_chunks(docs: DataFrame, limit: int = Injection.max_chunk_bytes, text: s
     limit = limit if limit > 0 else 1200
     paragraphs = F.split(F.col(text), "\n\n", -1)
     fits = F.forall(paragraphs, lambda p: F.octet_length(p) <= limit)
-    schema = docs.schema.simpleString()[7:-1].replace(":", " ", 0)
     native = docs.where(F.coalesce(fits, F.lit(True))).withColumn("chunks", _native_chunks(F.coalesce(F.col(text), F.lit(""))))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", chunks {CHUNK}"
 
@@ -122,7 +122,8 @@ def process(docs: DataFrame, config: Injection = Injection(enabled=True), text:
     if not config.enabled:
         return docs.withColumns({"inj_checked": F.lit(False), "inj_action": F.lit("skipped"), "inj_blocked": F.lit(False), "inj_mode": F.lit(config.mode), "chunk_count": F.lit(0), "over_count": F.lit(0), "max_score": F.lit(0.0), "mean_score": F.lit(None).cast("double")})
     mode = config.mode if config.mode in ("audit", "annotate", "block") else "audit"
-    rows = score_chunks(with_chunks(docs, config.max_chunk_bytes, text), config, scorer)
+    rows = evaluated(with_chunks(docs, config.max_chunk_bytes, text), "chunks")
+    rows = evaluated(score_chunks(rows, config, scorer), "chunk_scores")
     scores = F.transform("chunk_scores", lambda s: s["injection_score"])
     n = F.size("chunk_scores")
     ok = ~F.exists(scores, lambda s: s.isNull())
@@ -132,4 +133,5 @@ def process(docs: DataFrame, config: Injection = Injection(enabled=True), text:
     total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)
     rows = rows.withColumns({"inj_checked": ok, "inj_action": action, "inj_blocked": action == "blocked", "inj_mode": F.lit(mode), "chunk_count": n, "over_count": F.when(ok, over).otherwise(0), "max_score": F.when(ok & (n > 0), F.greatest(F.lit(0.0), F.array_max(scores))).otherwise(0.0), "mean_score": F.when(ok & (n > 0), total / n)})
     marked = annotate(F.col(text), F.col("chunks"), F.col("chunk_scores"), config.open_mark, config.close_mark)
+    rows = evaluated(rows, "inj_action", "inj_checked", "inj_blocked")
     return rows.withColumn(text, F.when(F.col("inj_action") == "blocked", F.lit("")).when(F.col("inj_action") == "annotated", marked).otherwise(F.col(text))).drop("chunks", "chunk_scores")

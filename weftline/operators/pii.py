@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import PII
+from ..functions.once import evaluated, let
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ REPLACEMENTS = {"DEFAULT": "<REDACTED>", "PERSON": "<PERSON>", "PHONE_NUMBER": "
 MASKED = {"EMAIL_ADDRESS": ("*", 100)}
 BLANK = "\u0001"
 
+SORTED = "array<struct<start: int, end: int, entity_type: string, score: double>>"
 ENTITIES = "array<struct<entity_type: string, start: int, end: int, score: double>>"
 
 
@@ -45,7 +47,7 @@ def chosen(config: PII) -> list[Recogniser]:
 
 
 def _is(match: Column, r: Recogniser) -> Column:
-    return F.coalesce(F.luhn_check(F.regexp_replace(match, "[ -]", "")), F.lit(False)) if r.luhn else F.lit(True)
+    return F.coalesce(F.call_function("luhn_check", F.regexp_replace(match, "[ -]", "")), F.lit(False)) if r.luhn else F.lit(True)
 
 
 def _rebuilt(text: Column, r: Recogniser, new) -> Column:
@@ -55,27 +57,44 @@ def _rebuilt(text: Column, r: Recogniser, new) -> Column:
     return F.when(text.rlike(r.pattern), F.array_join(F.zip_with(gaps, matches, piece), "")).otherwise(text)
 
 
-def detect(docs: DataFrame, text: str = "content", config: PII = PII()) -> DataFrame:
-    """Adds entities: spans in characters, sorted by start.  One column for each recogniser keeps the plan linear."""
-    out = docs.withColumn("_left", F.col(text))
-    spans = []
-    for k, r in enumerate(chosen(config)):
-        gaps, matches = F.split("_left", r.pattern, -1), F.regexp_extract_all("_left", F.lit(r.pattern), F.lit(0))
-        pieces = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m"), F.when(m.isNotNull(), _is(m, r)).otherwise(False).alias("ok")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(ENTITIES).alias("out"))
-
-        def step(a: Column, x: Column, r: Recogniser = r) -> Column:
-            start = a["at"] + x["g"]
-            found = F.struct(F.lit(r.entity).alias("entity_type"), start.alias("start"), (start + x["m"]).alias("end"), F.lit(r.score).alias("score"))
-            return F.struct((start + x["m"]).alias("at"), F.when(x["ok"], F.array_append(a["out"], found)).otherwise(a["out"]).alias("out"))
-
-        empty = F.array().cast(ENTITIES)
-        out = out.withColumn(f"_s{k}", F.when(F.col("_left").rlike(r.pattern), F.aggregate(pieces, zero, step)["out"]).otherwise(empty))
-        spans.append(f"_s{k}")
-        out = out.withColumn("_left", _rebuilt(F.col("_left"), r, lambda m: F.repeat(F.lit(BLANK), F.length(m))))
-    by_start = F.sort_array(F.transform(F.concat(*spans) if spans else F.array().cast(ENTITIES), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["entity_type"].alias("entity_type"), e["score"].alias("score"))))
+def spans_of(text: Column, config: PII = PII()) -> Column:
+    """Spans in characters, sorted by start."""
+    state = F.struct(text.alias("left"), F.array().cast(SORTED).alias("out"))
+    for r in chosen(config):
+        state = let(state, _recognised(r))
+    by_start = F.array_sort(state["out"])
     named = F.transform(by_start, lambda e: F.struct(e["entity_type"].alias("entity_type"), e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score")))
-    return out.withColumn("entities", named).drop("_left", *spans)
+    return F.when(text.isNotNull(), named)
+
+
+def _recognised(r: Recogniser):
+    """One recogniser over (text with earlier matches blanked, spans so far)."""
+
+    def use(s: Column) -> Column:
+        left = s["left"]
+        gaps, matches = F.split(left, r.pattern, -1), F.regexp_extract_all(left, F.lit(r.pattern), F.lit(0))
+        pieces = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m"), F.when(m.isNotNull(), _is(m, r)).otherwise(False).alias("ok")))
+        found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SORTED).alias("out")), _located(r))["out"]
+        blanked = _rebuilt(left, r, lambda m: F.repeat(F.lit(BLANK), F.length(m)))
+        return F.when(left.rlike(r.pattern), F.struct(blanked.alias("left"), F.concat(s["out"], found).alias("out"))).otherwise(s)
+
+    return use
+
+
+def detect(docs: DataFrame, text: str = "content", config: PII = PII()) -> DataFrame:
+    """Adds entities."""
+    return evaluated(docs.withColumn("entities", spans_of(F.col(text), config)), "entities")
+
+
+def _located(r: Recogniser):
+    """The step of a fold over (gap, match) lengths that collects spans."""
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["g"]
+        found = F.struct(start.alias("start"), (start + x["m"]).alias("end"), F.lit(r.entity).alias("entity_type"), F.lit(r.score).alias("score"))
+        return F.struct((start + x["m"]).alias("at"), F.when(x["ok"], F.array_append(a["out"], found)).otherwise(a["out"]).alias("out"))
+
+    return step
 
 
 def replacement(entity: Column, match: Column) -> Column:
@@ -138,4 +157,4 @@ def process(docs: DataFrame, config: PII = PII(), text: str = "content") -> Data
     label = F.when(blocked, "block").otherwise("redact" if mode == "block" else mode)
     out = found.withColumns({"pii_checked": checked, "pii_blocked": blocked, "pii_action": action, "pii_mode": label, "entity_count": F.coalesce(F.when(checked, F.size(spans)), F.lit(0)), "pii_audit": audit_entities(spans)})
     changed = F.when(F.col("pii_blocked"), F.lit("")).when(F.col("pii_action") == "redacted", redact(content, spans)).otherwise(content)
-    return out.withColumn(text, changed)
+    return evaluated(out.withColumn(text, changed), text, "pii_action", "pii_blocked", "pii_checked")
