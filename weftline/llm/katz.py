@@ -9,7 +9,7 @@ context without training tokens gives P(word).
 
 No count is broadcast, since vocabularies grow with the corpus:
 
-1. Texts become blocks of word codes (about 8 MB of text each), stored once.
+1. Texts become blocks of word codes (about 5 MB of text each), stored once.
 2. Each block sends its distinct bigrams with training counts, packed, to the bucket of the second word.
    There, sums over blocks give the bigram's and the word's counts; these go back to the blocks, and
    the table of training bigrams is stored by bucket with both counts, with counts of counts.
@@ -41,8 +41,8 @@ from ._arrow import Words, hash64, kept, pack, partitions, planes, shared_folder
 
 LAST = 5
 HIGH = 0.999
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 5 << 20
+BUCKET_BYTES = 8 << 20
 HELD = 10
 
 START, END = hash64(["\x01 start", "\x02 end"])  # no word holds a space
@@ -161,14 +161,14 @@ class Block:
 def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
+            for k in range(batch.num_rows):
+                block = Block(batch.slice(k, 1).to_pylist()[0])
                 second, first, n = block.hashes(block.second), block.hashes(block.first), block.training_counts()
                 ends = np.searchsorted(bucket_of(second, buckets), np.arange(buckets + 1))
                 out: list[list] = [[], [], [], [], []]
-                for k in np.flatnonzero(np.diff(ends)).tolist():
-                    a, b = ends[k], ends[k + 1]
-                    for column, x in zip(out, (k, block.number, pack(second[a:b]), planes(first[a:b]), planes(n[a:b].astype(np.int32))), strict=True):
+                for bucket in np.flatnonzero(np.diff(ends)).tolist():
+                    a, b = ends[bucket], ends[bucket + 1]
+                    for column, x in zip(out, (bucket, block.number, pack(second[a:b]), planes(first[a:b]), planes(n[a:b].astype(np.int32))), strict=True):
                         column.append(x)
                 kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 3)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["bucket", "block", "second", "first", "n"])
