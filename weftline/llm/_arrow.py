@@ -34,6 +34,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
+            pa.default_memory_pool().release_unused()  # executors share little memory with their Python workers
             start = stop
 
 
@@ -149,6 +150,15 @@ def unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
+def sparse(buckets: np.ndarray, shares: np.ndarray) -> tuple[bytes, bytes]:
+    """Features of one example, small enough that a driver holds thousands: shares are kept to three digits."""
+    return planes(np.diff(buckets.astype(np.uint32), prepend=np.uint32(0))), planes((shares * 1024).astype(np.float16))
+
+
+def unsparse(buckets: bytes, shares: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unplanes(buckets, np.uint32), dtype=np.uint32).astype(np.int64), unplanes(shares, np.float16).astype(np.float64) / 1024
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, else (only where it is unset, as in tests) under a folder of this user."""
     base = spark.conf.get("spark.checkpoint.dir", None)

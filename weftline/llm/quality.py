@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrow import Words, mixed, rolled, slices, sums, texts_of, utf8
+from ._arrow import Words, mixed, rolled, slices, sparse, sums, texts_of, unsparse, utf8
 
 SAMPLE = 3000
 BITS = 18
@@ -30,7 +30,6 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 KEEP_THRESHOLD = 0.5
 WINDOW = 8
-KINDS = 4
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -139,12 +138,12 @@ def _features(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
             for i, (a, b) in enumerate(zip(start, stop, strict=True)):
                 where, n = np.unique(buckets[a:b], return_counts=True)
                 rows[i].append((where, (n / max(1, b - a)).astype(np.float32)))
-        where = [np.concatenate([x for x, _ in r]).astype(np.int32).tobytes() for r in rows]
-        value = [np.concatenate([x for _, x in r]).astype(np.float32).tobytes() for r in rows]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("_order"), pa.array(where, pa.binary()), pa.array(value, pa.binary())], names=["label", "_order", "buckets", "shares"])
+        packed = [sparse(np.concatenate([x for x, _ in r]), np.concatenate([x for _, x in r])) for r in rows]
+        columns = [pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("_order"), *columns], names=["label", "_order", "buckets", "shares"])
 
 
-def _fit(examples: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs: int = 12) -> QualityModel:
+def _fit(examples: list[tuple[int, bytes, bytes]], bits: int, epochs: int = 12) -> QualityModel:
     labels = np.array([y for y, _, _ in examples], np.float64)
     if not len(labels) or labels.min() == labels.max():
         share = labels.mean() if len(labels) else 1.0
@@ -158,9 +157,9 @@ def _fit(examples: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs:
         order = random.permutation(train)
         for at in range(0, len(order), 64):
             some = order[at : at + 64]
-            where = np.concatenate([examples[i][1] for i in some])
-            share = np.concatenate([examples[i][2] for i in some]).astype(np.float64)
-            count = np.array([len(examples[i][1]) for i in some])
+            bags = [unsparse(*examples[i][1:]) for i in some]
+            where, share = np.concatenate([w for w, _ in bags]), np.concatenate([s for _, s in bags])
+            count = np.array([len(w) for w, _ in bags])
             row = np.repeat(np.arange(len(some)), count)
             logit = np.bincount(row, share * weights[where], len(some)) + bias
             error = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - labels[some]) * np.array([balance[y] for y in labels[some]]) / len(some)
@@ -170,7 +169,7 @@ def _fit(examples: list[tuple[int, np.ndarray, np.ndarray]], bits: int, epochs:
             weights[used] -= 1.0 * slope / np.sqrt(squares[used])
             bias_square += error.sum() ** 2
             bias -= 0.1 * error.sum() / np.sqrt(bias_square)
-    logit = np.array([float(np.dot(s, weights[w])) + bias for _, w, s in examples])
+    logit = np.array([float(np.dot(s, weights[w])) + bias for w, s in (unsparse(*x[1:]) for x in examples)])
     a, b = _platt(logit[held], labels[held])
     return QualityModel(weights.astype(np.float32), bias, a, b)
 
@@ -202,7 +201,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     chosen = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = chosen.join(docs.select("doc_id", "text"), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("_order"), "text")
     got = rows.mapInArrow(lambda it: _features(it, bits), "label int, _order long, buckets binary, shares binary").orderBy("_order").limit(2 * sample).toArrow()
-    return _fit([(y, np.frombuffer(w, np.int32), np.frombuffer(s, np.float32)) for y, w, s in zip(got["label"].to_pylist(), got["buckets"].to_pylist(), got["shares"].to_pylist(), strict=True)], bits)
+    return _fit(list(zip(got["label"].to_pylist(), got["buckets"].to_pylist(), got["shares"].to_pylist(), strict=True)), bits)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_THRESHOLD, sample: int = SAMPLE) -> DataFrame:

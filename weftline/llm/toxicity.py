@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrow import Words, ragged, slices, sums, texts_of, utf8
+from ._arrow import Words, ragged, slices, sparse, sums, texts_of, unsparse, utf8
 
 BITS = 19
 DIM = 8
@@ -116,12 +116,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             each = np.repeat(weight[a:b] / size[code[a:b]], size[code[a:b]])
             used, inverse = np.unique(bucket[ragged(off[code[a:b]], size[code[a:b]])], return_inverse=True)
-            where.append(used.astype(np.int32).tobytes())
-            share.append(np.bincount(inverse, each, len(used)).astype(np.float32).tobytes())
+            packed = sparse(used, np.bincount(inverse, each, len(used)))
+            where.append(packed[0])
+            share.append(packed[1])
         yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("_order"), pa.array(where, pa.binary()), pa.array(share, pa.binary())], names=["label", "_order", "buckets", "shares"])
 
 
-def _fit(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 2.0) -> ToxicModel:
+def _fit(examples: list[tuple[int, bytes, bytes]], epochs: int = 12, rate: float = 2.0) -> ToxicModel:
     labels = np.array([y for y, _, _ in examples], np.int64)
     size = 1 << BITS
     if not len(labels) or labels.min() == labels.max():
@@ -137,9 +138,9 @@ def _fit(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, r
         order = random.permutation(len(labels))
         for at in range(0, len(order), 32):
             some = order[at : at + 32]
-            where = np.concatenate([examples[i][1] for i in some])
-            share = np.concatenate([examples[i][2] for i in some]).astype(np.float64)
-            starts = np.concatenate([[0], np.cumsum([len(examples[i][1]) for i in some])])
+            bags = [unsparse(*examples[i][1:]) for i in some]
+            where, share = np.concatenate([w for w, _ in bags]), np.concatenate([s for _, s in bags])
+            starts = np.concatenate([[0], np.cumsum([len(w) for w, _ in bags])])
             total = np.concatenate([np.zeros((1, DIM)), np.cumsum(table[where] * share[:, None], axis=0)])
             bag = total[starts[1:]] - total[starts[:-1]]
             out = bag @ layer + bias
@@ -172,7 +173,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     one = lambda y: rows.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
     joined = one(0).unionByName(one(1)).join(docs.select("doc_id", "text"), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("_order"), "text")
     got = joined.mapInArrow(_bags, "label int, _order long, buckets binary, shares binary").orderBy("_order").limit(2 * sample).toArrow()
-    return _fit([(y, np.frombuffer(w, np.int32), np.frombuffer(s, np.float32)) for y, w, s in zip(got["label"].to_pylist(), got["buckets"].to_pylist(), got["shares"].to_pylist(), strict=True)])
+    return _fit(list(zip(got["label"].to_pylist(), got["buckets"].to_pylist(), got["shares"].to_pylist(), strict=True)))
 
 
 def _means(texts: pa.Array, model: ToxicModel) -> np.ndarray:
