@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 MAX_CONTENT = 5000
 TRUNCATED = "\n\n... [truncated]"
@@ -33,7 +34,7 @@ def sha256_hex(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def two_decimals(x: pd.Series) -> pd.Series:
     """Two decimals of the exact binary value; no built-in rounds like that."""
     return x.map(lambda v: None if v is None or v != v else f"{v:.2f}")
