@@ -289,9 +289,10 @@ def _masses(answers: DataFrame, stats: Stats, buckets: int) -> DataFrame:
 
 
 def _alphas(asked: pa.Table, masses: pa.Table) -> pa.Table:
-    """What alpha adds to each text that asks in this bucket."""
+    """What alpha adds to each text that asks in this bucket, packed by block."""
+    names = ["block", "bucket", "rows", "more"]
     if not asked.num_rows or not masses.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], names=["row", "more"])
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=names)
     join = lambda name, kind: np.concatenate([unplanes(x, kind) for x in masses.column(name).to_pylist()])
     context = np.concatenate([unpack(x) for x in masses.column("contexts").to_pylist()])
     order = np.argsort(context, kind="stable")
@@ -301,12 +302,24 @@ def _alphas(asked: pa.Table, masses: pa.Table) -> pa.Table:
     left = 1 - add(join("mass", np.float64)) / add(join("total", np.int64))
     rest = 1 - add(join("unigram", np.float64))
     alpha = np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
-    want = np.concatenate([unpack(x) for x in asked.column("contexts").to_pylist()])
-    row = np.concatenate([unplanes(x, np.int64) for x in asked.column("rows").to_pylist()])
-    n = np.concatenate([unplanes(x, np.int32) for x in asked.column("n").to_pylist()])
-    more = alpha[np.searchsorted(context[at], want)] * n
-    rows, where = np.unique(row, return_inverse=True)
-    return pa.table([pa.array(rows), pa.array(np.bincount(where, more, len(rows)))], names=["row", "more"])
+    out: list[list] = [[], [], [], []]
+    for contexts, rows, n in zip(*(asked.column(c).to_pylist() for c in ("contexts", "rows", "n")), strict=True):  # one row a block
+        row, n = unplanes(rows, np.int64), unplanes(n, np.int32)
+        more = alpha[np.searchsorted(context[at], unpack(contexts))] * n
+        texts, where = np.unique(row, return_inverse=True)
+        for column, x in zip(out, (int(row[0]) >> 24, asked.column("bucket")[0].as_py(), planes(texts), planes(np.bincount(where, more, len(texts)))), strict=True):
+            column.append(x)
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Sums over a block's buckets, in order of the buckets, so reruns agree to the last bit."""
+    table = table.sort_by("bucket")
+    rows = np.concatenate([unplanes(x, np.int64) for x in table.column("rows").to_pylist()])
+    more = np.concatenate([unplanes(x, np.float64) for x in table.column("more").to_pylist()])
+    texts, where = np.unique(rows, return_inverse=True)
+    return pa.table([pa.array(texts), pa.array(np.bincount(where, more, len(texts)))], names=["row", "more"])
 
 
 def katz_scores(docs: DataFrame) -> DataFrame:
@@ -329,8 +342,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
         return _alphas(left, right)
 
     asked = texts.where("kind = 'q'").select("bucket", "contexts", "rows", "n")
-    more = asked.groupBy("bucket").cogroup(_masses(answers, stats, buckets).groupBy("bucket")).applyInArrow(alphas, "row long, more double")
-    more = more.groupBy("row").agg(F.array_sort(F.collect_list("more")).alias("m"))  # at most one a bucket; added in one order, so reruns agree
-    more = more.select("row", F.aggregate("m", F.lit(0.0), lambda a, x: a + x).alias("more"))
+    more = asked.groupBy("bucket").cogroup(_masses(answers, stats, buckets).groupBy("bucket")).applyInArrow(alphas, "block long, bucket int, rows binary, more binary")
+    more = more.groupBy("block").applyInArrow(_added, "row long, more double")
     out = texts.where("kind = 't'").join(more, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stats.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
