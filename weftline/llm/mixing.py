@@ -57,10 +57,13 @@ def source_targets(sizes: DataFrame, ratio: float = RATIO, cap: float = CAP) ->
     return out.withColumn("target", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(cap * F.col("source_size").cast("double"), F.coalesce(F.col("weight") * F.col("level"), cap * F.col("source_size").cast("double")))))
 
 
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit(seed))
+
+
 def plan(docs: DataFrame, seed: int = 17, block_rows: int = BLOCK_ROWS, shards: int = OUTPUT_SHARDS) -> DataFrame:
-    """All rows of ``docs`` with size, source_size, target, taken, passes and the shard of each row's block."""
-    rows = docs.withColumn("_size", n_words(F.col("text")))
-    rows = rows.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit(seed)))
+    """(doc_id, source, _key) of all rows of ``docs``, without texts, with size, source_size, target, taken and the shard of each row's block."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("_size"), _key(seed).alias("_key"))
     sizes = rows.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("source_rows"))
     wanted = source_targets(sizes).select(
         F.col("source").alias("_source"), "source_size", "target", F.ceil(F.col("source_rows") / block_rows).alias("_blocks"),
@@ -118,14 +121,19 @@ def mixing_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: each row as often as whole passes take it, and the row cut by the target with its first words; rows lie shuffled in shards."""
     columns = docs.columns
-    planned = plan(docs, seed).where("taken > 0")
-    whole = F.expr("taken div size").cast("int")
-    part = F.col("taken") - whole * F.col("size")
-    first = F.array_join(F.slice(F.filter(F.split("text", SPACES), lambda w: w != ""), 1, F.col("_words").cast("int")), " ")
-    copies = planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole + (part > 0).cast("int"))))
-    copies = copies.withColumn("_words", F.when(F.col("_copy") > whole, part).otherwise(F.col("size")))
-    copies = copies.withColumn("text", F.when(F.col("_words") < F.col("size"), first).otherwise(F.col("text")))
+    whole = F.expr("taken div size")
+    part = F.expr("taken % size")
+    # rows that agree in id and text are one here, with the sum of what is taken of them; texts move once, in this join
+    identity = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_key"]
+    planned = plan(docs, seed).where("taken > 0").select(*identity, whole.alias("_whole"), part.alias("_part"), "size", "shard")
+    planned = planned.groupBy("_id", "_key").agg(F.sum("_whole").alias("_whole"), F.max("_part").alias("_part"), F.max("size").alias("_size"), F.first("shard").alias("_shard"))
+    texts = docs.withColumn("_key", _key(seed)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    taken = texts.join(planned, ["_id", "_key"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).where("_nth = 1")
+    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + (F.col("_part") > 0).cast("long"))))
+    words = F.when(F.col("_copy") > F.col("_whole"), F.col("_part")).otherwise(F.col("_size"))
+    first = F.array_join(F.slice(F.filter(F.split("text", SPACES), lambda w: w != ""), 1, words.cast("int")), " ")
+    copies = copies.withColumn("text", F.when(words < F.col("_size"), first).otherwise(F.col("text")))
     if "n_chars" in columns:
         copies = copies.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    local = F.xxhash64("_key", "_copy", F.lit(seed + 3))
-    return copies.withColumn("_local", local).repartition("shard", F.pmod("_local", F.lit(64))).sortWithinPartitions("shard", "_local").select(*columns)
+    # rows are dealt over tasks by a hash already; within a task, shards lie one after the other, shuffled
+    return copies.withColumn("_local", F.xxhash64("_key", "_copy", F.lit(seed + 3))).sortWithinPartitions("_shard", "_local").select(*columns)
