@@ -44,7 +44,7 @@ class AnchoredBucket(StatefulProcessor):
 
 def rate_limited(visits: DataFrame, per_minute: int) -> DataFrame:
     """visits: host, event_id, ts.  Needs the RocksDB state store."""
-    return visits.groupBy("host").transformWithStateInPandas(AnchoredBucket(per_minute), "host string, event_id long, ts timestamp, allowed boolean", "append", "none")
+    return visits.groupBy("host").transformWithStateInPandas(AnchoredBucket(per_minute), "host string, event_id long, ts timestamp, allowed boolean", "append", "processingtime")
 
 
 def rolling_error_rate(log: DataFrame, lateness: str = "10 minutes", size: str = "5 minutes", slide: str | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ class RuleCache(StatefulProcessor):
 
 def robots_checked(rows: DataFrame, ttl_ms: int) -> DataFrame:
     """rows: host, event_id, ts, path, kind, disallow_prefix; visits have a null kind."""
-    return rows.groupBy("host").transformWithStateInPandas(RuleCache(ttl_ms), "host string, event_id long, checked boolean, allowed boolean", "append", "none")
+    return rows.groupBy("host").transformWithStateInPandas(RuleCache(ttl_ms), "host string, event_id long, checked boolean, allowed boolean", "append", "processingtime")
 
 
 def export_provenance(records: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", once: bool = False):
