@@ -90,7 +90,7 @@ def _rows(kind: str, bucket: np.ndarray, keys: np.ndarray | None, extra: np.ndar
     order = np.argsort(bucket, kind="stable")
     ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1 if len(order) else np.zeros(0, np.int64)
     out: list[list] = [[] for _ in _NAMES]
-    for a, b in zip(np.concatenate([[0], ends[:-1]]).astype(int), ends, strict=True):
+    for a, b in zip([0, *ends[:-1]] if len(ends) else [], ends, strict=True):
         o = order[a:b]
         row = (kind, int(bucket[o[0]]), None if keys is None else pack(keys[o]), None if extra is None else planes(extra[o]), planes(docs[o]), planes(places[o].astype(np.int32)), None if flags is None else flags[o].astype(np.int8).tobytes())
         for column, x in zip(out, row, strict=True):
