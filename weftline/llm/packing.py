@@ -40,7 +40,7 @@ from .tokens import cached_words
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
-GROUPS = 96
+GROUPS = 160
 SMALL = 4
 SALT_ROWS = 100_000
 SLICE_BYTES = 10 << 20  # a larger slice has fewer words new to it
