@@ -32,7 +32,7 @@ def _by_time(rows, files):
 
 def drained(query_of, name, path):
     q = query_of.writeStream.format("memory").queryName(name).option("checkpointLocation", path).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
 
 
 def visits(spark, sf_dir):

@@ -17,10 +17,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class AnchoredBucket(StatefulProcessor):
     """N visits a window for each host; a window opens with the first visit at least 60 s after the last opening.
 
-    State per host is two numbers and lives for ``ttl_ms`` without visits.
+    State per host is two numbers and, where ``ttl_ms`` is given, lives that long without visits; a query with such a
+    state goes on making batches without data.
     """
 
-    def __init__(self, per_minute: int, ttl_ms: int = 3_600_000):
+    def __init__(self, per_minute: int, ttl_ms: int | None = None):
         self.per_minute, self.ttl_ms = per_minute, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -42,9 +43,13 @@ class AnchoredBucket(StatefulProcessor):
         pass
 
 
-def rate_limited(visits: DataFrame, per_minute: int) -> DataFrame:
+def _mode(ttl_ms: int | None) -> str:
+    return "processingtime" if ttl_ms else "none"
+
+
+def rate_limited(visits: DataFrame, per_minute: int, ttl_ms: int | None = None) -> DataFrame:
     """visits: host, event_id, ts.  Needs the RocksDB state store."""
-    return visits.groupBy("host").transformWithStateInPandas(AnchoredBucket(per_minute), "host string, event_id long, ts timestamp, allowed boolean", "append", "processingtime")
+    return visits.groupBy("host").transformWithStateInPandas(AnchoredBucket(per_minute, ttl_ms), "host string, event_id long, ts timestamp, allowed boolean", "append", _mode(ttl_ms))
 
 
 def rolling_error_rate(log: DataFrame, lateness: str = "10 minutes", size: str = "5 minutes", slide: str | None = None) -> DataFrame:
@@ -60,13 +65,16 @@ def distinct_urls(results: DataFrame, within: str = "1 hour") -> DataFrame:
 
 
 class RuleCache(StatefulProcessor):
-    """Robots rules with a lifetime: rows with a rule refresh it, rows without one get what is still valid."""
+    """Robots rules with a lifetime by event time: rows with a rule refresh it, rows without one get what is still valid.
+
+    ``drop_ms`` is how long an unused rule's state is kept.
+    """
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int, drop_ms: int | None = None):
+        self.ttl_ms, self.drop_ms = ttl_ms, drop_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rule", "kind string, disallow_prefix string, fetched long", ttlDurationMs=self.ttl_ms)
+        self.state = handle.getValueState("rule", "kind string, disallow_prefix string, fetched long", ttlDurationMs=self.drop_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
@@ -86,9 +94,9 @@ class RuleCache(StatefulProcessor):
         pass
 
 
-def robots_checked(rows: DataFrame, ttl_ms: int) -> DataFrame:
+def robots_checked(rows: DataFrame, ttl_ms: int, drop_ms: int | None = None) -> DataFrame:
     """rows: host, event_id, ts, path, kind, disallow_prefix; visits have a null kind."""
-    return rows.groupBy("host").transformWithStateInPandas(RuleCache(ttl_ms), "host string, event_id long, checked boolean, allowed boolean", "append", "processingtime")
+    return rows.groupBy("host").transformWithStateInPandas(RuleCache(ttl_ms, drop_ms), "host string, event_id long, checked boolean, allowed boolean", "append", _mode(drop_ms))
 
 
 def export_provenance(records: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", once: bool = False):
