@@ -72,6 +72,30 @@ def queries() -> dict[str, Query]:
     }
 
 
+_WORDS = "list_filter(string_split_regex(coalesce({t}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+SUBSTRING_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(t="text")} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY doc_id, s) AS n FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM k WHERE n > 1),
+each AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(t="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id, w.doc_id <= coalesce(m.b, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None so far: learnt models, tokenizers and plans have no SQL form; see tests/llm for brute-force versions."""
-    return {}
+    """For the exact operators; learnt models, tokenizers and plans have no SQL form, and tests/llm has brute-force versions."""
+    return {"op6_substring_dedup": SUBSTRING_SQL, "op10_near_duplicates": NEAR_SQL}
