@@ -76,8 +76,8 @@ _WORDS = "list_filter(string_split_regex(coalesce({t}, ''), '[\\x20\\x09-\\x0D]+
 
 SUBSTRING_SQL = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format(t="text")} AS ws FROM documents),
-p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
-k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY doc_id, s) AS n FROM p),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda s: struct_pack(s := s, t := array_to_string(ws[s:s + 19], ' ')))) AS x FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, x.s AS s, row_number() OVER (PARTITION BY x.t ORDER BY doc_id, x.s) AS n FROM p),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM k WHERE n > 1),
 each AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
