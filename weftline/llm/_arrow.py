@@ -6,6 +6,8 @@ whole texts; a null text counts as an empty one.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -159,13 +161,31 @@ def unsparse(buckets: bytes, shares: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unplanes(buckets, np.uint32), dtype=np.uint32).astype(np.int64), unplanes(shares, np.float16).astype(np.float64) / 1024
 
 
+_FOLDERS: list[tuple] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, else (only where it is unset, as in tests) under a folder of this user."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir, else (only where it is unset, as in tests) under a folder of this user.
+
+    Results are read from it later, so it stays until the driver's Python ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = set_dir.get() if set_dir.isDefined() else "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(_discard_all)
+    _FOLDERS.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder))
+    return folder
+
+
+def _discard_all() -> None:
+    """Deletes the folders made here through the file system that Spark uses; one that can't be deleted any more is left."""
+    for jvm, configuration, folder in _FOLDERS:
+        with contextlib.suppress(Exception):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(configuration).delete(path, True)
 
 
 def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -175,13 +195,6 @@ def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder made by shared_folder, through the file system that Spark uses."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
