@@ -298,3 +298,22 @@ def test_statuses(spark):
     content = got["ok"].content
     assert content.startswith('# Search Results for: "q"\n\n## 1. T\n**Source:** http://a.com/ok\n**Relevance:** 1.00\n\n') and "[1] http://a.com/ok" in content and "- Reranker: none" in content
     assert got["blocked"].content is None and got["ok"].results[0].scraper_level == 0
+
+
+def test_health():
+    from weftline.sources.health import health
+
+    def fail():
+        raise OSError("refused")
+
+    assert health({"search": lambda: True, "browser": fail}) == {"status": "ok", "code": 200, "services": {"search": "up", "browser": "down: refused"}}
+    assert health({"search": fail})["code"] == 503 == health({})["code"]
+
+
+def test_observed(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("pages")
+    rows = results(spark, [("http://a/", "", [], 0.0), ("http://b/", "", [], 0.0)])
+    assert telemetry.observed(rows, seen).count() == 2
+    assert seen.get == {"rows": 2, "urls": 2}

@@ -29,3 +29,8 @@ def sampled(rows: DataFrame, rate: float, key: str = "request_id") -> DataFrame:
     """Ratio sampling by a hash of the id, alike for all spans of a trace."""
     first = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long")
     return rows.where(first < int(rate * (1 << 32)))
+
+
+def observed(rows: DataFrame, name) -> DataFrame:
+    """The same rows; a listener of this name, or this Observation, gets how many rows and URLs pass."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("url").alias("urls"))

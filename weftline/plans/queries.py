@@ -573,6 +573,9 @@ def provenance_records(spark, sf_dir):
     return rows.select("request_id", "url", "scraper_level", "raw_html_hash", "extracted_hash", "final_hash", "content_length", "extraction_method", "pii_mode", "pii_action", F.round("reranker_score", 9).alias("reranker_score"), "reranker_rank")
 
 
+QUERIES["provenance"], SQL["provenance"] = QUERIES.pop("provenance_records"), SQL.pop("provenance_records")
+
+
 @query(
     f"""WITH {_RECORDS} SELECT url, sha256(concat_ws(chr(9), request_id, '2024-01-31 00:00:00.000', url, url, '0', '', CAST(scraper_level AS VARCHAR), raw_html_hash, extracted_hash, final_hash, CAST(content_length AS VARCHAR), extraction_method, pii_mode, pii_action, '0',
     printf('%.6f', reranker_score::DOUBLE), CAST(reranker_rank AS VARCHAR), 'false', 'false', '0', '0', '0')) AS line_hash FROM rec"""
