@@ -315,6 +315,29 @@ def test_image_copies(spark):
     assert {r.match_copies for r in got if r.match_id == 7} == {2}
 
 
+def test_close_points_are_all_found():
+    r = np.random.default_rng(4)
+    block = r.integers(0, 256, (300, media.BITS // 8), np.uint8)
+    asked = np.unpackbits(block, axis=1)
+    for k, bits in enumerate(asked):
+        bits[r.choice(media.BITS, k % 20, replace=False)] ^= 1
+    block[200:] = block[7]  # a frequent key
+    asked = np.packbits(asked, axis=1)
+    distance = np.bitwise_count(asked[:, None] ^ block[None]).sum(2, dtype=np.int64)
+    assert media.RADIUS >= 12 and set(range(13)) <= set(distance.ravel())
+    got = list(zip(*media.Tables(block).close(asked), strict=True))
+    assert len(got) == len(set(got)) and set(got) == set(zip(*np.nonzero(distance <= media.RADIUS), strict=True))
+
+
+def test_image_blocks_change_nothing(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    images = media.rasters(spark.createDataFrame([(i, r.normal(size=64).tolist()) for i in range(40)], "vec_id long, embedding array<double>"))
+    found = lambda: sorted(map(tuple, media.search(images, media.edited(images.where("id % 4 = 0"))).collect()))
+    want = found()
+    monkeypatch.setattr(media, "BLOCK_POINTS", 60)
+    assert want and found() == want
+
+
 # --- 9 language model
 
 

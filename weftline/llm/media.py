@@ -6,9 +6,10 @@ of its patch's centroid) and ``BITS`` binary tests of smoothed pixel pairs, turn
 Brightness and contrast changes keep the tests' signs; crops keep the points.
 
 Images with equal pixels form a class with the smallest id as representative, so copies are searched
-once.  Queries are joined with all images through ``TABLES`` Hamming tables, each keyed by a part of
-the tests: descriptors that differ in fewer than ``TABLES`` bits share a key.  Candidates keep a
-distance of at most ``RADIUS`` over all tests.  Geometric consensus follows: each candidate votes for
+once.  Blocks of queries meet blocks of images, of about ``BLOCK_POINTS`` points each.  In each, the
+images' points lie in ``TABLES`` Hamming tables, each keyed by a part of the tests, and are probed with
+the query's part and all keys a bit or more away from it, so that every pair of points at a distance of
+at most ``RADIUS`` over all tests is found.  Geometric consensus follows: each candidate votes for
 the turn, scale and shift that it implies, in overlapping cells, and a pair of images is linked if
 ``INLIERS`` different points of the query agree on one cell.
 
@@ -22,17 +23,20 @@ class; an id may repeat; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrow import kept, shared_folder
+from ._arrow import kept, ragged, shared_folder
 
 BITS = 128
-TABLES = 2
-RADIUS = 6
+TABLES = 7
+RADIUS = 12
+BLOCK_POINTS = 1 << 15
+CANDIDATES = 1 << 22
 POINTS = 16
 APART = 3  # pixels in which a corner is the strongest
 LEVELS = 2
@@ -113,14 +117,120 @@ def described(images: DataFrame) -> DataFrame:
     return images.select(F.col("id").cast("long").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels").mapInArrow(find, f"id long, digest binary, points array<{POINT}>")
 
 
-def _keyed(points: DataFrame, prefix: str) -> DataFrame:
-    step = BITS // 8 // TABLES
-    keys = F.explode(F.array(*[F.concat(F.lit(f"{t}:"), F.hex(F.substring("tests", t * step + 1, step))) for t in range(TABLES)]))
-    return points.select(*[F.col(c).alias(f"{prefix}_{c}") for c in points.columns], keys.alias("key"))
-
-
-def _halves(column: str, part: int):
-    return F.conv(F.substring(F.hex(column), 16 * part + 1, 16), 16, -10).cast("long")
+def _parts() -> list[tuple[int, int, np.ndarray]]:
+    """For each table: its bits (from, to), and the masks that a key is probed with.
+
+    The tables' radii and one each add up to more than ``RADIUS``, so a pair within ``RADIUS`` is within one table's radius in that table.
+    """
+    extra = RADIUS + 1 - TABLES
+    out = []
+    for k in range(TABLES):
+        low, high = BITS * k // TABLES, BITS * (k + 1) // TABLES
+        radius = extra // TABLES + (k < extra % TABLES)
+        masks = [sum(1 << b for b in some) for n in range(radius + 1) for some in itertools.combinations(range(high - low), n)]
+        out.append((low, high, np.array(masks, np.int64)))
+    return out
+
+
+class Tables:
+    """The tests of a block of points, by the parts of them that are keys."""
+
+    def __init__(self, tests: np.ndarray):
+        self.words, self.parts, self.tables = tests.view(np.uint64).reshape(-1, BITS // 64), _parts(), []
+        for (low, high, _), keys in zip(self.parts, self._keys(tests), strict=True):
+            starts = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << (high - low)))])
+            self.tables.append((starts, np.argsort(keys, kind="stable")))
+
+    def _keys(self, tests: np.ndarray) -> list[np.ndarray]:
+        bits = np.unpackbits(tests, axis=1)
+        return [bits[:, low:high] @ (1 << np.arange(high - low, dtype=np.int64)) for low, high, _ in self.parts]
+
+    def close(self, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (row of ``tests``, row of the block) at a distance of at most ``RADIUS``, once each."""
+        words, found = tests.view(np.uint64).reshape(-1, BITS // 64), []
+        for (_, _, masks), keys, (starts, order) in zip(self.parts, self._keys(tests), self.tables, strict=True):
+            probes = (keys[:, None] ^ masks).ravel()
+            many = starts[probes + 1] - starts[probes]
+            mine, own = np.repeat(np.arange(len(probes)) // len(masks), many), order[ragged(starts[probes], many)]
+            near = np.bitwise_count(words[mine] ^ self.words[own]).sum(1, dtype=np.int64) <= RADIUS
+            found.append(mine[near] * len(self.words) + own[near])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // max(1, len(self.words)), pairs % max(1, len(self.words))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _flat(table: pa.Table) -> dict[str, np.ndarray]:
+    """Points of all images of a block: y, x, level, turn, tests, and the place of the image in the block."""
+    lists = table.column("points").combine_chunks()
+    points = lists.flatten()
+    out = {c: points.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "x", "level", "turn")}
+    out["tests"] = np.frombuffer(b"".join(points.field("tests").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+    out["image"] = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return out
+
+
+def _agreeing(q: dict[str, np.ndarray], m: dict[str, np.ndarray], qi: np.ndarray, mi: np.ndarray, inliers: int) -> tuple[np.ndarray, ...]:
+    """Geometric consensus of close points: query image, image, query points with a close one, and those that agree on the best cell."""
+    images = int(m["image"][-1]) + 1
+    pair = q["image"][qi] * images + m["image"][mi]
+    order = np.lexsort((qi, pair))
+    pair, qi, mi = pair[order], qi[order], mi[order]
+    starts = np.flatnonzero(_changes(pair))
+    n_points = np.add.reduceat(_changes(pair, qi).astype(np.int64), starts)
+    enough = n_points >= inliers  # most pairs of images have too few and need no votes
+    kept_rows = np.repeat(enough, np.diff(starts, append=len(pair)))
+    nth = np.repeat(np.arange(enough.sum()), np.diff(starts, append=len(pair))[enough])
+    named, n_points = pair[starts][enough], n_points[enough]
+    qi, mi = qi[kept_rows], mi[kept_rows]
+    if not len(qi):
+        return (np.zeros(0, np.int64),) * 4
+    turn, levels = (m["turn"][mi] - q["turn"][qi]) % ANGLES, m["level"][mi] - q["level"][qi]
+    scale, radians = 2.0**levels, turn * (2 * np.pi / ANGLES)
+    shift_x = m["x"][mi] - scale * (np.cos(radians) * q["x"][qi] - np.sin(radians) * q["y"][qi])
+    shift_y = m["y"][mi] - scale * (np.sin(radians) * q["x"][qi] + np.cos(radians) * q["y"][qi])
+    cx, cy = (np.floor(c / CELL).astype(np.int64) + (1 << 30) for c in (shift_x, shift_y))
+    # cells twice as wide as their step, so each candidate is in two by each coordinate
+    kind = np.concatenate([(nth * 64 + levels + 32) * ANGLES + (turn + t) % ANGLES for t in (0, 1) for _ in range(4)])
+    place = np.concatenate([((cx + x) << 31) + cy + y for _ in range(2) for x in (0, 1) for y in (0, 1)])
+    point = np.tile(qi, 8)
+    order = np.lexsort((point, place, kind))
+    kind, place, point = kind[order], place[order], point[order]
+    starts = np.flatnonzero(_changes(kind, place))
+    n = np.add.reduceat(_changes(kind, place, point).astype(np.int64), starts)
+    best = np.zeros(len(named), np.int64)
+    np.maximum.at(best, kind[starts] // (64 * ANGLES), n)
+    linked = best >= inliers
+    return named[linked] // images, named[linked] % images, n_points[linked], best[linked]
+
+
+def _match(asked: pa.Table, block: pa.Table, inliers: int) -> pa.Table:
+    """Linked images of a block of queries and a block of images."""
+    out = [np.zeros((4, 0), np.int64)]
+    if asked.num_rows and block.num_rows:
+        q, m = _flat(asked), _flat(block)
+        tables = Tables(m["tests"])
+        ends = np.cumsum(np.bincount(q["image"], minlength=asked.num_rows))
+        some, at = max(1, CANDIDATES // len(m["tests"])), 0
+        while at < len(q["image"]):  # whole queries, of about so many points that all their candidates fit
+            stop = int(ends[max(q["image"][at], np.searchsorted(ends, at + some, side="right") - 1)])
+            qi, mi = tables.close(q["tests"][at:stop])
+            if len(qi):
+                out.append(np.stack(_agreeing(q, m, qi + at, mi, inliers)))
+            at = stop
+    qs, ms, n_points, n_inliers = np.concatenate(out, axis=1)
+    columns = [asked.column("id").take(pa.array(qs)), block.column("id").take(pa.array(ms)), block.column("copies").take(pa.array(ms)), pa.array(n_points), pa.array(n_inliers)]
+    return pa.Table.from_arrays(columns, names=["q_id", "m_id", "match_copies", "n_points", "n_inliers"])
+
+
+def _blocks(classes: DataFrame) -> int:
+    return -(-(classes.agg(F.sum(F.size("points"))).first()[0] or 0) // BLOCK_POINTS)
 
 
 def search(images: DataFrame, queries: DataFrame, inliers: int = INLIERS) -> DataFrame:
@@ -129,29 +239,19 @@ def search(images: DataFrame, queries: DataFrame, inliers: int = INLIERS) -> Dat
     classes = lambda table: table.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("points").alias("points"))
     asked = kept(described(queries), folder, "queries")
     base, query = kept(classes(described(images)), folder, "images"), kept(classes(asked), folder, "query-classes")
-    points = lambda table: table.select("id", F.inline("points"))
-    pairs = _keyed(points(query), "q").join(_keyed(points(base), "m"), "key")
-    distance = sum((F.bit_count(_halves("q_tests", p).bitwiseXOR(_halves("m_tests", p))) for p in range(BITS // 64)), F.lit(0))
-    close = pairs.where(distance <= RADIUS)
-    turn = F.pmod(F.col("m_turn") - F.col("q_turn"), F.lit(ANGLES))
-    scale = F.pow(F.lit(2.0), F.col("m_level") - F.col("q_level"))
-    radians = turn * (2 * np.pi / ANGLES)
-    shift_x = F.col("m_x") - scale * (F.cos(radians) * F.col("q_x") - F.sin(radians) * F.col("q_y"))
-    shift_y = F.col("m_y") - scale * (F.sin(radians) * F.col("q_x") + F.cos(radians) * F.col("q_y"))
-    # at most points x points candidates a pair of images; most pairs have too few and need no votes
-    place = F.struct("q_x", "q_y", "q_level")
-    candidate = F.struct(place.alias("q"), (F.col("m_level") - F.col("q_level")).alias("s"), turn.alias("t"), shift_x.alias("sx"), shift_y.alias("sy"))
-    by_pair = close.groupBy("q_id", "m_id").agg(F.collect_set(candidate).alias("c"))
-    by_pair = by_pair.withColumn("n_points", F.size(F.array_distinct(F.transform("c", lambda x: x["q"])))).where(F.col("n_points") >= inliers)
-    votes = by_pair.select("q_id", "m_id", "n_points", F.inline("c"))
-    near = lambda c: F.explode(F.array(F.floor(F.col(c) / CELL), F.floor(F.col(c) / CELL) + 1))  # noqa: E731  cells twice as wide as their step
-    votes = votes.withColumn("cx", near("sx")).withColumn("cy", near("sy")).withColumn("ct", F.explode(F.array(F.col("t"), F.pmod(F.col("t") + 1, F.lit(ANGLES)))))
-    cells = votes.groupBy("q_id", "m_id", "n_points", "s", "ct", "cx", "cy").agg(F.count_distinct("q").alias("n"))
-    found = cells.groupBy("q_id", "m_id", "n_points").agg(F.max("n").alias("n_inliers")).where(F.col("n_inliers") >= inliers)
-    found = found.join(base.select(F.col("id").alias("m_id"), F.col("copies").alias("match_copies")), "m_id")
+    across, down = max(1, _blocks(query)), max(1, _blocks(base))
+    dealt = lambda n: F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    some = lambda table: table.where((F.size("points") >= inliers) & F.col("id").isNotNull()).select("id", "copies", "digest", "points")
+    left = some(query).withColumn("across", dealt(across)).withColumn("down", each(down)).drop("digest")
+    right = some(base).withColumn("down", dealt(down)).withColumn("across", each(across)).drop("digest")
+
+    def match(asked: pa.Table, block: pa.Table) -> pa.Table:
+        return _match(asked, block, inliers)
+
+    found = left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInArrow(match, "q_id long, m_id long, match_copies long, n_points long, n_inliers long")
     members = asked.select(F.col("id").alias("query_id"), "digest").join(query.select("digest", F.col("id").alias("q_id")), "digest")
-    out = members.join(found, "q_id")
-    return out.select("query_id", F.col("m_id").alias("match_id"), "match_copies", F.col("n_points").cast("long").alias("n_points"), "n_inliers").distinct()
+    return members.join(found, "q_id").select("query_id", F.col("m_id").alias("match_id"), "match_copies", "n_points", "n_inliers").distinct()
 
 
 SIDE, CROP = 64, 56
