@@ -338,6 +338,17 @@ def test_image_blocks_change_nothing(spark, monkeypatch):
     assert want and found() == want
 
 
+def test_quarter_of_a_large_image(spark):
+    r = np.random.default_rng(8)
+    large = [np.round(media._box(r.integers(0, 256, (256, 256)).astype(np.float64), 2)).astype(np.uint8) for _ in range(6)]
+    row = lambda i, a: (i, a.shape[1], a.shape[0], bytearray(np.ascontiguousarray(a).tobytes()))
+    schema = "id long, width int, height int, pixels binary"
+    images = spark.createDataFrame([row(i, a) for i, a in enumerate(large)], schema)
+    queries = spark.createDataFrame([row(100 + i, a[40 + i : 168 + i, 90 - i : 218 - i]) for i, a in enumerate(large)], schema)
+    got = {(r.query_id, r.match_id): r.n_inliers for r in media.search(images, queries).collect()}
+    assert set(got) == {(100 + i, i) for i in range(6)} and min(got.values()) >= 50
+
+
 # --- 9 language model
 
 

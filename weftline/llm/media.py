@@ -1,7 +1,7 @@
 """Cropped or edited copies of images by local descriptors.
 
-Grey images are rows (id, width, height, pixels), one byte a pixel.  On each level of a small pyramid
-the strongest corners (Harris measure, local maxima) become points; each has an orientation (direction
+Grey images are rows (id, width, height, pixels), one byte a pixel.  On each level of a pyramid
+all corners (Harris measure, local maxima) become points, so a larger image has more; each has an orientation (direction
 of its patch's centroid) and ``BITS`` binary tests of smoothed pixel pairs, turned by that orientation.
 Brightness and contrast changes keep the tests' signs; crops keep the points.
 
@@ -22,6 +22,7 @@ class; an id may repeat; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -37,9 +38,9 @@ TABLES = 7
 RADIUS = 12
 BLOCK_POINTS = 1 << 15
 CANDIDATES = 1 << 22
-POINTS = 16
+QUALITY = 1e-6  # Harris measure of the weakest corner
 APART = 3  # pixels in which a corner is the strongest
-LEVELS = 2
+SLICE = 4096  # points described at once
 BORDER = 11
 INLIERS = 5
 CELL = 2.0
@@ -62,7 +63,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """Points (y, x in the full image), level, angle index and tests (bits as bytes) of one image."""
     found: list[list[np.ndarray]] = [[], [], [], []]
     level_image = image.astype(np.float64)
-    for level in range(LEVELS):
+    for level in itertools.count():
         h, w = level_image.shape
         if min(h, w) < 2 * BORDER + 6:
             break
@@ -71,14 +72,13 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         corner = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         r, near = APART, range(-APART, APART + 1)
-        around = np.stack([corner[r + a : h - r + a, r + b : w - r + b] for a in near for b in near]).max(0)
+        around = functools.reduce(np.maximum, (corner[r + a : h - r + a, r + b : w - r + b] for a in near for b in near))
         peak = np.zeros((h, w), bool)
-        peak[r:-r, r:-r] = (corner[r:-r, r:-r] >= around) & (corner[r:-r, r:-r] > 1e-6)
+        peak[r:-r, r:-r] = (corner[r:-r, r:-r] >= around) & (corner[r:-r, r:-r] > QUALITY)
         peak[:BORDER], peak[-BORDER:], peak[:, :BORDER], peak[:, -BORDER:] = False, False, False, False
-        y, x = np.nonzero(peak)
-        best = np.argsort(-corner[y, x], kind="stable")[:POINTS]
-        y, x = y[best], x[best]
-        if len(y):
+        places = np.argwhere(peak)
+        for start in range(0, len(places), SLICE):
+            y, x = places[start : start + SLICE].T
             patch = smooth[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
             patch = patch - patch.mean(1, keepdims=True)
             angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
