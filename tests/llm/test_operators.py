@@ -181,6 +181,24 @@ def test_mixing_targets(docs, rows):
     assert sum(len(split(r.text)) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_mix_lies_in_shards(docs, tmp_path):
+    planned, shard_of = collections.Counter(), {}
+    for r in mixing.mixing_report(docs).where("taken > 0").collect():
+        planned[r.shard] += r.taken
+        shard_of.setdefault(r.doc_id, set()).add(r.shard)
+    mixing.mix(docs).write.parquet(str(tmp_path / "mix"))
+    files = collections.defaultdict(list)
+    for r in docs.sparkSession.read.parquet(str(tmp_path / "mix")).withColumn("_file", F.input_file_name()).collect():
+        files[r._file].append(r)
+    for own in files.values():
+        assert set.intersection(*(shard_of[r.doc_id] for r in own))
+    got = collections.Counter()
+    for r in (rows := mixing.sharded_mix(docs, salts=3).withColumn("_task", F.spark_partition_id()).collect()):
+        assert r.shard in shard_of[r.doc_id] and r._task // 3 == r.shard
+        got[r.shard] += len(split(r.text))
+    assert got == planned and len(rows) == sum(map(len, files.values()))
+
+
 def test_splitting_tree_keeps_quotas(spark):
     blocks = spark.createDataFrame([(s, k, k % 7 != 0) for s in ("a", "b", None) for k in range(1, 60)], "source string, _rank long, _taken boolean")
     got = mixing.deal(blocks, 3, 8).collect()

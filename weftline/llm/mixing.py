@@ -13,7 +13,7 @@ words only, so each source gives its target rounded to words.  The blocks taken
 output shards by a binary tree: at each node the blocks are ranked by a seeded hash, and the
 first half goes left, which draws the sources' counts from the multivariate hypergeometric law
 exactly and gives exact quotas.  The leaves' quotas then take disjoint runs of each source's
-permuted blocks, and rows are shuffled within the shards by a hash.
+permuted blocks, and rows are dealt by shard in one exchange and shuffled within it by a hash.
 
 DataFrame operations only.  A source with any share of all rows is many blocks; windows run
 over blocks, over sources, and over the documents of one block a source.
@@ -27,6 +27,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ._arrow import partitions
+
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
 CAP = 2
@@ -118,22 +120,38 @@ def mixing_report(docs: DataFrame) -> DataFrame:
     return plan(docs.select("doc_id", "text", "source")).select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken", "shard")
 
 
-def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: each row as often as whole passes take it, and the row cut by the target with its first words; rows lie shuffled in shards."""
+def _mixed(docs: DataFrame, seed: int, salts: int | None) -> DataFrame:
+    """The mix with each row's ``_shard``: each document as often as whole passes take it, and the one cut by the target with its first words.
+
+    Each task holds rows of one shard only, shuffled; a shard is ``salts`` tasks, by default so many that all shuffle partitions have some.
+    """
     columns = docs.columns
     whole = F.expr("taken div size")
     part = F.expr("taken % size")
-    # rows that agree in id and text are one here, with the sum of what is taken of them; texts move once, in this join
+    # rows that agree in id and text are one here, with the sum of what is taken of them
     identity = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_key"]
     planned = plan(docs, seed).where("taken > 0").select(*identity, whole.alias("_whole"), part.alias("_part"), "size", "shard")
     planned = planned.groupBy("_id", "_key").agg(F.sum("_whole").alias("_whole"), F.max("_part").alias("_part"), F.max("size").alias("_size"), F.first("shard").alias("_shard"))
     texts = docs.withColumn("_key", _key(seed)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     taken = texts.join(planned, ["_id", "_key"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).where("_nth = 1")
-    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + (F.col("_part") > 0).cast("long"))))
+    # one exchange by shard and salt, before passes multiply the rows
+    salts = salts or max(1, -(-partitions(docs.sparkSession) // OUTPUT_SHARDS))
+    cell = F.col("_shard") * salts + F.pmod(F.xxhash64("_key", F.lit(seed + 4)), F.lit(salts)).cast("int")
+    dealt = taken.drop("_nth").withColumn("_cell", cell).repartitionById(OUTPUT_SHARDS * salts, F.col("_cell"))
+    copies = dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + (F.col("_part") > 0).cast("long"))))
     words = F.when(F.col("_copy") > F.col("_whole"), F.col("_part")).otherwise(F.col("_size"))
     first = F.array_join(F.slice(F.filter(F.split("text", SPACES), lambda w: w != ""), 1, words.cast("int")), " ")
     copies = copies.withColumn("text", F.when(words < F.col("_size"), first).otherwise(F.col("text")))
     if "n_chars" in columns:
         copies = copies.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    # rows are dealt over tasks by a hash already; within a task, shards lie one after the other, shuffled
-    return copies.withColumn("_local", F.xxhash64("_key", "_copy", F.lit(seed + 3))).sortWithinPartitions("_shard", "_local").select(*columns)
+    return copies.withColumn("_local", F.xxhash64("_key", "_copy", F.lit(seed + 3))).sortWithinPartitions("_cell", "_local").select(*columns, "_shard")
+
+
+def sharded_mix(docs: DataFrame, seed: int = 17, salts: int | None = None) -> DataFrame:
+    """The mix and the ``shard`` of each row, in place of a column of that name."""
+    return _mixed(docs, seed, salts).select(*[c for c in docs.columns if c != "shard"], F.col("_shard").alias("shard"))
+
+
+def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix with the columns of ``docs``: a task or file that it makes holds rows of one shard, shuffled."""
+    return _mixed(docs, seed, None).select(*docs.columns)
