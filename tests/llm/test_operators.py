@@ -125,6 +125,16 @@ def test_shards(docs, rows):
     assert all(r.text_crc32 == crc[r.doc_id] and r.law == "bytes" and r.grown_shard is None for r in got)
 
 
+def test_shards_hold_whole_rows(docs, rows, tmp_path):
+    sharding.sharded(docs, shards=4).write.parquet(str(tmp_path / "shards"))
+    got = docs.sparkSession.read.parquet(str(tmp_path / "shards")).withColumn("_file", F.input_file_name()).collect()
+    assert sorted(map(repr, (tuple(r)[:5] for r in got))) == sorted(map(repr, rows))
+    files = collections.defaultdict(list)
+    for r in got:
+        files[r._file].append((r._shard, r._slot))
+    assert len(files) == 4 and all(own == [(own[0][0], k) for k in range(len(own))] for own in files.values())
+
+
 def test_shards_cut_a_group_of_equal_texts(spark):
     docs = spark.createDataFrame([(i, "copy" * 5 if i % 2 else f"text {i:014d}") for i in range(4000)], "doc_id long, text string")
     sizes = [r["s"] for r in sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("s")).collect()]

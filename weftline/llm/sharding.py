@@ -12,12 +12,12 @@ a probe meets the tolerance, or when the interval is a single key.  Splitters wh
 interval is a single value go on in a second phase over the ids of that hash.  What reaches
 the driver is one number a probe, whatever the input.  Shards are further cut at finer
 splitters of the same kind, so that a task sorts about ``part_bytes`` of text; slots are the
-exact count of rows in the parts before, plus the place in the part.
+exact count of rows in the parts before, plus the place in the part.  Whole rows move.
 
 Defined cases: a null text has size 1 and no CRC-32 bytes (0) and hashes as an empty text; a
 null doc_id counts as the smallest id; repeated rows with equal id and text lie next to each
 other and are never cut apart; an empty table gives an empty result; a single row goes to
-shard 0.  Other columns are not read.
+shard 0.  ``sharded`` moves all columns, ``shard`` tells of the rows that it moved.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._arrow import kept, shared_folder
 
@@ -113,36 +114,45 @@ def find_splitters(keyed: DataFrame, targets: list[int], total: int, tolerance:
     return sorted(out)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Whole rows of ``docs`` with ``_shard`` and ``_slot``, exchanged once: a task holds one part of a shard, in order."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(text).alias("h"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("d"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
+    keys = {"_h": F.xxhash64(text), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)), "_size": (F.octet_length(text) + 1).cast("long")}
+    keyed = docs.select(*[c.alias(k[1:]) for k, c in keys.items()])
     keyed = kept(keyed, shared_folder(spark), "keys")  # read in each round: 8-byte numbers, no texts
     total = keyed.agg(F.sum("size")).first()[0] or 0
     parts = int(min(MAX_PARTS, max(1, -(-total // (shards * part_bytes)))))
     targets = [total * k // (shards * parts) for k in range(1, shards * parts)]
     cuts = find_splitters(keyed, targets, total, tolerance * total / shards) if total else []
-    right = lambda c: (F.col("h") > F.lit(c[0])) | ((F.col("h") == F.lit(c[0])) & (F.col("d") >= F.lit(c[1])))
-    part = _search(cuts, 0, len(cuts), right)
-    placed = keyed.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("h", "d")))
-    counts = {r["part"]: r["n"] for r in keyed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # at most shards * MAX_PARTS rows
+    part = lambda h, d: _search(cuts, 0, len(cuts), lambda c: (F.col(h) > F.lit(c[0])) | ((F.col(h) == F.lit(c[0])) & (F.col(d) >= F.lit(c[1]))))
+    counts = {r["part"]: r["n"] for r in keyed.groupBy(part("h", "d").alias("part")).agg(F.count("*").alias("n")).collect()}  # at most shards * MAX_PARTS rows
     offset, before = [], 0
     for p in range(shards * parts):
         before = 0 if p % parts == 0 else before
         offset.append(before)
         before += counts.get(p, 0)
     offsets = F.array(*[F.lit(x).cast("long") for x in offset])
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
-        F.floor(F.col("part") / parts).cast("int").alias("shard"),
-        (F.element_at(offsets, F.col("part") + 1) + F.col("place") - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    moved = docs.withColumns({k: c for k, c in keys.items() if k != "_size"}).withColumn("_part", part("_h", "_d")).repartitionById(shards * parts, F.col("_part"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 0  # a task is a part
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(place, place + batch.num_rows))], names=[*batch.schema.names, "_place"])
+            place += batch.num_rows
+
+    ordered = moved.sortWithinPartitions("_h", "_d")
+    placed = ordered.mapInArrow(number, StructType([*ordered.schema.fields, StructField("_place", LongType())]))
+    slot = F.element_at(offsets, F.col("_part") + 1) + F.col("_place")
+    return placed.select(*docs.columns, F.floor(F.col("_part") / parts).cast("int").alias("_shard"), slot.cast("long").alias("_slot"))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row a document: what its row has in the shard that it was moved to."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return sharded(docs, shards, tolerance, part_bytes).select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
