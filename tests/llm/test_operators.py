@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import _arrow, katz, media, mixing, neardup, packing, quality, sharding, substring, tokens, toxicity
+from weftline.llm import _arrow, components, katz, media, mixing, neardup, packing, quality, sharding, substring, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -449,6 +449,13 @@ def test_near_duplicates(docs, rows):
     assert sorted(r.doc_id for r in left.select("doc_id").distinct().collect()) == sorted(i for i, (_, c) in five.items() if i == c)
 
 
+def test_components_converge_or_fail(spark, tmp_path):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {tuple(r) for r in components.components(edges, str(tmp_path)).collect()} - {(0, 0)} == {(i, 0) for i in range(1, 41)}
+    with pytest.raises(RuntimeError):
+        components.components(edges, str(tmp_path), "few", rounds=3)
+
+
 def test_estimates_follow_similarity():
     r = np.random.default_rng(7)
     base = r.integers(0, 2**63, 1000, dtype=np.int64).astype(np.uint64)

@@ -11,6 +11,7 @@ def components(edges: DataFrame, folder: str, name: str = "cc", rounds: int = 60
     """(node, component) for all nodes of undirected ``edges`` (a, b); a component is named by its smallest node.
 
     Each round writes its edges to the shared folder; a hub's neighbours are handled by aggregates and a join, not as a list.
+    Edges that still change after the last round are an error, not a result.
     """
     edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"{name}-0")
     before = None
@@ -26,4 +27,6 @@ def components(edges: DataFrame, folder: str, name: str = "cc", rounds: int = 60
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError(f"components still change after {rounds - 1} rounds")
     return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
