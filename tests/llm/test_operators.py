@@ -330,17 +330,75 @@ def test_histograms():
 # --- 8 media
 
 
+def vectors(n, seed=2):
+    r = np.random.default_rng(seed)
+    return [(i, r.normal(size=64).tolist()) for i in range(n)]
+
+
+def pictures(n, seed=2):
+    """Images of ``rasters``, without Spark."""
+    waves, v = media._wave_images(), np.array([x for _, x in vectors(n, seed)])
+    v /= np.sqrt((v**2 / media._CYCLES).sum(1, keepdims=True))
+    return np.clip(np.round(128 + 60 * (v.astype(np.float32) @ waves)), 0, 255).astype(np.uint8).reshape(-1, media.SIDE, media.SIDE)
+
+
+def described(images):
+    got = media._described([(a.shape[1], a.shape[0]) for a in images], [a.tobytes() for a in images])
+    columns = {c: pa.array([x[k] for x in got], pa.binary() if k else pa.int32()) for k, c in enumerate(media._POINTS)}
+    return pa.table({"id": list(range(len(images))), "copies": [1] * len(images), **columns})
+
+
 def test_image_copies(spark):
-    r = np.random.default_rng(2)
-    rows = [(i, r.normal(size=64).tolist()) for i in range(60)] + [(60, None), (61, [0.0] * 64), (62, [1.0] * 3)]
-    rows += [(63, rows[7][1])]
-    images = media.rasters(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = media.search(images, media.edited(images.where("id % 3 = 0"))).collect()
+    nan, inf = float("nan"), float("inf")
+    rows = [*vectors(60), (60, None), (61, [0.0] * 64), (62, [1.0] * 3), (64, [inf] * 64), (65, [nan] * 64), (66, [-inf, *[1.0] * 63]), (None, vectors(9)[8][1])]
+    rows += [(63, rows[7][1]), (63, rows[7][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("digest", "id", "points", "copies", "n")})
+    images = media.rasters(table)
+    asked = images.where("id % 3 = 0 or id is null")
+    got = media.search(images, media.edited(asked)).collect()
     queries = [i for i in range(64) if i % 3 == 0 and i not in (60,)]
-    found = {r.query_id for r in got if r.match_id == (7 if r.query_id == 63 else r.query_id)}
-    assert len(found) >= 0.9 * len([q for q in queries if q != 61])
-    assert sum(r.match_id != (7 if r.query_id == 63 else r.query_id) for r in got) <= 3
-    assert {r.match_copies for r in got if r.match_id == 7} == {2}
+    own = lambda i: 7 if i == 63 else i
+    assert len({r.query_id for r in got if r.match_id == own(r.query_id)}) >= 0.9 * len(queries)
+    assert not [r for r in got if r.match_id != own(r.query_id)]
+    assert {r.match_copies for r in got if r.match_id == 7} == {3} and {r.match_copies for r in got if r.match_id == 8} <= {2}
+    lists = media.matches(images, media.edited(asked)).collect()
+    assert sorted(r.query_id for r in lists) == sorted([*queries, 60, 66]) and all(r.n_matches == len(r.match_ids) == len(r.n_inliers) == len(r.copies) for r in lists)
+    assert {(r.query_id, m, c, n) for r in lists for m, c, n in zip(r.match_ids, r.copies, r.n_inliers, strict=True)} == {(r.query_id, r.match_id, r.match_copies, r.n_inliers) for r in got}
+    none = table.limit(0)
+    assert media.matches(media.rasters(none), media.edited(media.rasters(table))).agg(F.sum("n_matches")).first()[0] == 0
+    assert media.matches(media.rasters(table), media.rasters(none)).count() == 0
+
+
+@pytest.mark.parametrize("kind", media.EDITS)
+def test_edited_images_are_found(kind):
+    images = pictures(300, seed=11)
+    queries = [media.edit(images[i], kind, 7919 * i) for i in range(0, 300, 6)]
+    got = media._match(described(queries), described(list(images)), media.INLIERS)
+    pairs = list(zip(got["q_id"].to_pylist(), got["m_id"].to_pylist(), strict=True))
+    assert sum(m == 6 * q for q, m in pairs) >= 0.9 * len(queries) and sum(m != 6 * q for q, m in pairs) == 0
+
+
+def test_tests_turn_with_the_image():
+    """A quarter turn moves the places and turns the orientations; the tests stay."""
+    (image,) = pictures(1)
+    _, place, level, turn, tests = media.describe(image[None])
+    _, place2, level2, turn2, tests2 = media.describe(np.rot90(image)[None].copy())
+    first = {(y, x): k for k, (y, x) in enumerate(place[level == 0].tolist())}
+    same = [(first[x, media.SIDE - 1 - y], k) for k, (y, x) in enumerate(place2[level2 == 0].tolist()) if (x, media.SIDE - 1 - y) in first]
+    assert len(same) > 0.9 * len(first)
+    off = np.array([np.bitwise_count(tests[level == 0][a] ^ tests2[level2 == 0][b]).sum() for a, b in same])
+    angles = np.array([(turn2[level2 == 0][b] - turn[level == 0][a] + np.pi / 2) % (2 * np.pi) for a, b in same])
+    assert (off <= media.RADIUS).mean() > 0.9 and (np.minimum(angles, 2 * np.pi - angles) < 0.05).mean() > 0.9
+
+
+def test_consensus_needs_one_transform():
+    r = np.random.default_rng(3)
+    z = r.uniform(0, 200, 40) + 1j * r.uniform(0, 200, 40)
+    moved = 1.5 * np.exp(0.6j) * z + (30 - 12j)
+    one = np.ones(40)
+    assert media.consensus(z, moved + r.normal(0, 0.5, 40), 0.65 * one, 1.4 * one, 3 * one, 6) >= 30
+    assert media.consensus(z, r.permutation(moved), 0.65 * one, 1.4 * one, 3 * one, 6) < 6
+    assert media.consensus(z[:1].repeat(20), moved[:1].repeat(20), 0.6 * one[:20], 1.5 * one[:20], 3 * one[:20], 6) <= 1  # one place, however many points
 
 
 def test_close_points_are_all_found():
@@ -358,17 +416,18 @@ def test_close_points_are_all_found():
 
 
 def test_image_blocks_change_nothing(spark, monkeypatch):
-    r = np.random.default_rng(3)
-    images = media.rasters(spark.createDataFrame([(i, r.normal(size=64).tolist()) for i in range(40)], "vec_id long, embedding array<double>"))
+    images = media.rasters(spark.createDataFrame(vectors(24, 3), "vec_id long, embedding array<double>"))
     found = lambda: sorted(map(tuple, media.search(images, media.edited(images.where("id % 4 = 0"))).collect()))
     want = found()
-    monkeypatch.setattr(media, "BLOCK_POINTS", 60)
+    monkeypatch.setattr(media, "IMAGE_POINTS", 900)
+    monkeypatch.setattr(media, "QUERY_POINTS", 600)
+    monkeypatch.setattr(media, "CANDIDATES", 50)
     assert want and found() == want
 
 
 def test_quarter_of_a_large_image(spark):
     r = np.random.default_rng(8)
-    large = [np.round(media._box(r.integers(0, 256, (256, 256)).astype(np.float64), 2)).astype(np.uint8) for _ in range(6)]
+    large = [np.round(media._sums(r.integers(0, 256, (1, 256, 256)).astype(np.float64), 2)[0] / 25).astype(np.uint8) for _ in range(6)]
     row = lambda i, a: (i, a.shape[1], a.shape[0], bytearray(np.ascontiguousarray(a).tobytes()))
     schema = "id long, width int, height int, pixels binary"
     images = spark.createDataFrame([row(i, a) for i, a in enumerate(large)], schema)

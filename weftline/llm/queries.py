@@ -44,9 +44,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited copies of every hundredth raster, searched among all rasters of ``embeddings``."""
+    """Edited copies of every hundredth raster (crops, turns, scales, noise, blur), searched among all rasters of ``embeddings``."""
     images = media.rasters(table(spark, sf_dir, "embeddings"))
-    return media.search(images, media.edited(images.where(F.col("id") % 100 == 0)))
+    return media.matches(images, media.edited(images.where(F.col("id") % 100 == 0)))
 
 
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
