@@ -439,38 +439,86 @@ def test_quarter_of_a_large_image(spark):
 # --- 9 language model
 
 
-def test_katz(docs, rows):
+class BruteKatz:
+    """Katz backoff over plain dictionaries; a context is a tuple whose first token may be the start, 0."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts = order, [collections.Counter() for _ in range(order)]
+        self.starts = len(texts)
+        for w in texts:
+            for i in range(len(w)):
+                for k in range(1, order + 1):
+                    if k == 1 or i - k + 1 >= -1:
+                        self.counts[k - 1][self.gram(w, i, k)] += 1
+        count = lambda c: [0] + [sum(v == k for v in c.values()) for k in range(1, 7)]
+        self.d = [katz.Discounts.from_counts(count(c)).table for c in self.counts]
+        self.n = sum(self.counts[0].values())
+        self.unknown = 1 - sum(self.mass(1, c) for c in self.counts[0].values()) / self.n if self.n else 1.0
+        self.after = collections.defaultdict(list)
+        for c in self.counts[1:]:
+            for g in c:
+                self.after[g[:-1]].append(g[-1])
+
+    @staticmethod
+    def gram(w, i, k):
+        return tuple(w[i - k + 1 : i + 1]) if i - k + 1 >= 0 else (0, *w[: i + 1])
+
+    def mass(self, k, r):
+        return self.d[k - 1][min(r, 6)] * r
+
+    def context_n(self, context):
+        return self.starts if context == (0,) else self.counts[len(context) - 1][context]
+
+    def alpha(self, context):
+        seen = self.after[context]
+        own = sum(self.p(context, w) for w in seen)
+        return (1 - own) / (1 - sum(self.p(context[1:], w) for w in seen))
+
+    def p(self, context, w):
+        if not context:
+            r = self.counts[0][(w,)]
+            return self.mass(1, r) / self.n if r else self.unknown
+        r, n = self.counts[len(context)][(*context, w)], self.context_n(context)
+        if r:
+            return self.mass(len(context) + 1, r) / n
+        return (self.alpha(context) if n else 1.0) * self.p(context[1:], w)
+
+    def score(self, w):
+        return sum(math.log10(self.p(self.gram(w, i, min(self.order, i + 2))[:-1], w[i])) for i in range(len(w)))
+
+
+def katz_texts(rows):
     lower = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode())
-    texts = [(i, lower(t or "").split() + [1]) for i, t, *_ in rows]
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in texts}
-    words, pairs, starts = collections.Counter(), collections.Counter(), 0
-    for i, w in texts:
-        if not held[i]:
-            words.update(w)
-            pairs.update(zip([0, *w], w))
-            starts += 1
-    count = lambda c: [0] + [sum(v == k for v in c.values()) for k in range(1, 7)]
-    dw, dp = katz.Discounts.from_counts(count(words)).table, katz.Discounts.from_counts(count(pairs)).table
-    n, v = sum(words.values()), len(words)
-    unknown = 1 - sum(dw[min(c, 6)] * c for c in words.values()) / n
-    p = lambda w: dw[min(words[w], 6)] * words[w] / n if words[w] else unknown
-    after = collections.defaultdict(list)
-    for (a, b), c in pairs.items():
-        after[a].append((b, c))
-    alpha = {a: (1 - sum(dp[min(c, 6)] * c for _, c in x) / sum(c for _, c in x)) / (1 - sum(p(b) for b, _ in x)) for a, x in after.items()}
-    for a, x in after.items():
-        total = sum(c for _, c in x)
-        assert sum(dp[min(c, 6)] * c for _, c in x) / total + alpha[a] * (1 - sum(p(b) for b, _ in x)) == pytest.approx(1)
-    got = {(r.doc_id, r.n_tokens): r for r in katz.katz_scores(docs).collect()}
+    return [(i, [*lower(t or "").split(), 1]) for i, t, *_ in rows]
+
+
+def held_out(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(docs, rows, order, monkeypatch):
+    monkeypatch.setattr(katz, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(katz, "FIRST_PART", 40_000)  # partitions of a corpus of some terabytes
+    texts = katz_texts(rows)
+    model = BruteKatz([w for i, w in texts if not held_out(i)], order)
+    vocabulary = list(model.counts[0])
+    contexts = random.Random(1).sample(sorted(model.after, key=repr), 25) + [(0,)]
+    for context in contexts:
+        assert sum(model.p(context, w) for (w,) in vocabulary) + model.p(context, b"never seen") == pytest.approx(1)
+    n, v = model.n, len(vocabulary)
+    got = {(r.doc_id, r.n_tokens): r for r in katz.katz_scores(docs, order).collect()}
     for i, w in texts:
-        score = base = 0.0
-        for a, b in zip([0, *w], w):
-            c, context = pairs[a, b], starts if a == 0 else words[a]
-            score += math.log10(dp[min(c, 6)] * c / context if c else alpha[a] * p(b) if context else p(b))
-            base += math.log10((words[b] + 0.1) / (n + 0.1 * (v + 1)))
+        base = sum(math.log10((model.counts[0][(x,)] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         r = got[i, len(w)]
-        assert (r.held_out, r.train_tokens, r.n_known) == (held[i], n, sum(words[b] > 0 for b in w))
-        assert r.score == pytest.approx(score) and r.base_score == pytest.approx(base)
+        assert (r.held_out, r.train_tokens, r.n_known) == (held_out(i), n, sum(model.counts[0][(x,)] > 0 for x in w))
+        assert r.score == pytest.approx(model.score(w)) and r.base_score == pytest.approx(base)
+
+
+def test_katz_without_training_texts(spark):
+    held = [i for i in range(200) if held_out(i)][:3]
+    got = katz.katz_scores(spark.createDataFrame([(i, "a b c") for i in held], "doc_id long, text string")).collect()
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.score, r.base_score) for r in got] == [(True, 4, 0, 0, 0.0, 0.0)] * 3
 
 
 # --- 10 near-duplicates
