@@ -35,17 +35,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrow import kept, ragged, shared_folder
+from ._arrow import kept, ragged, released, shared_folder
 
 BITS = 128
 TABLES = 7
 RADIUS = 12
-QUERY_POINTS = 1 << 15
-IMAGE_POINTS = 1 << 17
-CANDIDATES = 1 << 21
+QUERY_POINTS = 1 << 18
+IMAGE_POINTS = 1 << 18
+CANDIDATES = 1 << 18
 LIST_IMAGES = 100_000  # images that a list of matches is drawn from
 QUALITY = 1.0  # Harris measure of the weakest corner
-APART = 3  # pixels in which a corner is the strongest
+APART = 4  # pixels in which a corner is the strongest
 STEP = math.sqrt(2)
 STACK_PIXELS = 1 << 19  # pixels described at once
 BORDER = 6  # pixels from the edge that a corner must lie, and pixels repeated around an image for its tests
@@ -55,7 +55,7 @@ NEAR = 2.0  # pixels of its level that a point may lie off the transform
 ANGLES = 72
 SECTORS = 24  # of turns, in twos
 
-def _chosen_tests(tries: int = 1500, reach: int = 9, blur: float = 2.5) -> np.ndarray:
+def _chosen_tests(tries: int = 1500, reach: int = 10, blur: float = 2.5) -> np.ndarray:
     """(y, x) of both pixels of ``BITS`` tests that tell as much as can be in a smooth image, table by table.
 
     How alike two tests are follows from their places, for pixels whose correlation falls with distance like a bell curve of
@@ -215,13 +215,15 @@ def _parts() -> list[tuple[int, int, np.ndarray]]:
 
 
 class Tables:
-    """The tests of a block of points, by the parts of them that are keys."""
+    """The tests of a block of points, by the parts of them that are keys; each table has them in order of its keys."""
 
     def __init__(self, tests: np.ndarray):
-        self.words, self.parts, self.tables = np.ascontiguousarray(tests).view(np.uint64).reshape(-1, BITS // 64), _parts(), []
+        self.size, self.parts, self.tables = len(tests), _parts(), []
+        words = _words(tests)
         for (low, high, _), keys in zip(self.parts, self._keys(tests), strict=True):
             starts = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << (high - low)))])
-            self.tables.append((starts, np.argsort(keys, kind="stable")))
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((starts, order, [w[order] for w in words]))
 
     def _keys(self, tests: np.ndarray) -> list[np.ndarray]:
         bits = np.unpackbits(tests, axis=1)
@@ -229,8 +231,8 @@ class Tables:
 
     def close(self, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (row of ``tests``, row of the block) at a distance of at most ``RADIUS``, once each."""
-        words, found, total = np.ascontiguousarray(tests).view(np.uint64).reshape(-1, BITS // 64), [np.zeros(0, np.int64)], max(1, len(self.words))
-        for (_, _, masks), keys, (starts, order) in zip(self.parts, self._keys(tests), self.tables, strict=True):
+        words, found, total = _words(tests), [np.zeros(0, np.int64)], max(1, self.size)
+        for (_, _, masks), keys, (starts, order, own_words) in zip(self.parts, self._keys(tests), self.tables, strict=True):
             probes = (keys[:, None] ^ masks).ravel()
             first = starts[probes]
             many = starts[probes + 1] - first
@@ -240,14 +242,24 @@ class Tables:
             while at < len(used):  # a bounded number of candidates at once, or those of one probe
                 stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CANDIDATES, side="right")))
                 mine = np.repeat(used[at:stop] // len(masks), many[at:stop])
-                own = order[ragged(first[at:stop], many[at:stop])]
-                near = np.bitwise_count(words[mine] ^ self.words[own]).sum(1, dtype=np.int64) <= RADIUS
-                found.append(mine[near] * total + own[near])
+                own = ragged(first[at:stop], many[at:stop])
+                off = np.zeros(len(mine), np.uint8)
+                for asked, has in zip(words, own_words, strict=True):  # most are too far off by the first half already
+                    off = off + np.bitwise_count(asked[mine] ^ has[own])
+                    near = off <= RADIUS
+                    mine, own, off = mine[near], own[near], off[near]
+                found.append(mine * total + order[own])
                 at = stop
         pairs = np.unique(np.concatenate(found))
         return pairs // total, pairs % total
 
 
+def _words(tests: np.ndarray) -> list[np.ndarray]:
+    """Tests as 64-bit numbers, a column each."""
+    wide = np.ascontiguousarray(tests).view(np.uint64).reshape(-1, BITS // 64)
+    return [wide[:, k].copy() for k in range(BITS // 64)]
+
+
 def _changes(*columns: np.ndarray) -> np.ndarray:
     """Whether a row of sorted columns differs from the one before."""
     out = np.ones(len(columns[0]), bool)
@@ -364,6 +376,7 @@ def search(images: DataFrame, queries: DataFrame, inliers: int = INLIERS) -> Dat
     classes = lambda table: table.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first(F.struct(*_POINTS)).alias("p")).select("digest", "id", "copies", "p.*")
     asked = kept(described(queries), folder, "queries")
     base, query = kept(classes(described(images)), folder, "images"), kept(classes(asked), folder, "query-classes")
+    released(images.sparkSession)
     blocks = lambda table, points: max(1, -(-(table.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // points))
     across, down = blocks(query, QUERY_POINTS), blocks(base, IMAGE_POINTS)
     dealt = lambda n: F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
@@ -398,14 +411,14 @@ def matches(images: DataFrame, queries: DataFrame, inliers: int = INLIERS) -> Da
     )
 
 
-SIDE = 128
+SIDE = 116
 _waves = np.random.default_rng(7)
-_CYCLES = np.exp(_waves.uniform(np.log(5.0), np.log(21.0), 64))
+_CYCLES = np.exp(_waves.uniform(np.log(4.0), np.log(14.0), 64))
 _TURNS, _PHASES = _waves.uniform(0, 2 * np.pi, 64), _waves.uniform(0, 2 * np.pi, 64)
 
 
 def _wave_images() -> np.ndarray:
-    """64 plane waves of 5 to 21 cycles an image, of any direction; longer waves are stronger."""
+    """64 plane waves of 4 to 14 cycles an image, of any direction; longer waves are stronger."""
     y, x = np.mgrid[0:SIDE, 0:SIDE] / SIDE
     waves = np.cos(2 * np.pi * _CYCLES[:, None, None] * (np.cos(_TURNS)[:, None, None] * x + np.sin(_TURNS)[:, None, None] * y) + _PHASES[:, None, None])
     return (waves / np.sqrt(_CYCLES)[:, None, None]).reshape(64, -1).astype(np.float32)
