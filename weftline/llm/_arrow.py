@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import gc
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -166,13 +167,16 @@ _FOLDERS: list[tuple] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, else (only where it is unset, as in tests) under a folder of this user.
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Results are read from it later, so it stays until the driver's Python ends.
+    Where neither is set, a local master (tests) gets a folder under /tmp; on a cluster that is an error, since executors
+    would write to their own disks.  Results are read from the folder later, so it stays until the driver's Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_dir.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = set_dir.get() if set_dir.isDefined() else "file:///tmp/checkpoints"
     folder = f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}"
     if not _FOLDERS:
@@ -196,6 +200,12 @@ def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, folder: str, name: str) -> None:
+    """Deletes a kept table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def released(spark: SparkSession) -> None:
     """Frees shuffle files of stages whose results are written: they go when the driver's JVM has collected their handles."""
     gc.collect()

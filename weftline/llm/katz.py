@@ -32,6 +32,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrow import Words, hash64, kept, mixed, pack, partitions, planes, released, shared_folder, slices, sums, texts_of, unpack, unplanes
+from ._arrow import Words, dropped, hash64, kept, mixed, pack, partitions, planes, released, shared_folder, slices, sums, texts_of, unpack, unplanes
 
 ORDER = 3
 LAST = 5
@@ -174,9 +175,9 @@ class Grams:
 
 
 class Block:
-    """A stored block with its n-grams; ``grams[k - 1]`` are those of k tokens."""
+    """A stored block with its n-grams of at least ``least`` tokens; ``grams[k - 1]`` are those of k tokens."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, least: int = 1):
         self.part, self.number = row["part"], row["number"]
         self.ids = unplanes(row["ids"], np.int64)
         n = len(self.ids)
@@ -186,11 +187,12 @@ class Block:
         self.text = np.repeat(np.arange(n), np.diff(self.starts))
         self.place = np.arange(len(word)) - self.starts[self.text]
         self.before = np.arange(len(word)) - 1  # the token at which a context ends; not used where none does
-        keys, self.grams = word, [Grams(word, np.ones(len(word), bool))]
-        for k in range(2, order + 1):
-            context = np.where(self.place > 0, keys[self.before], START)
-            keys = mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
-            self.grams.append(Grams(keys, self.place + 2 >= k))
+        keys, self.grams = word, []
+        for k in range(1, order + 1):
+            if k > 1:
+                context = np.where(self.place > 0, keys[self.before], START)
+                keys = mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
+            self.grams.append(Grams(keys, self.place + 2 >= k) if k >= least else None)
 
     def training(self) -> np.ndarray:
         return ~self.held[self.text]
@@ -202,14 +204,15 @@ def _spread(buckets: int, gram: int) -> int:
 
 
 def _ask(blocks: DataFrame, buckets: int, order: int) -> DataFrame:
+    """The n-grams of ``order`` tokens of each block."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block = Block(batch.slice(k, 1).to_pylist()[0], order)
-                training = block.training()
-                for gram, own in enumerate(block.grams, 1):
-                    n, held = own.sums(training), own.sums(~training) > 0
-                    yield _batch([(gram, bucket, block.part, block.number, pack(own.keys[s]), planes(n[s]), _bits(held[s])) for bucket, s in _dealt(own.keys, _spread(buckets, gram))], _ASK)
+                block = Block(batch.slice(k, 1).to_pylist()[0], order, order)
+                training, own = block.training(), block.grams[order - 1]
+                n, held = own.sums(training), own.sums(~training) > 0
+                yield _batch([(order, bucket, block.part, block.number, pack(own.keys[s]), planes(n[s]), _bits(held[s])) for bucket, s in _dealt(own.keys, _spread(buckets, order))], _ASK)
 
     return blocks.mapInArrow(ask, _ASK)
 
@@ -370,8 +373,11 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     blocks = kept(_encode(docs), folder, "blocks")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
-    answers = kept(_ask(blocks, buckets, order).groupBy("gram", "bucket").applyInArrow(_answer, _ANSWER), folder, "answers")
-    released(spark)
+    tables = []
+    for k in range(1, order + 1):  # one order after another, so that one table's records are on the way at a time
+        tables.append(kept(_ask(blocks, buckets, k).groupBy("gram", "bucket").applyInArrow(_answer, _ANSWER), folder, f"answers-{k}"))
+        released(spark)
+    answers = functools.reduce(DataFrame.unionByName, tables)
     stats = _stats(answers, order)
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -380,6 +386,8 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     back = answers.where("kind = 'a'").select("gram", "bucket", "part", "number", "n", "held", "own")
     scored = kept(blocks.groupBy("part", "number").cogroup(back.groupBy("part", "number")).applyInArrow(score, _SCORED), folder, "scored")
     released(spark)
+    for name in ("blocks", *(f"answers-{k}" for k in range(1, order + 1))):
+        dropped(spark, folder, name)
 
     def alphas(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return _alphas(left, right)
