@@ -209,13 +209,68 @@ def test_mix_lies_in_shards(docs, tmp_path):
     assert got == planned and len(rows) == sum(map(len, files.values()))
 
 
-def test_splitting_tree_keeps_quotas(spark):
-    blocks = spark.createDataFrame([(s, k, k % 7 != 0) for s in ("a", "b", None) for k in range(1, 60)], "source string, _rank long, _taken boolean")
-    got = mixing.deal(blocks, 3, 8).collect()
-    assert len(got) == len({(r.source, r._rank) for r in got}) == 177
-    per = collections.Counter(r.shard for r in got if r._taken)
-    assert len(per) == 8 and max(per.values()) - min(per.values()) <= 1
-    assert all((r.shard is None) == (not r._taken) for r in got)
+@pytest.mark.parametrize("shards", [1, 5, 8, 16])
+def test_splitting_tree_keeps_quotas(spark, shards):
+    have = {1: 50, 2: 7, 3: 0, 4: 200, 5: 1}
+    got = mixing.split_quotas(spark.createDataFrame(list(have.items()), "nth int, n long"), 3, shards).collect()
+    assert len(got) == len(have) * shards and min(r.quota for r in got) >= 0
+    source, shard = collections.Counter(), collections.Counter()
+    for r in got:
+        source[r.nth] += r.quota
+        shard[r.shard] += r.quota
+    assert {k: source[k] for k in have} == have and sorted(shard) == list(range(shards)) and max(shard.values()) - min(shard.values()) <= 1
+
+
+def test_splitting_tree_draws_by_the_hypergeometric_law(spark):
+    """Over many seeds, the left half's blocks of the first source have the law's mean and variance."""
+    counts = spark.createDataFrame([(1, 12), (2, 20), (3, 8)], "nth int, n long").coalesce(1)
+    draws = [mixing.split_quotas(counts, seed, 2).where("nth = 1 and shard = 0").select("quota") for seed in range(24)]
+    while len(draws) > 1:
+        draws = [a.unionAll(b) for a, b in zip(draws[::2], draws[1::2], strict=False)] + draws[len(draws) // 2 * 2 :]
+    got = [r.quota for r in draws[0].collect()]
+    mean, variance = 6.0, 20 * (12 / 40) * (28 / 40) * (20 / 39)
+    assert abs(np.mean(got) - mean) < 4 * math.sqrt(variance / 24) and 0.3 * variance < np.var(got) < 2.5 * variance
+
+
+def test_mix_keeps_equal_rows_of_several_sources(spark):
+    same = "w1 w2 w3 w4"
+    rows = [(1, same, s) for s in ("a", "b", None) for _ in range(5)] + [(1, same, "a")] * 3 + [(k, " ".join(f"x{k}y{j}" for j in range(k % 13)), "abc"[k % 3]) for k in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in ("_key", "_size", "h", "place", "row", "block", "taken", "nth", "shard", "size", "text_", "copy")}).repartition(4)
+    report = collections.Counter()
+    for r in mixing.mixing_report(docs).collect():
+        report[r.doc_id, r.source_size, r.target] += r.taken
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(split(t))
+    taken = collections.Counter()
+    for r in got:
+        assert r["h"] == 7 and r["shard"] == 7
+        taken[r["source"]] += len(split(r["text"]))
+    by_size = collections.Counter()
+    for (_, n, target), k in report.items():
+        by_size[n, target] += k
+    want = {(sizes[s], taken[s]) for s in sizes}
+    assert {(n, k) for (n, _), k in by_size.items()} == want and all(abs(k - t) <= 0.5 for (_, t), k in by_size.items())
+    assert all(taken[s] <= 2 * n for s, n in sizes.items()) and len(want) == 4
+
+
+def test_mix_of_one_repeated_row(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 5000 + [(2, "four five", "b")] * 1000, "doc_id long, text string, source string")
+    report = mixing.mixing_report(docs).collect()
+    assert len(report) == 6000
+    for source, words in (("a", 3), ("b", 2)):
+        own = [r for r in report if r["size"] == words]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5 and max(r.taken for r in own) <= 2 * words
+        assert sum(len(split(r["text"])) for r in mixing.mix(docs).where(F.col("source") == source).collect()) == sum(r.taken for r in own)
+
+
+def test_mixing_plan_has_no_window_over_rows(docs):
+    """Single-partition exchanges move sources or their counts, not blocks or rows."""
+    plan = mixing.mixing_report(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange SinglePartition" not in plan
 
 
 # --- 5 tokens
