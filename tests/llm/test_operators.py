@@ -141,6 +141,49 @@ def test_shards_cut_a_group_of_equal_texts(spark):
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 16
 
 
+def check_shards(got, shards, slack):
+    """Slots are gapless and sizes near equal."""
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    assert all(sorted(x.slot for x in own) == list(range(len(own))) for own in by.values())
+    sizes = [sum(x.size for x in by[k]) for k in range(shards)]
+    assert max(sizes) - min(sizes) <= slack, sizes
+
+
+@pytest.mark.parametrize("part_bytes", [sharding.PART_BYTES, 1500])
+def test_shards_of_repeated_rows(spark, part_bytes):
+    """Rows that agree in everything, without an id, are half of all."""
+    docs = spark.createDataFrame([(None, "one and the same", "x")] * 4000 + [(k, f"text {k:012d}", "y") for k in range(4000)], "doc_id long, text string, extra string").repartition(6)
+    got = sharding.shard(docs, part_bytes=part_bytes).collect()
+    assert collections.Counter((r.doc_id, r.size) for r in got) == {(None, 17): 4000, **{(k, 18): 1 for k in range(4000)}}
+    check_shards(got, 16, 2 * 0.002 * 8700 + 2 * 18)
+
+
+def test_shards_of_one_repeated_row(spark):
+    docs = spark.createDataFrame([(7, "x" * 9)] * 1601, "doc_id long, text string")
+    check_shards(sharding.shard(docs).collect(), 16, 2 * 0.002 * 1000 + 20)
+    got = sharding.sharded(docs.withColumns({c: F.lit("clash") for c in ("row", "part", "h", "d", "e", "shard", "slot", "m", "run")})).collect()
+    assert len(got) == 1601 and {r["part"] for r in got} == {"clash"} and sorted({r["_shard"] for r in got}) == list(range(16))
+
+
+def test_shards_of_extreme_ids(spark):
+    top, bottom = 2**63 - 1, -(2**63)
+    rows = [(i, "same text") for i in (top, bottom, top - 1, bottom + 1, None, 0)] * 40 + [(top, "other"), (None, None)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=5).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
+    check_shards(got, 5, 2 * 10 + 4)
+
+
+def test_cuts_lie_at_the_nearer_side(spark):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(k, "t" * r.choice([5, 300, 2000]) + str(k)) for k in range(300)], "doc_id long, text string")
+    got = sharding.shard(docs, shards=4, tolerance=0.0).collect()
+    total, largest = sum(x.size for x in got), max(x.size for x in got)
+    upto = np.cumsum([sum(x.size for x in got if x.shard == k) for k in range(4)])
+    assert all(abs(upto[k] - total * (k + 1) // 4) <= largest / 2 + 1 for k in range(3))
+
+
 # --- 3 toxicity
 
 
