@@ -326,6 +326,39 @@ def test_token_counts(docs, rows):
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want and all(r.over_limit == (r.n_tokens > 1024) for r in got)
 
 
+def test_long_documents_are_spliced(spark):
+    """The test table's own documents, at the production chunk."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tokenizer = tokens.load(tokens.VOCABULARY)
+    got = {r.doc_id: r for r in tokens.count_tokens(docs).collect()}
+    long = 0
+    for r in docs.collect():
+        text, own = r.text or "", got[r.doc_id]
+        assert own.n_tokens == len(tokenizer.encode(text, add_special_tokens=False))
+        if len(text.encode()) > tokens.CHUNK:
+            long += 1
+            assert own.n_chunks >= 2 and own.n_splices >= 1
+    assert long > 50
+
+
+def test_splicing_widens_and_stays_linear():
+    tokenizer = tokens.load(tokens.VOCABULARY)
+    spliced = tokens.Spliced(tokenizer, 300, 20)
+    text = ("word " * 30 + "x" * 120) * 40  # boundaries lie further back than the overlap
+    assert spliced.count(text) == len(tokenizer.encode(text, add_special_tokens=False)) and spliced.widened > 10 and spliced.splices > 10
+
+    class Counting:
+        read = 0
+
+        def encode(self, text, add_special_tokens):
+            Counting.read += len(text)
+            return tokenizer.encode(text, add_special_tokens=add_special_tokens)
+
+    text = "漢" * 60_000  # no boundary at all
+    assert tokens.Spliced(Counting(), 300, 20).count(text) == len(tokenizer.encode(text, add_special_tokens=False))
+    assert Counting.read < 4 * len(text)
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(200, 10), (1000, 40), (4096, 64)])
 def test_splices_agree_with_whole_texts(chunk, overlap):
     r = random.Random(9)
@@ -333,6 +366,9 @@ def test_splices_agree_with_whole_texts(chunk, overlap):
     tokenizer = tokens.load(tokens.VOCABULARY)
     for t in texts:
         assert tokens.count_long(tokenizer, t, chunk, overlap) == len(tokenizer.encode(t, add_special_tokens=False))
+    got = tokens.token_counts(pa.array([*texts, "", *texts[::-1]]), chunk=chunk, overlap=overlap)
+    want = [len(tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+    assert got["n_tokens"].tolist() == [*want, 0, *want[::-1]]
 
 
 # --- 6 substring
