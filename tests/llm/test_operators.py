@@ -60,7 +60,7 @@ def odd(spark):
     """Repeated rows, a null id, a very long text, and extra columns whose names clash with the operators' own."""
     long = " ".join(f"w{k % 5000}" for k in range(40_000))
     data = [(1, "same words here " * 10, "x", 1), (1, "same words here " * 10, "x", 1), (None, "no id at all " * 10, None, 2), (2, long, "y", 3), (3, None, None, 4)]
-    return spark.createDataFrame(data, "doc_id long, text string, source string, size int").withColumns({c: F.lit("clash") for c in ("group", "bucket", "kind", "rank", "label", "shard", "part", "h", "component_id", "cluster", "block")})
+    return spark.createDataFrame(data, "doc_id long, text string, source string, size int").withColumns({c: F.lit("clash") for c in ("group", "bucket", "kind", "rank", "label", "shard", "part", "h", "component_id", "cluster", "block", "_key", "_size", "new_text", "_id", "_block", "id", "row", "_part", "_h", "_order", "n", "e", "place")})
 
 
 @pytest.fixture(scope="module")
@@ -404,8 +404,24 @@ def test_index_compacts(spark, docs, tmp_path):
     assert len(index.runs) < 5 and max(level for level, _ in index.runs) >= 1
     for _, path in index.runs:
         for row in spark.read.parquet(path).where("kind = 'r'").collect():
-            keys = _arrow.unpack(row["keys"])
-            assert (keys[1:] > keys[:-1]).all()
+            keys, around = _arrow.unpack(row["keys"]), _arrow.unplanes(row["extra"], np.uint32)
+            assert ((keys[1:] > keys[:-1]) | ((keys[1:] == keys[:-1]) & (around[1:] > around[:-1]))).all()
+
+
+def test_stored_index_takes_new_batches(spark, docs, rows, tmp_path):
+    """Batches added to a stored index, opened anew each time, give what the whole run gives; a compaction comes with the second."""
+    want = brute_substring(rows)
+    ids = sorted({i for i, *_ in rows})
+    cuts, folder, got, history = [-1, ids[40], ids[80], ids[110], ids[-1]], str(tmp_path / "index"), {}, docs.limit(0)
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        batch = docs.where((F.col("doc_id") > low) & (F.col("doc_id") <= high))
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_increment(batch, history, folder).collect()}
+        history = history.unionByName(batch)
+    assert got == want
+    index = substring.FingerprintIndex.open(spark, folder)
+    assert index.version == 4 and max(level for level, _ in index.runs) >= 1 and len(index.runs) < 4
+    with pytest.raises(ValueError):
+        substring.substring_increment(docs.limit(3), history, folder)
 
 
 def test_spark_hash(spark):

@@ -7,10 +7,12 @@ same one.
 The index holds fingerprints of selected windows.  Of every window's ``GRAM``-word hashes the
 smallest is selected (the leftmost of equal ones), so equal windows select equal hashes at the
 same place, and about one place in seven is kept.  The index is a list of immutable runs, each a
-table sorted by hash within hash buckets: (hash, first document, place, whether it was seen twice).
+table sorted by hash within hash buckets: (hash, 32 bits of all windows that select it there, first document and place of both, whether the hash was seen twice).
 A new batch is sorted likewise and merge-joined with each run: hashes seen before, or twice in the
 batch, give suspect places, on either side.  Then the batch becomes a run of its own; ``FANOUT``
-runs of a level are compacted into one of the next, keeping the first place of each hash.
+runs of a level are compacted into one of the next, keeping the first place of each hash and surroundings.  The list of runs is stored with
+them, a version for each batch, so ``FingerprintIndex.open`` goes on with a stored index, and ``substring_increment``
+tells of a new batch against all batches before: only its documents and the older ones under suspicion are read again.
 
 Suspects are verified by their whole windows: every window around a suspect place is hashed again
 with other functions to 64 and 32 bits over all its words, and windows equal in both are one
@@ -33,12 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._arrow import Words, kept, pack, partitions, planes, ragged, rolled, shared_folder, slices, sums, texts_of, unpack, unplanes
+from ._arrow import Words, kept, mixed, pack, partitions, planes, ragged, rolled, shared_folder, slices, sums, texts_of, unpack, unplanes
 
 WINDOW = 20
 GRAM = 8
 BATCHES = 3
-FANOUT = 4
+FANOUT = 2
 BUCKET_BYTES = 16 << 20
 GROUP_BYTES = 24 << 20
 
@@ -112,8 +114,25 @@ def _records(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
     )
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted columns change."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(out)
+
+
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Which of sorted keys are there twice or more."""
+    again = key[1:] == key[:-1]
+    out = np.zeros(len(key), bool)
+    out[1:] |= again
+    out[:-1] |= again
+    return out
+
+
 def _fingerprints(docs: DataFrame, buckets: int, groups: int, window: int, gram: int) -> DataFrame:
-    """Packed records (kind f) of each slice's selected hashes, one a hash, and marks (kind m) of places seen twice in a slice."""
+    """Packed records (kind f) of each slice's selected hashes, one a hash and surroundings, and marks (kind m) of places whose hash is seen twice in a slice."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -121,38 +140,65 @@ def _fingerprints(docs: DataFrame, buckets: int, groups: int, window: int, gram:
             words = Words(texts_of(batch))
             if not len(words.codes):
                 continue
-            grams, _, at = selected(words.hashes()[words.codes], words.starts, window, gram)
-            at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+            grams, starts, at = selected(words.hashes()[words.codes], words.starts, window, gram)
+            if not len(at):
+                continue
+            own = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            windows = rolled(words.hashes()[words.codes], window, 31)[starts]
+            around = (mixed(np.add.reduceat(windows, own)) >> np.uint64(32)).astype(np.uint32)
+            at = at[own]
             owner = words.doc[at]
             key, doc, place = grams[at], ids[owner], at - words.starts[owner]
-            order = np.lexsort((place, doc, key))
-            key, doc, place = key[order], doc[order], place[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            twice = np.zeros(len(key), bool)
-            again = ~first
-            twice[again] = True
-            twice[:-1] |= again[1:]
+            order = np.lexsort((place, doc, around, key))
+            key, around, doc, place = key[order], around[order], doc[order], place[order]
+            twice = _repeated(key)
             if twice.any():
                 yield _rows("m", _group_of(doc[twice], groups), None, None, doc[twice], place[twice], None)
-            key, doc, place, flag = key[first], doc[first], place[first], twice[first]
-            yield _rows("f", (key % np.uint64(buckets)).astype(np.int64), key, None, doc, place, flag)
+            first = _starts(key, around)
+            key, around, doc, place, flag = key[first], around[first], doc[first], place[first], twice[first]
+            yield _rows("f", (key % np.uint64(buckets)).astype(np.int64), key, around, doc, place, flag)
 
     return docs.select("doc_id", "text").mapInArrow(find, _RECORD)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window hashes in a shared folder."""
+    """Sorted immutable runs of window hashes in a shared folder, with a list of them for each version of the index."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int, groups: int, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
         self.spark, self.folder, self.buckets, self.groups, self.window, self.gram, self.fanout = spark, folder, buckets, groups, window, gram, fanout
         self.runs: list[tuple[int, str]] = []  # level and path, older runs first
-        self.made = 0
+        self.made = self.version = 0
+        self.last: int | None = None  # the largest id
+
+    @staticmethod
+    def open(spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The last version of a stored index; what a batch that failed has left is not in its list."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/lists")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = [f.getPath().getName() for f in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        rows = spark.read.parquet(f"{folder}/lists/{max(done, key=int)}").orderBy("nth").collect()  # a few runs
+        head = rows[0]
+        index = FingerprintIndex(spark, folder, head["buckets"], head["groups"], head["window"], head["gram"], head["fanout"])
+        index.runs = [(r["level"], r["path"]) for r in rows if r["path"]]
+        index.made, index.version, index.last = head["made"], int(max(done, key=int)), head["last"]
+        return index
+
+    def save(self) -> None:
+        """Stores the list of runs as a new version."""
+        self.version += 1
+        head = (self.buckets, self.groups, self.window, self.gram, self.fanout, self.made, self.last)
+        rows = [(k, level, path, *head) for k, (level, path) in enumerate(self.runs)] or [(0, 0, None, *head)]
+        schema = "nth int, level int, path string, buckets int, groups int, window int, gram int, fanout int, made int, last long"
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/lists/{self.version}")
 
     def _read(self, path: str, number: int) -> DataFrame:
         return self.spark.read.schema(_RECORD).parquet(path).where("kind = 'r'").withColumn("run", F.lit(number))
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Merge-joins a batch with all runs, makes it a run, and returns packed marks of suspect places on either side."""
+    def add(self, docs: DataFrame, alone: bool = False) -> DataFrame:
+        """Merge-joins a batch with all runs, makes it a run, and returns packed marks of suspect places on either side.
+
+        Places marked for batches before are marked again only if the batch is looked at ``alone``.
+        """
         new = _fingerprints(docs, self.buckets, self.groups, self.window, self.gram)
         # marks need no meeting: they go to any bucket's group
         rows = new.withColumn("run", F.lit(-1)).withColumn("to", F.when(F.col("kind") == "m", F.pmod("bucket", F.lit(self.buckets))).otherwise(F.col("bucket")))
@@ -161,14 +207,15 @@ class FingerprintIndex:
         groups = self.groups
 
         def meet(table: pa.Table) -> pa.Table:
-            return _meet(table, groups)
+            return _meet(table, groups, alone)
 
         self.made += 1
-        path = f"{self.folder}/run-0-{self.made}"
+        path = f"{self.folder}/run-0-{self.version}-{self.made}"
         rows.groupBy("to").applyInArrow(meet, _RECORD).write.mode("overwrite").parquet(path)
         self.runs.append((0, path))
         marks = self.spark.read.schema(_RECORD).parquet(path).where("kind = 'm'")
         self._compact()
+        self.save()
         return marks
 
     def _compact(self) -> None:
@@ -186,56 +233,52 @@ class FingerprintIndex:
             level += 1
 
 
-def _first_of(key: np.ndarray, doc: np.ndarray, place: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The first place of each key, and whether any of its records was flagged; keys sorted."""
-    order = np.lexsort((place, doc, key))
-    key, doc, place, flag = key[order], doc[order], place[order], flag[order]
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[at], doc[at], place[at], np.maximum.reduceat(flag, at) if len(at) else flag
-
-
 def _merge(table: pa.Table) -> pa.Table:
-    """Runs of one bucket as one: the first place of each hash, and whether any run has it twice."""
-    key, _, doc, place, flag = _records(table)
-    key, doc, place, flag = _first_of(key, doc, place, flag)
-    return pa.Table.from_batches([_rows("r", np.full(len(key), table.column("bucket")[0].as_py()), key, None, doc, place, flag)])
+    """Runs of one bucket as one: the first place of each hash and surroundings, and whether any run has the hash twice."""
+    key, around, doc, place, flag = _records(table)
+    order = np.lexsort((place, doc, around, key))
+    key, around, doc, place, flag = key[order], around[order], doc[order], place[order], flag[order]
+    of_key = _starts(key)
+    flag = np.repeat(np.maximum.reduceat(flag, of_key) if len(of_key) else flag, np.diff(np.append(of_key, len(key))))
+    at = _starts(key, around)
+    return pa.Table.from_batches([_rows("r", np.full(len(at), table.column("bucket")[0].as_py()), key[at], around[at], doc[at], place[at], flag[at])])
 
 
-def _meet(table: pa.Table, groups: int) -> pa.Table:
+def _meet(table: pa.Table, groups: int, alone: bool) -> pa.Table:
     run = table.column("run").to_numpy()
     kind = np.array(table.column("kind").to_pylist(), object)
     through = table.filter(pa.array(kind == "m")).select(_NAMES)
     out = [through]
     fresh = table.filter(pa.array(kind == "f"))
     if fresh.num_rows:
-        key, _, doc, place, flag = _records(fresh)
-        order = np.lexsort((place, doc, key))
-        key, doc, place, flag = key[order], doc[order], place[order], flag[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, around, doc, place, flag = _records(fresh)
+        order = np.lexsort((place, doc, around, key))
+        key, around, doc, place, flag = key[order], around[order], doc[order], place[order], flag[order]
+        at = _starts(key)
         size = np.diff(np.append(at, len(key)))
         once = key[at]
-        known = np.zeros(len(once), np.int8)  # 1: in a run, 2: there with the mark of having been seen twice
+        known = np.zeros(len(once), bool)
         marked_doc, marked_place = [], []
         for r in sorted(set(run[run >= 0].tolist()), reverse=True):  # newer runs first
             old, _, old_doc, old_place, old_flag = _records(table.filter(pa.array(run == r)))
-            where = np.minimum(np.searchsorted(old, once), len(old) - 1)
-            hit = old[where] == once
-            tell = hit & (known == 0) & (old_flag[where] == 0)
-            marked_doc.append(old_doc[where[tell]])
-            marked_place.append(old_place[where[tell]])
-            known = np.where(hit, np.maximum(known, 1 + old_flag[where]), known).astype(np.int8)
-        seen = (size > 1) | (known > 0)
+            low, high = np.searchsorted(old, once, side="left"), np.searchsorted(old, once, side="right")
+            hit = low < high
+            # a hash with the mark of having been seen twice had all its places marked then, as had one that a newer run knows
+            tell = hit & (alone | (~known & (old_flag[np.minimum(low, len(old) - 1)] == 0)))
+            index = ragged(low[tell], (high - low)[tell])
+            marked_doc.append(old_doc[index])
+            marked_place.append(old_place[index])
+            known |= hit
+        seen = (size > 1) | known
         suspect = np.repeat(seen, size) & (flag == 0)
         marked_doc.append(doc[suspect])
         marked_place.append(place[suspect])
         docs, places = np.concatenate(marked_doc), np.concatenate(marked_place)
         if len(docs):
             out.append(pa.Table.from_batches([_rows("m", _group_of(docs, groups), None, None, docs, places, None)]))
-        flags = np.maximum(np.maximum.reduceat(flag, at), seen.astype(np.int8))
-        write = known < 2
-        if write.any():
-            bucket = np.full(int(write.sum()), fresh.column("bucket")[0].as_py())
-            out.append(pa.Table.from_batches([_rows("r", bucket, once[write], None, doc[at][write], place[at][write], flags[write])]))
+        flags = np.repeat(np.maximum(np.maximum.reduceat(flag, at), seen.astype(np.int8)), size)
+        write = _starts(key, around)
+        out.append(pa.Table.from_batches([_rows("r", np.full(len(write), fresh.column("bucket")[0].as_py()), key[write], around[write], doc[write], place[write], flags[write])]))
     return pa.concat_tables([t.cast(out[-1].schema) if t.schema != out[-1].schema else t for t in out])
 
 
@@ -339,29 +382,21 @@ def _texts(docs: pa.Table, marks: pa.Table, window: int) -> pa.Table:
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["doc_id", "new_text"])
 
 
-def _later_windows(docs: DataFrame, batches: int, window: int, gram: int) -> tuple[DataFrame, DataFrame, int]:
-    """Documents keyed by group, packed marks (bucket: group) of all windows that are not first, and the number of groups."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
-    some = docs.where("doc_id is not null")
-    cuts = [k / batches for k in range(1, batches)]
-    seen = some.agg(F.sum(F.octet_length("text")).alias("n"), F.percentile_approx("doc_id", cuts or [0.5], 1000).alias("cuts")).first()
-    size = seen["n"] or 0
-    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
-    groups = max(partitions(spark), -(-size // GROUP_BYTES))
-    index = FingerprintIndex(spark, f"{folder}/index", buckets, groups, window, gram)
-    edges = [None, *sorted(set(seen["cuts"] or []))[: batches - 1], None]
-    marks = None
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        part = some if low is None else some.where(F.col("doc_id") > low)
-        got = index.add(part if high is None else part.where(F.col("doc_id") <= high))
-        marks = got if marks is None else marks.unionByName(got)
-    keyed = some.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    light = keyed.select("group", "doc_id", "text")
+def _sizes(docs: DataFrame) -> tuple[int, int]:
+    """Buckets and groups for texts of this size."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    least = partitions(docs.sparkSession)
+    return max(least, -(-size // BUCKET_BYTES)), max(least, -(-size // GROUP_BYTES))
+
+
+def _verified(keyed: DataFrame, marks: DataFrame, index: FingerprintIndex, folder: str) -> DataFrame:
+    """Packed marks (bucket: group) of all windows at suspect places that are not first."""
+    buckets, groups, window, gram = index.buckets, index.groups, index.window, index.gram
 
     def windows(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return _windows(left, right, buckets, groups, window, gram)
 
+    light = keyed.select("group", "doc_id", "text")
     found = kept(light.groupBy("group").cogroup(marks.withColumn("group", F.col("bucket")).groupBy("group")).applyInArrow(windows, _RECORD), folder, "windows")
 
     def first(table: pa.Table) -> pa.Table:
@@ -370,15 +405,60 @@ def _later_windows(docs: DataFrame, batches: int, window: int, gram: int) -> tup
         return pa.Table.from_batches([_rows("m", _group_of(later[0], groups), None, None, later[0], later[1], None)])
 
     later = found.where("kind = 'w'").groupBy("bucket").applyInArrow(first, _RECORD)
-    marks = kept(later.unionByName(found.where("kind = 'm'")), folder, "marks")
-    return keyed, marks.withColumn("group", F.col("bucket")), groups
+    return kept(later.unionByName(found.where("kind = 'm'")), folder, "marks").withColumn("group", F.col("bucket"))
 
 
-def substring_report(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed, marks, _ = _later_windows(rows, batches, window, gram)
+def _keyed(docs: DataFrame, groups: int) -> DataFrame:
+    return docs.where("doc_id is not null").withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+
 
+def _later_windows(docs: DataFrame, batches: int, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text) keyed by group, and packed marks (bucket: group) of all windows that are not first."""
+    spark = docs.sparkSession
+    folder = shared_folder(spark)
+    some = docs.where("doc_id is not null")
+    cuts = [k / batches for k in range(1, batches)]
+    seen = some.agg(F.percentile_approx("doc_id", cuts or [0.5], 1000).alias("cuts")).first()["cuts"]
+    index = FingerprintIndex(spark, f"{folder}/index", *_sizes(some), window, gram)
+    edges = [None, *sorted(set(seen or []))[: batches - 1], None]
+    marks = None
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        part = some if low is None else some.where(F.col("doc_id") > low)
+        got = index.add(part if high is None else part.where(F.col("doc_id") <= high))
+        marks = got if marks is None else marks.unionByName(got)
+    keyed = _keyed(some, index.groups)
+    return keyed, _verified(keyed, marks, index, folder)
+
+
+def substring_increment(docs: DataFrame, history: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """What ``substring_report`` says of ``docs`` among ``history`` and ``docs`` together, from the index stored in ``folder``.
+
+    ``history`` has all documents added before; their ids must be smaller than the new ones, which is checked.  A first batch makes the index.
+    Of ``history`` only documents with suspect places are read on; new ids are not null.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first, last = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/lists")
+    stored = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    index = FingerprintIndex.open(spark, folder) if stored else FingerprintIndex(spark, folder, *_sizes(rows), window, gram)
+    if first is not None and index.last is not None and first <= index.last:
+        raise ValueError(f"id {first} is not larger than {index.last}, which is in the index")
+    index.last = last if last is not None else index.last
+    marks = index.add(rows.where("doc_id is not null"), alone=True)
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs in batch.column("docs").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unplanes(docs, np.int64)))], names=["doc_id"])
+
+    suspects = marks.select("docs").mapInArrow(ids, "doc_id long").distinct()
+    old = history.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(suspects, "doc_id", "left_semi")
+    keyed = _keyed(rows, index.groups)
+    return _reported(rows, keyed, _verified(keyed.unionByName(_keyed(old, index.groups)), marks, index, shared_folder(spark)), index.window)
+
+
+def _reported(rows: DataFrame, keyed: DataFrame, marks: DataFrame, window: int) -> DataFrame:
     def report(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return _report(left, right, window)
 
@@ -394,21 +474,29 @@ def substring_report(docs: DataFrame, batches: int = BATCHES, window: int = WIND
     return out.unionByName(rows.where("doc_id is null").mapInArrow(plain, schema))
 
 
+def substring_report(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed, marks = _later_windows(rows, batches, window, gram)
+    return _reported(rows, keyed, marks, window)
+
+
 def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs`` with the repeated words taken out; texts that lose nothing stay as they are, with their spaces.
 
     A document of which no word is left goes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed, marks, _ = _later_windows(rows, batches, window, gram)
+    keyed, marks = _later_windows(rows, batches, window, gram)
 
     def texts(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return _texts(left, right, window)
 
     cut = keyed.select("group", "doc_id", "text").groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(texts, "doc_id long, new_text string")
-    cut = cut.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(cut, docs["doc_id"].cast("long") == F.col("_id"), "left").where("new_text is null or new_text <> ''")
-    out = joined.withColumn("text", F.coalesce("new_text", "text"))
+    cut = cut.dropDuplicates(["doc_id"])
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))  # so that no column's name can clash
+    joined = whole.join(cut, F.col("id") == F.col("doc_id"), "left").where("new_text is null or new_text <> ''")
+    row = F.col("row").withField("text", F.coalesce("new_text", "row.text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("new_text").isNotNull(), F.length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("new_text").isNotNull(), F.length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return joined.select(row.alias("row")).select("row.*")
