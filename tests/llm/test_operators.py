@@ -102,11 +102,59 @@ def test_quality_counts(docs, rows, spark):
     assert got == want
 
 
-def test_quality_learns(labelled):
+@pytest.fixture(scope="module")
+def graded(spark):
+    """Labels that follow the share of shouted words with some noise, so that probabilities between 0 and 1 are right."""
+    r = random.Random(8)
+    out, labels = [], []
+    for i in range(1600):
+        share = r.random()
+        words = [f"{r.choice('bdgklmn')}{r.choice('aeiou')}{r.choice('lmnrst')}{r.choice('aeiou')}" for _ in range(60)]
+        text = " ".join(w.upper() + "!!" if r.random() < share else w for w in words)
+        out.append((i, text, "en", "s", len(text)))
+        labels.append((i, int(r.random() > 1 / (1 + math.exp(-8 * (share - 0.5)))), 0))
+    return spark.createDataFrame(out, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_of_rows_held_out(labelled, graded):
+    """Rows that the model has not learnt from: right, and with probabilities that come true."""
     docs, labels = labelled
-    got = quality.quality_rules(docs, labels).join(labels, "doc_id").where("not base_failed").collect()
-    right = sum(r.kept == (r.quality == 1) for r in got)
-    assert right > 0.95 * len(got) and all(0 <= r.p_quality <= 1 for r in got)
+    got = quality.quality_rules(docs, labels.where("doc_id % 3 <> 1")).join(labels, "doc_id").where("not base_failed and doc_id % 3 = 1").collect()
+    assert sum(r.kept == (r.quality == 1) for r in got) > 0.95 * len(got) > 100
+    docs, labels = graded
+    got = quality.quality_rules(docs, labels.where("doc_id % 2 = 0")).join(labels, "doc_id").where("doc_id % 2 = 1").collect()
+    p, y = np.array([r.p_quality for r in got]), np.array([r.quality for r in got])
+    q = np.clip(p, 1e-6, 1 - 1e-6)
+    loss, base = -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean(), -(y.mean() * math.log(y.mean()) + (1 - y.mean()) * math.log(1 - y.mean()))
+    assert loss < 0.8 * base
+    for low, high in ((0.0, 0.25), (0.25, 0.5), (0.5, 0.75), (0.75, 1.01)):
+        some = (p >= low) & (p < high)
+        if some.sum() >= 60:
+            assert abs(p[some].mean() - y[some].mean()) < 0.15
+
+
+def test_quality_scores_follow_their_definition(rows):
+    """Logits in plain Python, with n-grams of words and code points."""
+    model = quality.QualityModel(np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32), 0.25, 1.0, 0.0)
+    texts = [t or "" for _, t, *_ in rows[:40]] + ["漢字かな交じり文 漢字かな", "aé漢😀b", "ab"]
+
+    def bucket(chars, factor):
+        key = 0
+        for k, c in enumerate(chars):
+            key = ((key * factor + int.from_bytes(c.encode(), "big")) if k else int.from_bytes(c.encode(), "big")) & 0xFFFFFFFF
+        return (key * factor & 0xFFFFFFFF) >> (32 - quality.BITS)
+
+    got = quality.logits(pa.array(texts), model)
+    for i, text in enumerate(texts):
+        want = 0.25
+        for n, factor in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+            grams = [text[k : k + n] for k in range(len(text) - n + 1)]
+            want += sum(float(model.weights[bucket(g, factor)]) for g in grams) / max(1, len(grams))
+        h = _arrow.hash64([w.encode() for w in split(text)], 7)
+        mask = np.uint64((1 << quality.BITS) - 1)
+        for keys in (_arrow.mixed(h) if len(h) else h, _arrow.rolled(h, 2, 3)):
+            want += float(model.weights[(keys & mask).astype(int)].sum()) / max(1, len(keys))
+        assert got[i] == pytest.approx(want, abs=1e-4)
 
 
 # --- 2 sharding
@@ -201,6 +249,35 @@ def test_subwords_are_shared():
     assert len(sets[0] & sets[1]) > 6 > len(sets[0] & sets[2])
 
 
+def test_toxicity_scores_follow_their_definition(rows):
+    """Scores in plain Python from a model's table: means of words of means of their subwords."""
+    model = toxicity.ToxicModel(np.random.default_rng(1).normal(size=1 << toxicity.BITS).astype(np.float32), -0.5)
+    texts = [t or "" for _, t, *_ in rows[:40]] + ["漢字かな 漢字かな x", "AbC abc ABC é É", ""]
+    got = model.score(toxicity._means(pa.array(texts), model))
+    for i, text in enumerate(texts):
+        words = collections.Counter("".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in split(text))
+        weight = {w: math.log2(1 + n) for w, n in words.items()}
+        total = sum(weight.values()) + toxicity.BLANKS
+        logit = -0.5
+        for w, share in weight.items():
+            bucket, _ = toxicity.subwords(pa.array([w]))
+            assert len(bucket) == 1 + sum(max(0, len(w) + 2 - n + 1) for n in toxicity.SIZES)
+            logit += share / total * float(model.value[bucket].mean())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-5)
+
+
+def test_hot_labelled_ids_leave_room_for_others(spark):
+    """One id repeated more often than the sample is one example."""
+    texts = [(k, f"{'vile' if k % 2 else 'kind'} words number {k}") for k in range(40)]
+    docs = spark.createDataFrame(texts + [(1, "vile words number 1")] * 400, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)] + [(1, 1, 1)] * 400, "doc_id long, quality int, toxic int")
+    chosen = labels.groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    got = quality.examples(chosen, docs, toxicity._bags)
+    assert collections.Counter(y for y, _, _ in got) == {0: 20, 1: 20}
+    model = toxicity.train_toxicity(docs, labels, sample=40)
+    assert (model.score(toxicity._means(pa.array(["vile words number 3", "kind words number 4"]), model)).round() == [1, 0]).all()
+
+
 # --- 4 mixing
 
 

@@ -59,6 +59,18 @@ def utf8(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def characters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all strings in a row, each as the number its one to four bytes make, and the offsets of each string."""
+    first = (raw & 0xC0) != 0x80
+    at = np.flatnonzero(first)
+    out = raw[at].astype(np.uint32)
+    more = np.diff(np.append(at, len(raw))) - 1
+    for k in range(1, 4):
+        some = np.flatnonzero(more >= k)
+        out[some] = (out[some] << np.uint32(8)) | raw[at[some] + k]
+    return out, np.searchsorted(at, off)
+
+
 class Words:
     """Words of a slice: distinct ones, a code for each occurrence, and where each text's words begin."""
 

@@ -1,9 +1,10 @@
 """Quality rules: fixed rules on counts, then a calibrated n-gram classifier.
 
-The classifier is a logistic regression on hashed word 1- and 2-grams and byte 3- and
-4-grams.  A document's features are the shares of each n-gram among all of its kind, so
-long and short texts compare.  It learns from at most ``sample`` labelled rows (those
-with the smallest hash of their id); a fifth of them is set aside for Platt calibration.
+The classifier is a logistic regression on hashed word 1- and 2-grams and character 3- and
+4-grams, of code points.  A document's features are the shares of each n-gram among all of its kind, so
+long and short texts compare.  It learns from at most ``sample`` labelled documents (those
+with the smallest hash of their id); a fifth of them is set aside for Platt calibration.  An id with several labels has the
+larger one, and one with several texts that of the smallest hash.
 Scoring is one pass in Arrow batches; all n-grams of the whole text count.
 
 Defined cases: a null or empty text has no words, so ``base_failed`` is true and ``kept``
@@ -22,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrow import Words, mixed, rolled, slices, sparse, sums, texts_of, unsparse, utf8
+from ._arrow import Words, characters, mixed, rolled, slices, sparse, sums, texts_of, unsparse, utf8
 
 SAMPLE = 3000
 BITS = 18
@@ -110,7 +111,7 @@ def _grams(texts: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.
     first = np.minimum(words.starts[:-1], len(pairs))
     out.append(((pairs & mask).astype(np.int32), first, np.maximum(first, np.minimum(words.starts[1:] - 1, len(pairs)))))
     raw, off = utf8(texts)
-    wide = raw.astype(np.uint32)
+    wide, off = characters(raw, off)
     for n, factor in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
         count = max(0, len(wide) - n + 1)
         key = wide[:count].copy()
@@ -197,11 +198,19 @@ def _platt(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> QualityModel:
-    """Learns from at most ``sample`` labelled rows, chosen by a hash of their id."""
-    chosen = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = chosen.join(docs.select("doc_id", "text"), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("_order"), "text")
-    got = rows.mapInArrow(lambda it: _features(it, bits), "label int, _order long, buckets binary, shares binary").orderBy("_order").limit(2 * sample).toArrow()
-    return _fit(list(zip(got["label"].to_pylist(), got["buckets"].to_pylist(), got["shares"].to_pylist(), strict=True)), bits)
+    """Learns from at most ``sample`` labelled documents, chosen by a hash of their id."""
+    one = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    got = examples(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), docs, lambda it: _features(it, bits))
+    return _fit(got, bits)
+
+
+def examples(chosen: DataFrame, docs: DataFrame, features) -> list[tuple[int, bytes, bytes]]:
+    """Label and packed features of each chosen document (doc_id, label), in an order that reruns keep; one row an id, so they are no more than chosen."""
+    text = F.coalesce("text", F.lit(""))
+    rows = chosen.join(docs.select("doc_id", F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("t")), "doc_id").groupBy("doc_id", "label").agg(F.min("t").alias("t"))
+    rows = rows.select("label", F.xxhash64("doc_id", "t.text").alias("_order"), F.col("t.text").alias("text"))
+    got = rows.mapInArrow(features, "label int, _order long, buckets binary, shares binary").toArrow().sort_by([("_order", "ascending"), ("label", "ascending")])
+    return list(zip(got["label"].to_pylist(), got["buckets"].to_pylist(), got["shares"].to_pylist(), strict=True))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_THRESHOLD, sample: int = SAMPLE) -> DataFrame:

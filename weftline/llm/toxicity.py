@@ -1,11 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-Each lower-cased word (A-Z) with a mark at both ends has itself and its byte 3- to 5-grams as
+Each lower-cased word (A-Z) with a mark at both ends has itself and its character 3- to 5-grams (of code points) as
 subwords, hashed to ``2**BITS`` embeddings of ``DIM`` numbers.  A document's vector is the mean
 over its words of the mean over each word's subwords, where a word found c times weighs
 log2(1 + c) and ``BLANKS`` blank words count along, so that a few chance words don't decide on
-a short or repetitive text; a softmax of two classes follows.  Both
-layers are learnt together with Adagrad from at most ``sample`` labelled rows.  Misspelt words
+a short or repetitive text (a constant set by hand, about a short text's words); a softmax of two classes follows.  Both
+layers are learnt together with Adagrad from at most ``sample`` labelled documents; an id with several labels is toxic if
+one says so, and one with several texts has that of the smallest hash.  Misspelt words
 share most of their n-grams with the known ones and so most of their vector.
 
 Since averaging and the last layer are linear, scoring needs one number per subword, and each
@@ -27,7 +28,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._arrow import Words, ragged, slices, sparse, sums, texts_of, unsparse, utf8
+from ._arrow import Words, characters, ragged, slices, sparse, sums, texts_of, unsparse, utf8
+from .quality import examples
 
 BITS = 19
 DIM = 8
@@ -52,7 +54,7 @@ def _lower(texts: pa.Array) -> pa.Array:
 
 def subwords(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the subwords of each word, in a row, and the offsets of each word's."""
-    raw, off = utf8(distinct)
+    raw, off = characters(*utf8(distinct))
     n_words = len(off) - 1
     lengths = np.diff(off) + 2
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
@@ -64,16 +66,14 @@ def subwords(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     marked[inner] = raw
     word = np.repeat(np.arange(n_words), lengths)
     owner, found = [], []
-    whole = np.zeros(n_words, np.uint64)  # the word itself, as a polynomial over its bytes
+    # the word itself, as a sum over its characters and their places
     place = (np.arange(len(marked)) - starts[word]).astype(np.uint64)
     power = np.uint64(0x100000001B3)
     terms = (marked.astype(np.uint64) + np.uint64(17)) * (place * np.uint64(2) + np.uint64(1)) * power
     terms ^= terms >> np.uint64(29)
     terms *= np.uint64(0xBF58476D1CE4E5B9)
-    np.add.at(whole, word, terms) if n_words < 64 else None
-    if n_words >= 64:
-        total = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
-        whole = total[starts + lengths] - total[starts]
+    total = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
+    whole = total[starts + lengths] - total[starts]
     owner.append(np.arange(n_words))
     found.append((whole >> np.uint64(64 - BITS)).astype(np.int64))
     for n in SIZES:
@@ -165,15 +165,13 @@ def _fit(examples: list[tuple[int, bytes, bytes]], epochs: int = 12, rate: float
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicModel:
-    """Learns from at most ``sample`` rows of ``labels`` (doc_id, toxic), those with the smallest hash of their id.
+    """Learns from at most ``sample`` documents of ``labels`` (doc_id, toxic), those with the smallest hash of their id.
 
     Half of the sample at most goes to either class, so that a rare class is learnt too.
     """
-    rows = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id is not null")
+    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     one = lambda y: rows.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-    joined = one(0).unionByName(one(1)).join(docs.select("doc_id", "text"), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("_order"), "text")
-    got = joined.mapInArrow(_bags, "label int, _order long, buckets binary, shares binary").orderBy("_order").limit(2 * sample).toArrow()
-    return _fit(list(zip(got["label"].to_pylist(), got["buckets"].to_pylist(), got["shares"].to_pylist(), strict=True)))
+    return _fit(examples(one(0).unionByName(one(1)), docs, _bags))
 
 
 def _means(texts: pa.Array, model: ToxicModel) -> np.ndarray:
