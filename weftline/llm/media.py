@@ -43,6 +43,7 @@ RADIUS = 12
 QUERY_POINTS = 1 << 18
 IMAGE_POINTS = 1 << 18
 CANDIDATES = 1 << 18
+HEAVY = 1 << 10  # pairs of points of one key that are compared as a block
 LIST_IMAGES = 100_000  # images that a list of matches is drawn from
 QUALITY = 1.0  # Harris measure of the weakest corner
 APART = 4  # pixels in which a corner is the strongest
@@ -234,21 +235,33 @@ class Tables:
         words, found, total = _words(tests), [np.zeros(0, np.int64)], max(1, self.size)
         for (_, _, masks), keys, (starts, order, own_words) in zip(self.parts, self._keys(tests), self.tables, strict=True):
             probes = (keys[:, None] ^ masks).ravel()
-            first = starts[probes]
-            many = starts[probes + 1] - first
-            used = np.flatnonzero(many)
-            first, many = first[used], many[used]
+            some = np.flatnonzero(starts[probes + 1] > starts[probes])
+            some = some[np.argsort(probes[some], kind="stable")]
+            probes, mine = probes[some], some // len(masks)
+            first, many = starts[probes], starts[probes + 1] - starts[probes]
+            at = np.flatnonzero(_changes(probes))
+            asking = np.diff(np.append(at, len(probes)))
+            heavy = asking * many[at] >= HEAVY
+            for a, n in zip(at[heavy].tolist(), asking[heavy].tolist(), strict=True):  # a key of many points on both sides: all against all, in blocks
+                low, high = int(first[a]), int(first[a] + many[a])
+                rows = max(1, CANDIDATES // (high - low))
+                for b in range(a, a + n, rows):
+                    own = mine[b : min(b + rows, a + n)]
+                    off = np.bitwise_count(words[0][own][:, None] ^ own_words[0][low:high])
+                    i, j = np.nonzero(off <= RADIUS)
+                    near = off[i, j] + np.bitwise_count(words[1][own[i]] ^ own_words[1][low + j]) <= RADIUS
+                    found.append(own[i[near]] * total + order[low + j[near]])
+            light = np.repeat(~heavy, asking)
+            mine, first, many = mine[light], first[light], many[light]
             ends, at = np.cumsum(many), 0
-            while at < len(used):  # a bounded number of candidates at once, or those of one probe
+            while at < len(mine):  # a bounded number of candidates at once
                 stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CANDIDATES, side="right")))
-                mine = np.repeat(used[at:stop] // len(masks), many[at:stop])
-                own = ragged(first[at:stop], many[at:stop])
-                off = np.zeros(len(mine), np.uint8)
-                for asked, has in zip(words, own_words, strict=True):  # most are too far off by the first half already
-                    off = off + np.bitwise_count(asked[mine] ^ has[own])
-                    near = off <= RADIUS
-                    mine, own, off = mine[near], own[near], off[near]
-                found.append(mine * total + order[own])
+                asked, own = np.repeat(mine[at:stop], many[at:stop]), ragged(first[at:stop], many[at:stop])
+                off = np.bitwise_count(words[0][asked] ^ own_words[0][own])
+                near = off <= RADIUS  # most are too far off by the first half already
+                asked, own, off = asked[near], own[near], off[near]
+                near = off + np.bitwise_count(words[1][asked] ^ own_words[1][own]) <= RADIUS
+                found.append(asked[near] * total + order[own[near]])
                 at = stop
         pairs = np.unique(np.concatenate(found))
         return pairs // total, pairs % total
@@ -359,8 +372,8 @@ def _match(asked: pa.Table, block: pa.Table, inliers: int) -> pa.Table:
         q, m = _flat(asked), _flat(block)
         tables = Tables(m["tests"])
         ends, at = np.cumsum(np.bincount(q["image"], minlength=asked.num_rows)), 0
-        while at < len(q["image"]):  # whole queries, some thousand points of them at once
-            stop = int(ends[max(q["image"][at], np.searchsorted(ends, at + 4096, side="right") - 1)])
+        while at < len(q["image"]):  # whole queries, some ten thousand points of them at once
+            stop = int(ends[max(q["image"][at], np.searchsorted(ends, at + 32768, side="right") - 1)])
             qi, mi = tables.close(q["tests"][at:stop])
             if len(qi):
                 out.append(np.stack(_agreeing(q, m, qi + at, mi, inliers)))
