@@ -11,6 +11,7 @@ import contextlib
 import gc
 import os
 import re
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -220,8 +221,10 @@ def dropped(spark: SparkSession, folder: str, name: str) -> None:
 
 def released(spark: SparkSession) -> None:
     """Frees shuffle files of stages whose results are written: they go when the driver's JVM has collected their handles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # a second time for what the first has made unreachable
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def partitions(spark: SparkSession) -> int:
