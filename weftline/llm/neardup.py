@@ -11,7 +11,10 @@ minima, mergeable, and equal with a probability near the Jaccard similarity.
    key.  The components of these ties are candidate clusters: two sets that share any band are in one
    cluster, also when neither is the smallest.  A pair with similarity 0.8 shares none of the bands with
    a probability of about 2e-6.
-3. Within a cluster all pairs count.  Clusters are cut into blocks by a hash, and a task has one pair of
+3. Within a cluster of at most ``BLOCK_SETS`` sets all pairs count.  Of a larger one, the ties themselves come first: each set
+   against the smallest with the same band.  That joins most of a group of copies with as many comparisons as there are ties.
+   What is left are bands whose sets are in different components still; in each, the sets outside of its most frequent component
+   are compared with all, in blocks, and the many inside are not compared with each other.  A task has one pair of
    blocks, of bounded size, so a cluster may have any share of the rows.  In a task, pairs that a joint
    maximum-likelihood estimate from the registers puts far below the threshold (five standard errors) are
    left; the others are confirmed or refuted by exact intersections of full sets.  Pairs already linked
@@ -43,6 +46,7 @@ BANDS = 42
 REGISTERS = ROWS * BANDS
 BLOCK_SETS = 256
 BLOCK_HASHES = 1_000_000
+BUCKET_KEYS = 4_000_000
 SPREAD = 5.0
 
 _SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * MIX) | np.uint64(1)
@@ -138,7 +142,7 @@ def _ties(representatives: DataFrame) -> DataFrame:
     Keys and ids travel packed by bucket; a batch sends one id for each key and ties its others to it at once.
     """
     spark = representatives.sparkSession
-    buckets = max(1, partitions(spark))
+    buckets = max(1, partitions(spark), -(-representatives.count() * BANDS // BUCKET_KEYS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,15 +198,15 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
-def confirmed(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], registers: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among sets (across sides 0 and 1, or all if one side only) that connect all similar ones."""
+def confirmed(ids: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[np.ndarray], registers: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among sets (across sides 0 and 1, or all if one side only) that connect all similar ones; those of one ``known`` component are connected."""
     n = len(ids)
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     _, code = np.unique(flat, return_inverse=True)
     starts = np.cumsum(size) - size
     across = side.min() != side.max()
-    parent = np.arange(n)
+    parent = np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -210,7 +214,7 @@ def confirmed(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], registe
             x = parent[x]
         return x
 
-    label = np.arange(n)
+    label = parent.copy()
     links, mark = [], np.zeros(int(code.max(initial=-1)) + 1, np.int8)
     for i in range(n):
         rest = np.flatnonzero(label != label[i])
@@ -244,41 +248,83 @@ def confirmed(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], registe
     return links
 
 
-def _links(clusters: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links within clusters (doc_id, cluster, blocks, n_shingles)."""
-    block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int")
-    placed = clusters.withColumn("block", block)
+def _pairs_of_blocks(groups: DataFrame) -> DataFrame:
+    """Places (doc_id, cluster, i, j, side, known) of sets (doc_id, cluster, block, first, blocks, known): a set of a block meets all blocks, but those from ``first`` on don't meet each other."""
+    other = F.explode(F.when(F.col("block") < F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("first") - 1)))
+    rows = groups.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return rows.select("doc_id", "cluster", "i", "j", F.when((F.col("i") != F.col("j")) & (F.col("block") == F.col("j")), 1).otherwise(0).alias("side"), "known")
+
+
+def _links(places: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) among sets that meet at a place (doc_id, cluster, i, j, side, known): the two sides, or all if there is one side only."""
+    at = places.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "i", "j", "side", "known")).alias("at"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    mine = texts.join(placed.select("doc_id", "cluster", "blocks", "block").hint("merge"), "doc_id")  # alike at every size
+    mine = texts.join(at.hint("merge"), "doc_id")  # alike at every size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             key, off = shingle_sets(texts_of(batch), shingle)
             registers = sketch(key, off)
-            columns = [batch.column(c) for c in ("doc_id", "cluster", "blocks", "block")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([key[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "cluster", "blocks", "block", "hashes", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), pa.array([key[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "at", "hashes", "registers"])
 
-    rows = mine.mapInArrow(sets, "doc_id long, cluster long, blocks int, block int, hashes binary, registers binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = mine.mapInArrow(sets, "doc_id long, at array<struct<cluster: long, i: int, j: int, side: int, known: long>>, hashes binary, registers binary")
+    rows = rows.withColumn("at", F.explode("at")).select("doc_id", "at.*", "hashes", "registers")
 
     def check(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
+        table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
         ids = table["doc_id"].to_numpy()
-        first = np.concatenate([[True], ids[1:] != ids[:-1]])  # repeated rows of one id are one document
-        table = table.filter(pa.array(first))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        side = np.zeros(len(table), np.int64) if i == j else (table["block"].to_numpy() == j).astype(np.int64)
-        order = np.argsort(side, kind="stable")
-        hashes, registers = table["hashes"].to_pylist(), table["registers"].to_pylist()
-        found = confirmed(table["doc_id"].to_numpy()[order], side[order], [np.frombuffer(hashes[k], np.uint64) for k in order], np.stack([np.frombuffer(registers[k], np.uint16) for k in order]), percent)
-        if i != j and side.min() == side.max():
-            found = []
+        table = table.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]])))  # repeated rows of one id are one document
+        ids, side, known = (table[c].to_numpy() for c in ("doc_id", "side", "known"))
+        found = []
+        if table["i"][0].as_py() == table["j"][0].as_py() or side.min() != side.max():
+            sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+            found = confirmed(ids, side, known, sets, np.stack([np.frombuffer(x, np.uint16) for x in table["registers"].to_pylist()]), percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("cluster", "i", "j").applyInArrow(check, "a long, b long")
 
 
+def _blocks(sets: DataFrame, *by: str) -> DataFrame:
+    """How many blocks the sets (n_shingles) of each group need."""
+    per = sets.groupBy(*by).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    return per.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_HASHES)).cast("int"))
+
+
+def _block_of(blocks) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks).cast("int")
+
+
+def _star_places(ties: DataFrame, large: DataFrame) -> DataFrame:
+    """Places at which each set of a large cluster (doc_id, n_shingles) meets those that it is tied to."""
+    mine = ties.distinct().join(large.select(F.col("doc_id").alias("a"), "n_shingles"), "a")
+    per = _blocks(mine, "b").select("b", "blocks")
+    members = mine.join(per, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("cluster"), "blocks")
+    members = members.withColumn("j", _block_of(F.col("blocks")) + 1).select("doc_id", "cluster", F.lit(0).alias("i"), "j", F.lit(1).alias("side"), F.col("doc_id").alias("known"))
+    hubs = per.select(F.col("b").alias("doc_id"), F.col("b").alias("cluster"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), F.col("blocks"))).alias("j"), F.lit(0).alias("side"), F.col("b").alias("known"))
+    return members.unionByName(hubs)
+
+
+def _band_places(sets: DataFrame, folder: str) -> DataFrame:
+    """Places for sets (doc_id, n_shingles, registers, known) that share a band and are not all in one component."""
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                each = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(each) for c in ("doc_id", "n_shingles", "known")] + [pa.array(band_keys(registers).ravel().view(np.int64))], names=["doc_id", "n_shingles", "known", "cluster"])
+
+    rows = kept(sets.mapInArrow(bands, "doc_id long, n_shingles long, known long, cluster long"), folder, "bands")
+    mixed_keys = rows.groupBy("cluster").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("cluster")
+    rows = kept(rows.join(mixed_keys, "cluster", "left_semi"), folder, "mixed-bands")
+    most = rows.groupBy("cluster", "known").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "known"))["known"].alias("main"))
+    rows = rows.join(most, "cluster").withColumn("in_main", F.col("known") == F.col("main"))
+    per = _blocks(rows, "cluster", "in_main")
+    per = per.groupBy("cluster").agg(F.coalesce(F.max(F.when(~F.col("in_main"), F.col("blocks"))), F.lit(0)).alias("first"), F.coalesce(F.max(F.when(F.col("in_main"), F.col("blocks"))), F.lit(0)).alias("rest"))
+    rows = rows.join(per, "cluster").withColumn("block", F.when(F.col("in_main"), F.col("first") + _block_of(F.greatest("rest", F.lit(1)))).otherwise(_block_of(F.greatest("first", F.lit(1)))))
+    return _pairs_of_blocks(rows.select("doc_id", "cluster", "block", "first", (F.col("first") + F.col("rest")).alias("blocks"), "known"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     folder = shared_folder(docs.sparkSession)
@@ -287,13 +333,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     full = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = light.where(full).groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     first = prints.where(full).join(classes.select(F.col("class_id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    candidates = components(_ties(first), folder, "ties")
+    ties = kept(_ties(first), folder, "tied")
+    candidates = components(ties, folder, "ties")
     sizes = first.select("doc_id", "n_shingles").join(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id", "left")
     sizes = sizes.withColumn("cluster", F.coalesce("cluster", "doc_id"))
-    per = sizes.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
-    per = per.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_HASHES)).cast("int"))
-    clusters = kept(sizes.join(per.select("cluster", "blocks"), "cluster"), folder, "clusters")
-    links = kept(_links(clusters, docs, shingle, percent), folder, "links")
+    per = _blocks(sizes, "cluster").where("n > 1").select("cluster", "blocks")
+    clusters = kept(sizes.join(per, "cluster"), folder, "clusters")
+    small = clusters.where("blocks = 1").select("doc_id", "cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("doc_id").alias("known"))
+    large = clusters.where("blocks > 1")
+    links = kept(_links(small.unionByName(_star_places(ties, large)), docs, shingle, percent), folder, "links")
+    if not large.isEmpty():
+        so_far = components(links, folder, "star-cc").select(F.col("node").alias("doc_id"), "component")
+        members = large.join(so_far, "doc_id", "left").select("doc_id", "cluster", "n_shingles", F.coalesce("component", "doc_id").alias("known"))
+        open_ = members.groupBy("cluster").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("cluster")
+        sets = members.join(open_, "cluster", "left_semi").drop("cluster").join(first.select("doc_id", "registers"), "doc_id")
+        more = kept(_links(_band_places(sets, folder), docs, shingle, percent), folder, "more-links")
+        links = links.unionByName(more)
     linked = components(links, folder, "links-cc")
     of_class = classes.join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     of_class = of_class.select("h1", "h2", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
@@ -305,5 +360,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group; repeated rows of one id stay one."""
     kept_ids = near_duplicates(docs, shingle, percent).where("kept").select("doc_id").distinct()
-    some = docs.join(kept_ids.where("doc_id is not null"), "doc_id", "left_semi")
+    some = docs.join(kept_ids.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return some.unionByName(docs.where("doc_id is null")).select(*docs.columns)
