@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -46,19 +44,19 @@ def chunk_bytes(content: str | None, limit: int) -> list[tuple[str, int, int]]:
 
 
 def with_chunks(docs: DataFrame, limit: int = Injection.max_chunk_bytes, text: str = "content") -> DataFrame:
-    """Adds chunks.  Texts whose paragraphs all fit are cut natively; only the others take the Arrow path."""
+    """Adds chunks.  Texts whose paragraphs all fit are cut natively; only the others are sent to Python, in the same pass."""
     limit = limit if limit > 0 else 1200
     paragraphs = F.split(F.col(text), "\n\n", -1)
     fits = F.forall(paragraphs, lambda p: F.octet_length(p) <= limit)
-    native = docs.where(F.coalesce(fits, F.lit(True))).withColumn("chunks", _native_chunks(F.coalesce(F.col(text), F.lit(""))))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", chunks {CHUNK}"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [[{"index": i, "text": t, "byte_offset": o, "length": n} for i, (t, o, n) in enumerate(chunk_bytes(x, limit))] for x in frame[text]]
-            yield frame.assign(chunks=rows)
+    @F.pandas_udf(CHUNK)
+    def packed(texts: pd.Series) -> pd.Series:
+        rows = lambda x: [{"index": i, "text": t, "byte_offset": o, "length": n} for i, (t, o, n) in enumerate(chunk_bytes(x, limit))]
+        return texts.map(lambda x: None if x is None else rows(x))
 
-    return native.unionByName(docs.where(~fits).mapInPandas(run, schema))
+    rows = docs.withColumn("_long", F.when(~fits, F.col(text)))
+    native = _native_chunks(F.when(F.col("_long").isNull(), F.coalesce(F.col(text), F.lit(""))))
+    return rows.withColumn("chunks", F.coalesce(packed("_long"), native)).drop("_long")
 
 
 def _native_chunks(content: Column) -> Column:

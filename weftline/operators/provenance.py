@@ -53,9 +53,13 @@ def tsv(rows: DataFrame) -> Column:
     return F.concat_ws("\t", *parts)
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Appends records by date, sorted as they are asked for."""
-    rows.withColumn("date", F.to_date("timestamp")).repartition("date").sortWithinPartitions("timestamp", "request_id").write.mode("append").partitionBy("date").parquet(path)
+def write(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Appends records by date, sorted as they are asked for; a day is dealt to as many tasks as its rows need."""
+    dated = rows.withColumn("date", F.to_date("timestamp")).hint("rebalance", "date").sortWithinPartitions("date", "timestamp", "request_id").write.partitionBy("date")
+    if batch is None:
+        dated.mode("append").parquet(path)
+    else:
+        dated.mode("overwrite").parquet(f"{path}/batch={batch}")  # a batch that is written again replaces itself
 
 
 def by_request(log: DataFrame, request_id: str) -> DataFrame:

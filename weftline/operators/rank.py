@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,14 +13,6 @@ PROMPT_BYTES = 2000
 _NUMBERS = r"^\[\s*(?:(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|null)(?:\s*,\s*(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|null))*)?\s*\]$"
 
 
-class Reranker(Protocol):
-    """Documents (request_id, idx, query, title, content) to scores (request_id, idx, score); null scores mean failure."""
-
-    name: str
-
-    def scores(self, docs: DataFrame) -> DataFrame: ...
-
-
 def fallback_score(position: Column) -> Column:
     """1.00, 0.99, ... by 0-based position."""
     return F.lit(1.0) - position * F.lit(0.01)
@@ -75,9 +66,12 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(text))) / F.size(asked)).otherwise(F.lit(0.0))
 
 
-def with_fallback(docs: DataFrame, k: int, name: str, score: str = "score") -> DataFrame:
-    """Requests of which any score is null fall back to the original order; others are ranked, top k."""
-    per = Window.partitionBy("request_id")
+def with_fallback(docs: DataFrame, k: int, name: str, score: str = "score", ready: str | None = None) -> DataFrame:
+    """Requests of which any score is null fall back to the original order; others are ranked, top k.
+
+    Rows whose column ``ready`` is false pass by, ranked apart and never cut.
+    """
+    per = Window.partitionBy("request_id", *([ready] if ready else []))
     failed = F.max(F.col(score).isNull().cast("int")).over(per) == 1
     rows = docs.withColumn("_failed", failed)
     place = F.row_number().over(per.orderBy("idx"))
@@ -85,13 +79,40 @@ def with_fallback(docs: DataFrame, k: int, name: str, score: str = "score") -> D
     rows = rows.withColumn("score", F.when(F.col("_failed"), fallback_score(F.col("_place") - 1)).otherwise(F.col(score)))
     rows = rows.withColumn("rank", F.row_number().over(per.orderBy(F.when(F.col("_failed"), F.col("_place")), F.desc("score"), "idx")))
     rows = rows.withColumn("reranker", F.when(F.col("_failed"), "none (fallback)").otherwise(name))
-    return rows.where(F.col("_failed") | (F.lit(k <= 0) | (F.col("rank") <= k))).drop("_failed", "_place")
+    passing = ~F.col(ready) if ready else F.lit(False)
+    return rows.where(passing | F.col("_failed") | (F.lit(k <= 0) | (F.col("rank") <= k))).drop("_failed", "_place")
+
 
+def rerank(docs: DataFrame, config: Rerank = Rerank(), scorers: dict[str, Callable[[DataFrame], DataFrame]] | None = None, ready: str | None = None) -> DataFrame:
+    """Ranks documents (request_id, idx, ...) by the configured provider; a provider is a function that adds score.
 
-def rerank(docs: DataFrame, config: Rerank = Rerank(), scorers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Ranks documents (request_id, idx, ...) by the configured provider; a provider is a function that adds score."""
+    Where a column ``ready`` is named, only rows with it are ranked, and the others stay, in one pass.
+    """
     if config.provider in ("none", ""):
-        return rerank_none(docs, "idx").withColumn("reranker", F.lit("none"))
+        place = F.row_number().over(Window.partitionBy("request_id", *([ready] if ready else [])).orderBy("idx"))
+        return docs.withColumn("rank", place).withColumn("score", fallback_score(F.col("rank") - 1)).withColumn("reranker", F.lit("none"))
     if not scorers or config.provider not in scorers:
         raise ValueError(f"no scorer for provider {config.provider!r}")
-    return with_fallback(scorers[config.provider](docs), config.top_k, config.provider)
+    return with_fallback(scorers[config.provider](docs), config.top_k, config.provider, ready=ready)
+
+
+def lexical_provider(docs: DataFrame) -> DataFrame:
+    """The built-in provider: scores by query words in title and content; a stand-in for a model."""
+    return docs.withColumn("score", lexical_score(F.col("query"), F.concat_ws(" ", "title", "content")))
+
+
+def prompted_provider(answer: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    """A provider that asks a model: one prompt a request, ``answer`` (prompt -> text column) replies, and its scores go back by place.
+
+    A malformed answer gives null scores, on which the request falls back to the original order.
+    """
+
+    def score(docs: DataFrame) -> DataFrame:
+        ready = docs.where(F.col("content").isNotNull())
+        per = ready.groupBy("request_id").agg(F.first("query").alias("q"), F.array_sort(F.collect_list(F.struct("idx", "content"))).alias("d"))
+        told = per.select("request_id", "d", parse_scores(answer(prompt(F.col("q"), F.transform("d", lambda x: x["content"]))), F.size("d")).alias("s"))
+        pairs = F.arrays_zip(F.transform("d", lambda x: x["idx"]).alias("idx"), F.col("s").alias("score"))
+        scores = told.where(F.col("s").isNotNull()).select("request_id", F.inline(pairs)).toDF("request_id", "idx", "score")
+        return docs.join(scores, ["request_id", "idx"], "left")
+
+    return score

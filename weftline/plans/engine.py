@@ -4,46 +4,53 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import Config
 from ..functions.once import evaluated
-from ..functions.text import displayed, quoted, truncated_bytes, two_decimals
+from ..functions.text import displayed, quoted, sha256_hex, truncated_bytes, two_decimals
 from ..operators import extract, format as fmt, injection, pii, policy, provenance, rank, scrape, search
 
 
-def web_search(requests: DataFrame, results: DataFrame, robots: DataFrame, l0: DataFrame, rendered: DataFrame, config: Config = Config(), scorers=None) -> DataFrame:
-    """One row a request: status, content, results and counts.
+def ranked_documents(requests: DataFrame, results: DataFrame, robots: DataFrame, l0: DataFrame, rendered: DataFrame, config: Config = Config(), scorers=None) -> DataFrame:
+    """One row a result, through every stage: those delivered are ready, with rank and score; the others keep what dropped them.
 
     requests: request_id, query, category, language, max_results.  results: as ``search.read_responses`` gives them.
     l0: page_id, url, html (null: failed).  rendered: page_id, url, level, html.  Stages that a setting turns off are not in
-    the plan.  What would end a single request early becomes its status here.
+    the plan.
     """
     asked = search.request_defaults(requests, config)
     merged = search.merge_duplicates(search.trim_responses(results, config.search.max_results)).drop("category")
     pool = merged.join(asked.select("request_id", "query", F.col("max_results").alias("wanted")), "request_id")
     limited = search.limit_results(pool, F.col("wanted"))
     stepped = policy.funnel(limited, robots, config.policy)
-    rows = evaluated(stepped.select("request_id", "position", "query", "url", F.col("title").alias("result_title"), "policy_step"), "policy_step")
+    rows = evaluated(stepped.select("request_id", "position", "query", "url", F.col("title").alias("result_title"), "policy_step", "robots_checked", "robots_allowed"), "policy_step")
 
     # rows that a stage drops stay, without content, so that one pass gives results and counts
     pages = scrape.merge_levels(scrape.read_pages(l0), rendered, limits=config.detection).select(F.col("url").alias("_url"), "html", "level", "error")
     fetched = rows.join(pages, (F.col("url") == F.col("_url")) & (F.col("policy_step") == "pass"), "left").drop("_url")
-    read = extract.extract_articles(fetched.withColumn("html", F.when(F.col("error").isNull(), F.col("html")))).drop("excerpt", "site", "text")
+    fetched = fetched.withColumn("html", F.when(F.col("error").isNull(), F.col("html")))
+    read = extract.extract_articles(fetched.withColumn("raw_html_hash", sha256_hex(F.col("html")))).drop("excerpt", "site", "text")
     read = read.withColumn("title", F.when(F.col("title") == "", F.col("result_title")).otherwise(F.col("title"))).drop("result_title")
-    read = read.withColumn("content", F.nullif("markdown", F.lit(""))).drop("markdown").withColumn("scraped", F.col("content").isNotNull())
+    read = read.withColumn("content", F.nullif("markdown", F.lit(""))).withColumn("extracted_hash", sha256_hex(F.col("markdown"))).drop("markdown").withColumn("scraped", F.col("content").isNotNull())
 
     checked = pii.process(read, config.pii).drop("entities", "pii_audit")
     checked = checked.withColumn("content", F.when(~F.coalesce("pii_blocked", F.lit(False)), F.col("content")))
     scanned = injection.process(checked, config.injection)
     ready = F.col("scraped") & ~F.coalesce("pii_blocked", F.lit(False)) & ~F.col("inj_blocked")
     scanned = evaluated(scanned.withColumn("ready", ready).withColumn("idx", F.col("position")), "ready", "content")
-    if config.rerank.provider in ("none", ""):
-        place = F.row_number().over(Window.partitionBy("request_id", "ready").orderBy("idx"))
-        ranked = scanned.withColumn("rank", place).withColumn("score", rank.fallback_score(F.col("rank") - 1)).withColumn("reranker", F.lit("none"))
-    else:
-        ranked = rank.rerank(scanned.where("ready"), config.rerank, scorers).unionByName(scanned.where("not ready"), allowMissingColumns=True)
+    return rank.rerank(scanned, config.rerank, scorers, ready="ready")
+
+
+def web_search(requests: DataFrame, results: DataFrame, robots: DataFrame, l0: DataFrame, rendered: DataFrame, config: Config = Config(), scorers=None) -> DataFrame:
+    """One row a request: status, content, results and counts.  What would end a single request early becomes its status here."""
+    ranked = ranked_documents(requests, results, robots, l0, rendered, config, scorers)
+    return answers(ranked, requests, results, config)
+
 
+def answers(ranked: DataFrame, requests: DataFrame, results: DataFrame, config: Config = Config()) -> DataFrame:
+    """The delivered answers of ``ranked_documents``."""
+    asked = search.request_defaults(requests, config)
     delivered = truncated_bytes(F.col("content"))
     block = fmt.result_block(F.col("rank"), F.col("title"), F.col("url"), two_decimals(F.col("score")), displayed(delivered))
     item = F.struct("rank", "url", "title", "score", F.col("level").alias("scraper_level"), F.sha2(delivered, 256).alias("content_hash"), F.col("inj_action").alias("injection_action"), F.col("max_score").alias("injection_max_score"), block.alias("block"))
@@ -75,9 +82,14 @@ def web_search(requests: DataFrame, results: DataFrame, robots: DataFrame, l0: D
     )
 
 
-def provenance_of(ranked: DataFrame, request_time: str) -> DataFrame:
-    """Provenance records of ranked documents."""
-    return provenance.records(ranked.withColumns({"timestamp": F.lit(request_time).cast("timestamp"), "markdown": F.col("content"), "scraper_level": F.col("level")}))
+def provenance_of(ranked: DataFrame, request_time: str, config: Config = Config()) -> DataFrame:
+    """A provenance record for each delivered document of ``ranked_documents``."""
+    final = truncated_bytes(F.col("content"))
+    known = {
+        "timestamp": F.lit(request_time).cast("timestamp"), "scraper_level": F.col("level"), "final_hash": sha256_hex(final), "content_length": F.octet_length(final),
+        "pii_entities_found": F.col("entity_count"), "robots_checked": F.col("robots_checked"), "robots_allowed": F.col("robots_allowed"), "raw": F.lit(None).cast("string"), "markdown": F.col("content"),
+    }
+    return provenance.records(ranked.where("ready").withColumns(known))
 
 
 def searching(config: Config = Config(), **sections) -> Config:

@@ -670,10 +670,22 @@ def trace_sample(spark, sf_dir):
 # --- whole ---------------------------------------------------------------------------------------
 
 
+FLAGSHIP = Config(policy=FUNNEL, pii=PII(mode="redact"), injection=Injection(enabled=True, mode="annotate"), rerank=Rerank(provider="flashrank", endpoint="builtin", top_k=5))
+
+
+def _flagship(spark, sf_dir):
+    results = view(spark, sf_dir, "search_results")
+    requests = results.groupBy("request_id").agg(F.lit("").alias("category"), F.lit("").alias("language"), F.lit(20).alias("max_results"), F.min_by("title", "position").alias("query"))
+    return requests, results, view(spark, sf_dir, "robots"), view(spark, sf_dir, "l0"), view(spark, sf_dir, "rendered")
+
+
 @query()
 def web_search(spark, sf_dir):
-    """The flagship: all requests of the results through every stage."""
-    results = view(spark, sf_dir, "search_results")
-    requests = results.groupBy("request_id").agg(F.lit("").alias("category"), F.lit("").alias("language"), F.lit(20).alias("max_results")).withColumn("query", F.concat(F.lit("query "), "request_id"))
-    config = Config(policy=FUNNEL, pii=PII(mode="redact"), injection=Injection(enabled=True, mode="annotate"))
-    return engine.web_search(requests, results, view(spark, sf_dir, "robots"), view(spark, sf_dir, "l0"), view(spark, sf_dir, "rendered"), config)
+    """The flagship: all requests of the results through every stage, ranked by the built-in provider."""
+    return engine.web_search(*_flagship(spark, sf_dir), FLAGSHIP, {"flashrank": rank.lexical_provider})
+
+
+@query()
+def web_search_provenance(spark, sf_dir):
+    """The flagship's provenance: a record for each document that it delivers."""
+    return engine.provenance_of(engine.ranked_documents(*_flagship(spark, sf_dir), FLAGSHIP, {"flashrank": rank.lexical_provider}), "2026-01-01 00:00:00", FLAGSHIP)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("pages", "documents", "events", "labels", "conversations")
 
 VIEWS: dict[str, str] = {
-    # metasearch output: every fourth page twice, with a tracking key and without its fragment
+    # metasearch output: a request for every 25 pages; every fourth page twice, with a tracking key and without its fragment
     "search_results": r"""
         WITH p AS (
           SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
@@ -24,8 +24,8 @@ VIEWS: dict[str, str] = {
           SELECT page_id, 1, regexp_replace(url, '#.*$', '') || CASE WHEN instr(url, '?') > 0 THEN '&' ELSE '?' END || 'utm_source=dup',
                  title, title || ' (copy)', 'bing', CAST((page_id * 53) % 101 AS DOUBLE) / 100
           FROM p WHERE page_id % 4 = 0)
-        SELECT 'r' || CAST(page_id % 10 AS VARCHAR(10)) AS request_id,
-               CAST(row_number() OVER (PARTITION BY page_id % 10 ORDER BY copy, page_id) AS INT) AS position,
+        SELECT 'r' || CAST(CAST(floor(page_id / 25) AS BIGINT) AS VARCHAR(20)) AS request_id,
+               CAST(row_number() OVER (PARTITION BY CAST(floor(page_id / 25) AS BIGINT) ORDER BY copy, page_id) AS INT) AS position,
                url, title, snippet, eng AS engine, ARRAY_OF(eng) AS engines, score,
                CASE page_id % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'news' WHEN 2 THEN 'code' ELSE 'science' END AS category
         FROM u""",

@@ -100,25 +100,26 @@ def robots_checked(rows: DataFrame, ttl_ms: int, drop_ms: int | None = None) ->
 
 
 def export_provenance(records: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", once: bool = False):
-    """Writes batches of records by date; a batch is written whole or again, so none is dropped on failure."""
+    """Writes batches of records by batch and date; a batch that comes again after a failure replaces itself, so none is dropped or there twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        provenance.write(batch.dropDuplicates(["request_id", "url", "timestamp", "reranker_rank"]), path)
+        rows = batch.dropDuplicates(["request_id", "url", "timestamp", "reranker_rank"])
+        provenance.write(rows, path, batch_id)
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def drop_expired(spark, path: str, now: str, days: int = 90, delete: Callable[[str], None] | None = None) -> list[str]:
-    """Date partitions older than the retention; deletes them through Spark's file system unless told how."""
+    """Date partitions older than the retention, of all batches; deletes them through Spark's file system unless told how."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     limit = str((pd.Timestamp(now) - pd.Timedelta(days=days)).date())
-    old = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("date=") and name[5:] < limit:
-            old.append(name)
-            (delete or (lambda p: fs.delete(jvm.org.apache.hadoop.fs.Path(p), True)))(f"{path}/{name}")
-    return sorted(old)
+    names = lambda at: [f.getPath().getName() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(at))]
+    every = [n for n in names(path) if n.startswith("date=")]
+    every += [f"{b}/{n}" for b in names(path) if b.startswith("batch=") for n in names(f"{path}/{b}") if n.startswith("date=")]
+    old = sorted(n for n in every if n.rpartition("date=")[2] < limit)
+    for name in old:
+        (delete or (lambda p: fs.delete(jvm.org.apache.hadoop.fs.Path(p), True)))(f"{path}/{name}")
+    return old
