@@ -82,6 +82,17 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
+def _numbers(values: np.ndarray) -> bytes:
+    """Floating-point numbers of few different values: these, and which of them each is."""
+    some, which = np.unique(values, return_inverse=True)
+    return len(some).to_bytes(4, "little") + some.tobytes() + planes(which.astype(np.int32))
+
+
+def _unnumbers(data: bytes) -> np.ndarray:
+    stop = 4 + 8 * int.from_bytes(data[:4], "little")
+    return np.frombuffer(data[4:stop], np.float64)[unplanes(data[stop:], np.int32)]
+
+
 def _bits(values: np.ndarray) -> bytes:
     return planes(np.packbits(values))
 
@@ -327,7 +338,7 @@ def _masses(rows: list[tuple], block: Block, stats: Stats, buckets: int, k: int,
     mass = lambda j: np.add.reduceat(stats.orders[j].of(seen[j][token]) * seen[j][token], at)
     long, short = mass(k - 1), mass(k - 2)
     for bucket, s in _dealt(key[at], buckets):
-        rows.append(("m", k, bucket, block.part, block.number, pack(key[at][s]), planes(long[s]), planes(short[s]), None))
+        rows.append(("m", k, bucket, block.part, block.number, pack(key[at][s]), _numbers(long[s]), _numbers(short[s]), None))
 
 
 def _alphas(asked: pa.Table, masses: pa.Table) -> pa.Table:
@@ -339,7 +350,7 @@ def _alphas(asked: pa.Table, masses: pa.Table) -> pa.Table:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        long, short = (np.add.reduceat(np.concatenate([unplanes(x, np.float64) for x in masses[c].to_pylist()])[order], at) for c in ("a", "b"))
+        long, short = (np.add.reduceat(np.concatenate([_unnumbers(x) for x in masses[c].to_pylist()])[order], at) for c in ("a", "b"))
         for r in asked.to_pylist():
             own = np.searchsorted(ordered[at], unpack(r["keys"]))
             left = 1 - long[own] / unplanes(r["a"], np.int64)
