@@ -255,8 +255,8 @@ def _pairs_of_blocks(groups: DataFrame) -> DataFrame:
     return rows.select("doc_id", "cluster", "i", "j", F.when((F.col("i") != F.col("j")) & (F.col("block") == F.col("j")), 1).otherwise(0).alias("side"), "known")
 
 
-def _links(places: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) among sets that meet at a place (doc_id, cluster, i, j, side, known): the two sides, or all if there is one side only."""
+def _sets(places: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Full sets and registers of the documents at some place, and all their places (doc_id, cluster, i, j, side, known)."""
     at = places.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "i", "j", "side", "known")).alias("at"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     mine = texts.join(at.hint("merge"), "doc_id")  # alike at every size
@@ -267,8 +267,11 @@ def _links(places: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
             registers = sketch(key, off)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), pa.array([key[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary())], names=["doc_id", "at", "hashes", "registers"])
 
-    rows = mine.mapInArrow(sets, "doc_id long, at array<struct<cluster: long, i: int, j: int, side: int, known: long>>, hashes binary, registers binary")
-    rows = rows.withColumn("at", F.explode("at")).select("doc_id", "at.*", "hashes", "registers")
+    return mine.mapInArrow(sets, "doc_id long, at array<struct<cluster: long, i: int, j: int, side: int, known: long>>, hashes binary, registers binary")
+
+
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) among sets that meet at a place (doc_id, cluster, i, j, side, known, hashes, registers): the two sides, or all if there is one side only."""
 
     def check(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
@@ -341,13 +344,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     clusters = kept(sizes.join(per, "cluster"), folder, "clusters")
     small = clusters.where("blocks = 1").select("doc_id", "cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("doc_id").alias("known"))
     large = clusters.where("blocks > 1")
-    links = kept(_links(small.unionByName(_star_places(ties, large)), docs, shingle, percent), folder, "links")
+    sets = kept(_sets(small.unionByName(_star_places(ties, large)), docs, shingle), folder, "sets")  # texts are read for sets once
+    links = kept(_links(sets.withColumn("at", F.explode("at")).select("doc_id", "at.*", "hashes", "registers"), percent), folder, "links")
     if not large.isEmpty():
         so_far = components(links, folder, "star-cc").select(F.col("node").alias("doc_id"), "component")
         members = large.join(so_far, "doc_id", "left").select("doc_id", "cluster", "n_shingles", F.coalesce("component", "doc_id").alias("known"))
         open_ = members.groupBy("cluster").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("cluster")
-        sets = members.join(open_, "cluster", "left_semi").drop("cluster").join(first.select("doc_id", "registers"), "doc_id")
-        more = kept(_links(_band_places(sets, folder), docs, shingle, percent), folder, "more-links")
+        again = members.join(open_, "cluster", "left_semi").drop("cluster").join(first.select("doc_id", "registers"), "doc_id")
+        places = _band_places(again, folder).join(sets.select("doc_id", "hashes", "registers").dropDuplicates(["doc_id"]), "doc_id")
+        more = kept(_links(places, percent), folder, "more-links")
         links = links.unionByName(more)
     linked = components(links, folder, "links-cc")
     of_class = classes.join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
