@@ -350,8 +350,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         so_far = components(links, folder, "star-cc").select(F.col("node").alias("doc_id"), "component")
         members = large.join(so_far, "doc_id", "left").select("doc_id", "cluster", "n_shingles", F.coalesce("component", "doc_id").alias("known"))
         open_ = members.groupBy("cluster").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("cluster")
-        again = members.join(open_, "cluster", "left_semi").drop("cluster").join(first.select("doc_id", "registers"), "doc_id")
-        places = _band_places(again, folder).join(sets.select("doc_id", "hashes", "registers").dropDuplicates(["doc_id"]), "doc_id")
+        again = kept(members.join(open_, "cluster", "left_semi").drop("cluster"), folder, "again")
+        own = sets.select("doc_id", "hashes", "registers").join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # before they move
+        own = kept(own, folder, "again-sets")
+        places = _band_places(again.join(own.select("doc_id", "registers"), "doc_id"), folder).join(own, "doc_id")
         more = kept(_links(places, percent), folder, "more-links")
         links = links.unionByName(more)
     linked = components(links, folder, "links-cc")
