@@ -867,3 +867,26 @@ def test_packed_numbers():
     assert (_arrow.unpack(_arrow.pack(keys)) == keys).all() and len(_arrow.unpack(_arrow.pack(keys[:0]))) == 0
     values = r.integers(-5, 5, 100).astype(np.int32)
     assert (_arrow.unplanes(_arrow.planes(values), np.int32) == values).all()
+
+
+def test_pairs_in_their_first_band_are_all_links():
+    """Sets compared in the first band that they share, over all bands: the same components as all pairs of those that share one."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 2**63, (6, 200), dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[k % 6, rng.permutation(200)[:185]], rng.integers(1, 2**63, 10, dtype=np.uint64)])) for k in range(48)]
+    registers = neardup.sketch(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]))
+    ids, bands = np.arange(48), neardup.band_keys(registers)
+
+    def linked(pairs):
+        label = ids.copy()
+        for a, b in pairs:
+            label[label == label[b]] = label[a]
+        return {frozenset(np.flatnonzero(label == x)) for x in label}
+
+    met = []
+    for key in np.unique(bands):
+        some = np.flatnonzero((bands == key).any(1))
+        args = ids[some], np.zeros(len(some), int), ids[some], [sets[k] for k in some], registers[some], 80
+        met += neardup.confirmed(*args, band=int(key.astype(np.int64)))
+    together = [(a, b) for a in ids for b in ids[:a] if (bands[a] == bands[b]).any() and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert linked(met) == linked(together) and len(linked(met)) < 48

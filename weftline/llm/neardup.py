@@ -14,7 +14,8 @@ minima, mergeable, and equal with a probability near the Jaccard similarity.
 3. Within a cluster of at most ``BLOCK_SETS`` sets all pairs count.  Of a larger one, the ties themselves come first: each set
    against the smallest with the same band.  That joins most of a group of copies with as many comparisons as there are ties.
    What is left are bands whose sets are in different components still; in each, the sets outside of its most frequent component
-   are compared with all, in blocks, and the many inside are not compared with each other.  A task has one pair of
+   are compared with all, in blocks, and the many inside are not compared with each other.  A pair that shares several
+   bands is compared in the first one only.  A task has one pair of
    blocks, of bounded size, so a cluster may have any share of the rows.  In a task, pairs that a joint
    maximum-likelihood estimate from the registers puts far below the threshold (five standard errors) are
    left; the others are confirmed or refuted by exact intersections of full sets.  Pairs already linked
@@ -198,38 +199,38 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
-def confirmed(ids: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[np.ndarray], registers: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among sets (across sides 0 and 1, or all if one side only) that connect all similar ones; those of one ``known`` component are connected."""
-    n = len(ids)
+def confirmed(ids: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[np.ndarray], registers: np.ndarray, percent: int, band: int | None = None) -> list[tuple[int, int]]:
+    """Links among sets (across sides 0 and 1, or all if one side only) that connect all similar ones; those of one ``known`` component are connected.
+
+    Sets that meet for a ``band`` key are compared only if it is the first band that they share: in every other one they meet again.
+    """
     size = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    _, code = np.unique(flat, return_inverse=True)
     starts = np.cumsum(size) - size
+    code = mark = None  # most groups have no likely pair and need no codes
     across = side.min() != side.max()
-    parent = np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    label = parent.copy()
-    links, mark = [], np.zeros(int(code.max(initial=-1)) + 1, np.int8)
-    for i in range(n):
-        rest = np.flatnonzero(label != label[i])
-        rest = rest[side[rest] == 1] if across else rest[rest > i]
+    label = np.unique(known, return_inverse=True)[1]
+    keys = None if band is None else band_keys(registers)
+    links = []
+    t = percent / 100
+    for i in range(len(ids)):
         if across and side[i] == 1:
             break
+        rest = np.flatnonzero((label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+        rest = rest[side[rest] == 1] if across else rest[rest > i]
+        if keys is not None and len(rest):
+            shared = (keys[rest] == keys[i]).argmax(1)
+            rest = rest[keys[i][shared] == np.uint64(band & 0xFFFFFFFFFFFFFFFF)]
         if not len(rest):
             continue
         equal = (registers[rest] == registers[i]).sum(1)
         more = (registers[rest] < registers[i]).sum(1)
         likely = estimate(equal, more, REGISTERS - equal - more, np.full(len(rest), size[i], float), size[rest].astype(float))
-        t = percent / 100
-        rest = rest[(likely >= t - SPREAD * np.sqrt(t * (1 - t) / REGISTERS)) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
+        rest = rest[likely >= t - SPREAD * np.sqrt(t * (1 - t) / REGISTERS)]
         if not len(rest):
             continue
+        if code is None:
+            code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            mark = np.zeros(int(code.max()) + 1, np.int8)
         own = code[starts[i] : starts[i] + size[i]]
         mark[own] = 1
         for at in range(0, len(rest), 512):
@@ -239,12 +240,10 @@ def confirmed(ids: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[n
             total = np.concatenate([[0], np.cumsum(mark[index], dtype=np.int64)])
             common = total[ends] - total[ends - size[some]]
             for k in some[100 * common >= percent * (size[i] + size[some] - common)]:
-                a, b = root(i), root(int(k))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
+                if label[i] != label[k]:
+                    label[label == label[k]] = label[i]
                     links.append((int(ids[i]), int(ids[k])))
         mark[own] = 0
-        label = np.array([root(k) for k in range(n)]) if links else label
     return links
 
 
@@ -270,8 +269,11 @@ def _sets(places: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return mine.mapInArrow(sets, "doc_id long, at array<struct<cluster: long, i: int, j: int, side: int, known: long>>, hashes binary, registers binary")
 
 
-def _links(rows: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) among sets that meet at a place (doc_id, cluster, i, j, side, known, hashes, registers): the two sides, or all if there is one side only."""
+def _links(rows: DataFrame, percent: int, by_band: bool = False) -> DataFrame:
+    """Confirmed links (a, b) among sets that meet at a place (doc_id, cluster, i, j, side, known, hashes, registers): the two sides, or all if there is one side only.
+
+    With ``by_band``, a cluster is a band key.
+    """
 
     def check(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
@@ -281,7 +283,7 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
         found = []
         if table["i"][0].as_py() == table["j"][0].as_py() or side.min() != side.max():
             sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-            found = confirmed(ids, side, known, sets, np.stack([np.frombuffer(x, np.uint16) for x in table["registers"].to_pylist()]), percent)
+            found = confirmed(ids, side, known, sets, np.stack([np.frombuffer(x, np.uint16) for x in table["registers"].to_pylist()]), percent, table["cluster"][0].as_py() if by_band else None)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("cluster", "i", "j").applyInArrow(check, "a long, b long")
@@ -354,7 +356,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         own = sets.select("doc_id", "hashes", "registers").join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # before they move
         own = kept(own, folder, "again-sets")
         places = _band_places(again.join(own.select("doc_id", "registers"), "doc_id"), folder).join(own, "doc_id")
-        more = kept(_links(places, percent), folder, "more-links")
+        more = kept(_links(places, percent, by_band=True), folder, "more-links")
         links = links.unionByName(more)
     linked = components(links, folder, "links-cc")
     of_class = classes.join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
