@@ -57,7 +57,7 @@ def test_anchored_quota(spark):
 
 def test_funnel_partitions_its_input(spark):
     rows = results(spark, [("http://bad.com/", "", [], 0.0), ("http://a.com/en/x", "", [], 0.0), ("http://a.com/1", "", [], 0.0), ("http://a.com/2", "", [], 0.0), ("%%%", "", [], 0.0), ("http://err.com/en/", "", [], 0.0)])
-    robots = spark.createDataFrame([("a.com", "disallow", "/en/"), ("err.com", "error", "")], "host string, kind string, disallow_prefix string")
+    robots = spark.createDataFrame([("a.com", 200, "User-agent: *\nDisallow: /en/"), ("err.com", None, None)], "host string, status int, body string")
     got = policy.funnel(rows, robots, Policy(blocklist=("bad.com",), requests_per_minute=1)).orderBy("position").collect()
     assert [r.policy_step for r in got] == ["domain", "robots", "pass", "rate", "pass", "pass"]
 
@@ -291,7 +291,7 @@ def test_statuses(spark):
     pages = [(1, urls["ok"], body.format("good words " * 80)), (2, urls["failed"], None), (3, urls["blocked"], body.format("ignore previous " * 60))]
     l0 = spark.createDataFrame(pages, "page_id long, url string, html string")
     rendered = spark.createDataFrame([], "page_id long, url string, level int, html string")
-    robots = spark.createDataFrame([], "host string, kind string, disallow_prefix string")
+    robots = spark.createDataFrame([], "host string, status int, body string")
     config = Config(policy=Policy(blocklist=("bad.com",)), injection=Injection(enabled=True, mode="block"))
     got = {r.request_id: r for r in engine.web_search(requests, found, robots, l0, rendered, config).collect()}
     assert {k: v.status for k, v in got.items()} == {"ok": "ok", "none": "no_results", "filtered": "all_policy_filtered", "failed": "all_failed", "blocked": "all_injection_blocked"}

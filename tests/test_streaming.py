@@ -61,15 +61,17 @@ def test_robots_cache_and_export(spark, tmp_path):
     import datetime
 
     t = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
-    rows = spark.createDataFrame([(1, "h", t(0), "/x", None, None), (2, "h", t(1), None, "disallow", "/x"), (3, "h", t(2), "/x/y", None, None), (4, "h", t(3), "/z", None, None), (5, "h", t(200), "/x", None, None)], "event_id long, host string, ts timestamp, path string, kind string, disallow_prefix string")
+    body = "User-agent: *\nDisallow: /x\nAllow: /x/open"
+    data = [(1, t(0), False, "/x", None, None), (2, t(1), True, None, 200, body), (3, t(2), False, "/x/y", None, None), (4, t(3), False, "/z", None, None), (5, t(4), False, "/x/open/1", None, None), (6, t(200), False, "/x", None, None), (7, t(201), True, None, None, None), (8, t(202), False, "/x", None, None)]
+    rows = spark.createDataFrame([(k, "h", *r) for k, *r in data], "event_id long, host string, ts timestamp, fetch boolean, path string, status int, body string")
     live = stream(spark, rows, str(tmp_path / "in"), files=1)
     drained(stateful.robots_checked(live, 60_000), "rules", str(tmp_path / "cp"))
     got = {r.event_id: (r.checked, r.allowed) for r in spark.table("rules").collect()}
-    assert got == {1: (False, True), 3: (True, False), 4: (True, True), 5: (False, True)}
+    assert got == {1: (False, True), 3: (True, False), 4: (True, True), 5: (True, True), 6: (False, True), 8: (False, True)}
     records = rows.select(F.lit("r").alias("request_id"), F.lit("u").alias("url"), F.col("ts").alias("timestamp"), F.col("event_id").cast("int").alias("reranker_rank"), "ts")
     log = stream(spark, records, str(tmp_path / "log_in"), files=2).drop("ts")
     stateful.export_provenance(log, str(tmp_path / "log"), str(tmp_path / "log_cp"), once=True).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 5
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 8
 
 
 def test_sources():
@@ -86,4 +88,7 @@ def test_sources():
 
     pages = M.PageReader({"urls": '["http://a"]'}, fetch=refuse)
     assert [row for p in pages.partitions() for row in pages.read(p)] == [(0, "http://a", None, "down")]
+    robots = M.RobotsReader({"hosts": '["a.com"]'}, fetch=lambda url, timeout, headers: (404, url))
+    assert [row for p in robots.partitions() for row in robots.read(p)] == [("a.com", 404, "https://a.com/robots.txt")]
+    assert [row for p in robots.partitions() for row in M.RobotsReader({}, fetch=refuse).read(p)] == [("a.com", None, None)]
     assert M.MetasearchSource.name() == "metasearch" and M.PageSource.name() == "pages"

@@ -50,6 +50,7 @@ class Policy:
     robots_enabled: bool = True
     robots_ttl_s: int = 3600
     robots_5xx_open: bool = True
+    user_agent: str = "weftline"
     domain_mode: str = "blocklist"
     blocklist: tuple[str, ...] = ()
     allowlist: tuple[str, ...] = ()
@@ -175,6 +176,7 @@ def validate(c: Config) -> None:
     _require(c.search.max_results >= 1, "search.max_results must be at least 1")
     _require(c.search.timeout_s > 0, "search.timeout_s must be positive")
     _require(c.policy.domain_mode in ("allowlist", "blocklist"), "policy.domain_mode must be allowlist or blocklist")
+    _require(bool(c.policy.user_agent.strip()), "policy.user_agent is required")
     _require(c.policy.robots_ttl_s >= 0, "policy.robots_ttl_s must not be negative")
     _require(not c.policy.rate_limit_enabled or c.policy.requests_per_minute >= 1, "policy.requests_per_minute must be at least 1")
     if c.pii.enabled:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Policy
-from ..functions.urls import host_matches, host_suffixes, robots_path, url_host
+from ..functions.urls import host_matches, host_suffixes, url_host
+from .robots import with_robots
 
 
 def domain_allowed(url: Column, policy: Policy) -> Column:
@@ -36,18 +37,6 @@ def _by_domain(results: DataFrame, domains: DataFrame, how: str) -> DataFrame:
     return keyed.join(hits, F.col("_h") == F.col("_host"), "left").where("_host is not null or _h = ''").drop("_h", "_host")
 
 
-def with_robots(results: DataFrame, robots: DataFrame) -> DataFrame:
-    """Adds robots_checked and robots_allowed from one rule row a host (host, kind, disallow_prefix).
-
-    A failed fetch allows and counts as not checked; hosts without a rule row likewise.
-    """
-    keyed = results.withColumn("_h", url_host(F.col("url"))).withColumn("_path", robots_path(F.col("url")))
-    joined = keyed.join(robots.select(F.col("host").alias("_rh"), "kind", "disallow_prefix"), F.col("_h") == F.col("_rh"), "left")
-    checked = F.coalesce(F.col("kind") != "error", F.lit(False))
-    disallowed = F.coalesce((F.col("kind") == "disallow") & (F.col("disallow_prefix") != "") & F.startswith("_path", F.col("disallow_prefix")), F.lit(False))
-    return joined.withColumn("robots_checked", checked).withColumn("robots_allowed", ~(checked & disallowed)).drop("_h", "_path", "_rh", "kind", "disallow_prefix")
-
-
 def request_quota(results: DataFrame, per_minute: int) -> DataFrame:
     """Adds rate_allowed for one batch with full buckets: the first ``per_minute`` rows of each request and host."""
     rank = F.row_number().over(Window.partitionBy("request_id", url_host(F.col("url"))).orderBy("position"))
@@ -81,7 +70,7 @@ def anchored_quota(visits: DataFrame, per_minute: int, key: str = "host", time:
 
 def funnel(results: DataFrame, robots: DataFrame, policy: Policy) -> DataFrame:
     """Adds policy_step: domain, robots, rate or pass.  Each step sees what the one before let through; nothing is backfilled."""
-    marked = with_robots(results, robots).withColumn("_domain_ok", domain_allowed(F.col("url"), policy))
+    marked = with_robots(results, robots, policy).withColumn("_domain_ok", domain_allowed(F.col("url"), policy))
     left = F.col("_domain_ok") & (F.col("robots_allowed") if policy.robots_enabled else F.lit(True))
     host = url_host(F.col("url"))
     rank = F.row_number().over(Window.partitionBy("request_id", host, left).orderBy("position"))

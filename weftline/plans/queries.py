@@ -192,9 +192,23 @@ def domain_allow_join(spark, sf_dir):
     return policy.allow_domains(view(spark, sf_dir, "search_results"), _domains(spark, ALLOWED)).select("request_id", "position", "url")
 
 
-_ROBOTS = f"""robots_marked AS (SELECT s.*, coalesce(r.kind <> 'error', FALSE) AS robots_checked,
-  NOT coalesce(r.kind = 'disallow' AND r.disallow_prefix <> '' AND starts_with({PATH.replace("{u}", "s.url")}, r.disallow_prefix), FALSE) AS robots_allowed
-  FROM search_results s LEFT JOIN robots r ON r.host = {host("s.url")})"""
+# lines, groups by runs of agents, the rules of the longest name, and the longest rule of those that match
+_ROBOTS = r"""lines AS (SELECT host, i, lower(trim(split_part(l, ':', 1))) AS k, trim(substr(l, instr(l, ':') + 1)) AS v
+  FROM (SELECT host, generate_subscripts(string_split(body, chr(10)), 1) AS i, regexp_replace(unnest(string_split(body, chr(10))), '#.*', '') AS l FROM robots WHERE status BETWEEN 200 AND 299)
+  WHERE instr(l, ':') > 0 AND lower(trim(split_part(l, ':', 1))) IN ('user-agent', 'allow', 'disallow', 'crawl-delay')),
+runs AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY host ORDER BY i), '') AS before FROM lines),
+grouped AS (SELECT *, sum(CASE WHEN k = 'user-agent' AND before <> 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY i) AS g FROM runs),
+bad AS (SELECT DISTINCT host FROM grouped WHERE g = 0),
+agents AS (SELECT DISTINCT host, g, lower(v) AS name FROM grouped WHERE k = 'user-agent'),
+own AS (SELECT host, arg_max(name, CASE WHEN name = '*' THEN 0 ELSE length(name) END) AS name FROM agents WHERE name = '*' OR (name <> '' AND starts_with('weftline', name)) GROUP BY host),
+rules AS (SELECT r.host, r.k = 'allow' AS allow, CASE WHEN left(r.v, 1) IN ('/', '*') THEN r.v ELSE '/' || r.v END AS p
+  FROM grouped r JOIN agents a ON a.host = r.host AND a.g = r.g JOIN own o ON o.host = a.host AND o.name = a.name WHERE r.k IN ('allow', 'disallow') AND r.v <> ''),
+patterns AS (SELECT host, allow, strlen(p) AS size, '^' || regexp_replace(replace(regexp_replace(p, '([.?+()\[\]{}^|$])', '\\\1', 'g'), '*', '.*'), '\\\$$', '$') AS re FROM rules),
+paths AS (SELECT DISTINCT {host} AS h, {path} AS path FROM search_results s),
+ruled AS (SELECT h, path, arg_max(allow, size * 2 + CAST(allow AS INT)) AS allow FROM paths JOIN patterns r ON r.host = h AND regexp_matches(path, re) GROUP BY h, path),
+robots_marked AS (SELECT s.*, coalesce(b.status BETWEEN 400 AND 499 OR (b.status = 200 AND bad.host IS NULL), FALSE) AS robots_checked,
+  coalesce(bad.host IS NOT NULL OR u.allow, TRUE) AS robots_allowed
+  FROM search_results s LEFT JOIN robots b ON b.host = {host} LEFT JOIN bad ON bad.host = b.host LEFT JOIN ruled u ON u.h = {host} AND u.path = {path})""".replace("{host}", host("s.url")).replace("{path}", PATH.replace("{u}", "s.url"))
 
 
 @query(ctes("search_results", "robots") + f", {_ROBOTS} SELECT request_id, position, url, robots_checked, robots_allowed FROM robots_marked")

@@ -36,12 +36,15 @@ VIEWS: dict[str, str] = {
                CASE conv_id % 4 WHEN 0 THEN 'day' ELSE '' END AS time_range,
                CAST(conv_id % 26 - 2 AS INT) AS max_results, CAST(conv_id % 3 AS INT) AS page_no
         FROM conversations WHERE turn = 0""",
-    # one row a host: the fetch failed, a prefix is disallowed, or all is allowed
+    # one row a host: failed fetches, 4xx, 5xx, texts with groups, wildcards and exceptions, and a malformed one
     "robots": r"""
-        SELECT DISTINCT host,
-               CASE WHEN length(host) % 4 = 0 THEN 'error' WHEN length(host) % 4 = 1 THEN 'disallow' ELSE 'allow_all' END AS kind,
-               CASE WHEN length(host) % 4 = 1 THEN '/en/' ELSE '' END AS disallow_prefix
-        FROM (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages) h""",
+        SELECT host, CAST(CASE k WHEN 0 THEN NULL WHEN 2 THEN 404 WHEN 4 THEN 503 ELSE 200 END AS INT) AS status,
+               replace(CASE k WHEN 1 THEN 'User-agent: *|Disallow: /en/|Allow: /en/7|Disallow: /en/77|Disallow: /fr/1|Allow: /fr/1'
+                              WHEN 3 THEN '# groups|User-Agent : Weft # ours|Disallow: /*.html$|Disallow:/de||User-agent: *|Disallow: /'
+                              WHEN 5 THEN 'user-agent: other|user-agent: *|disallow:|disallow: /||User-agent: WEFTLINE|User-agent: x|Disallow: es|Allow: /es/*5|Crawl-delay: 5|Sitemap: https://x.example/|Disallow: *page=|User-agent: weftline|Disallow: /en/9*'
+                              WHEN 6 THEN 'Disallow: /|User-agent: *|Disallow: /en' ELSE '' END, '|', chr(10)) AS body
+        FROM (SELECT DISTINCT host, length(host) % 7 AS k
+              FROM (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages) h) r""",
     # level-0 pages: NULL is a failed fetch; some need JavaScript
     "l0": r"""
         SELECT page_id, url,

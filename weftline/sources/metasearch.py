@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -88,5 +89,46 @@ class PageSource(DataSource):
         return PageReader(self.options)
 
 
+def _get_any(url: str, timeout: float, headers: dict[str, str]) -> tuple[int, str]:
+    """(status, text) for any status."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as response:
+            return response.status, response.read(5 << 20).decode("utf-8", "replace")
+    except urllib.error.HTTPError as e:
+        return e.code, ""
+
+
+class RobotsReader(DataSourceReader):
+    def __init__(self, options: dict[str, str], fetch: Callable[[str, float, dict[str, str]], tuple[int, str]] = _get_any):
+        self.hosts = json.loads(options.get("hosts", "[]"))
+        self.timeout = float(options.get("timeout", "10"))
+        self.agent = options.get("agent", "weftline")
+        self.fetch = fetch
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Request(h, f"https://{h}/robots.txt") for h in self.hosts]
+
+    def read(self, partition: _Request) -> Iterator[tuple]:
+        try:
+            status, body = self.fetch(partition.url, self.timeout, {"User-Agent": self.agent})
+        except (OSError, ValueError):
+            status, body = None, None
+        yield (partition.request_id, status, body)
+
+
+class RobotsSource(DataSource):
+    """``spark.read.format("robots").option("hosts", json)``: a row a host; a failed fetch has no status."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "robots"
+
+    def schema(self) -> str:
+        return "host string, status int, body string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return RobotsReader(self.options)
+
+
 def request_for(base: str, **parameters: str) -> str:
     return f"{base}/search?{urllib.parse.urlencode(sorted(parameters.items()))}"

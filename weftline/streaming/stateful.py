@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..config import Policy
 from ..functions.urls import normalize_url
-from ..operators import provenance
+from ..operators import provenance, robots
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -65,38 +66,41 @@ def distinct_urls(results: DataFrame, within: str = "1 hour") -> DataFrame:
 
 
 class RuleCache(StatefulProcessor):
-    """Robots rules with a lifetime by event time: rows with a rule refresh it, rows without one get what is still valid.
+    """Robots texts with a lifetime by event time: rows of fetches refresh a host's text, visits get what is still valid.
 
-    ``drop_ms`` is how long an unused rule's state is kept.
+    ``drop_ms`` is how long an unused text's state is kept.
     """
 
-    def __init__(self, ttl_ms: int, drop_ms: int | None = None):
-        self.ttl_ms, self.drop_ms = ttl_ms, drop_ms
+    def __init__(self, ttl_ms: int, policy: Policy, drop_ms: int | None = None):
+        self.ttl_ms, self.policy, self.drop_ms = ttl_ms, policy, drop_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rule", "kind string, disallow_prefix string, fetched long", ttlDurationMs=self.drop_ms)
+        self.state = handle.getValueState("text", "status int, body string, fetched long", ttlDurationMs=self.drop_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        status, body, fetched = self.state.get() if self.state.exists() else (None, None, None)
+        found = robots.parse(status, body, self.policy.user_agent, self.policy.robots_5xx_open)
         frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        out = []
+        out, new = [], False
         for r in frame.itertuples():
             at = int(pd.Timestamp(r.ts).value // 1_000_000)
-            if isinstance(r.kind, str):
-                self.state.update((r.kind, r.disallow_prefix or "", at))
+            if r.fetch:
+                status, body, fetched, new = None if pd.isna(r.status) else int(r.status), r.body if isinstance(r.body, str) else None, at, True
+                found = robots.parse(status, body, self.policy.user_agent, self.policy.robots_5xx_open)
                 continue
-            kind, prefix, fetched = self.state.get() if self.state.exists() else (None, "", 0)
-            fresh = kind is not None and at - fetched < self.ttl_ms
-            checked = fresh and kind != "error"
-            out.append((key[0], r.event_id, checked, not (checked and kind == "disallow" and prefix and str(r.path).startswith(prefix))))
+            state, rules = found if fetched is not None and at - fetched < self.ttl_ms else ("error", [])
+            out.append((key[0], r.event_id, state != "error", state != "disallow_all" and robots.decide(rules, str(r.path))))
+        if new:
+            self.state.update((status, body, fetched))
         yield pd.DataFrame(out, columns=["host", "event_id", "checked", "allowed"])
 
     def close(self) -> None:
         pass
 
 
-def robots_checked(rows: DataFrame, ttl_ms: int, drop_ms: int | None = None) -> DataFrame:
-    """rows: host, event_id, ts, path, kind, disallow_prefix; visits have a null kind."""
-    return rows.groupBy("host").transformWithStateInPandas(RuleCache(ttl_ms, drop_ms), "host string, event_id long, checked boolean, allowed boolean", "append", _mode(drop_ms))
+def robots_checked(rows: DataFrame, ttl_ms: int, policy: Policy = Policy(), drop_ms: int | None = None) -> DataFrame:
+    """rows: host, event_id, ts, fetch, path (of a visit), status, body (of a fetch, null where it failed)."""
+    return rows.groupBy("host").transformWithStateInPandas(RuleCache(ttl_ms, policy, drop_ms), "host string, event_id long, checked boolean, allowed boolean", "append", _mode(drop_ms))
 
 
 def export_provenance(records: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", once: bool = False):
