@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import Policy
 from ..functions.urls import host_matches, host_suffixes, url_host
+from .quota import anchored_quota
 from .robots import with_robots
 
+__all__ = ["allow_domains", "anchored_quota", "block_domains", "domain_allowed", "funnel", "funnel_counts", "request_quota", "with_robots"]
+
 
 def domain_allowed(url: Column, policy: Policy) -> Column:
     """Blocklist: no match may be; allowlist: a match must be.  A URL without host is let through."""
@@ -43,31 +46,6 @@ def request_quota(results: DataFrame, per_minute: int) -> DataFrame:
     return results.withColumn("rate_allowed", (url_host(F.col("url")) == "") | (rank <= per_minute))
 
 
-def anchored_quota(visits: DataFrame, per_minute: int, key: str = "host", time: str = "ts", order: str = "event_id") -> DataFrame:
-    """Adds allowed: N visits a window, where a window starts with the first visit at least 60 s after the last one's start.
-
-    Sequential by nature, so visits of a key are folded in order.  A key's visits are first cut into sessions by
-    gaps of 60 s, at which a window always starts anew; each session is folded alone, so a hot key is many tasks.
-    """
-    by_key = Window.partitionBy(key).orderBy(time, order)
-    seconds = F.unix_micros(F.col(time).cast("timestamp"))
-    gap = F.coalesce(seconds - F.lag(seconds).over(by_key) >= 60_000_000, F.lit(True))
-    sessions = visits.withColumn("_us", seconds).withColumn("_session", F.sum(gap.cast("long")).over(by_key))
-    row = F.struct("_us", *[F.col(c) for c in [order, *[x for x in visits.columns if x != order]]])
-    folded = sessions.groupBy(key, "_session").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("opened"), F.lit(0).alias("used"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["_us"] - a["opened"] >= 60_000_000
-        used = F.when(fresh, F.lit(0)).otherwise(a["used"])
-        ok = used < per_minute
-        return F.struct(F.when(fresh, x["_us"]).otherwise(a["opened"]).alias("opened"), (used + ok.cast("int")).alias("used"), F.concat(a["out"], F.array(ok)).alias("out"))
-
-    flags = folded.withColumn("_ok", F.aggregate("_rows", start, step)["out"])
-    pairs = flags.select(F.explode(F.arrays_zip("_rows", "_ok")).alias("_z"))
-    return pairs.select(*[F.col(f"_z._rows.{c}").alias(c) for c in visits.columns], F.col("_z._ok").alias("allowed"))
-
-
 def funnel(results: DataFrame, robots: DataFrame, policy: Policy) -> DataFrame:
     """Adds policy_step: domain, robots, rate or pass.  Each step sees what the one before let through; nothing is backfilled."""
     marked = with_robots(results, robots, policy).withColumn("_domain_ok", domain_allowed(F.col("url"), policy))
