@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import PII, Config, Injection, Policy, Rerank
 from ..functions import html as H, text as T, urls as U
+from ..functions.once import let
 from ..operators import extract, format as fmt, injection, pii, policy, provenance, rank, scrape, search, telemetry
 from . import engine
 from .views import ctes, table, view
@@ -408,10 +409,28 @@ def _with(mode: str) -> Injection:
     return Injection(enabled=True, mode=mode, max_chunk_bytes=WHOLE)
 
 
-@query()
+# paragraphs, lines of the long ones, a fold over their lines (a buffer's start and size, and the buffer that it closes), hard cuts of the last
+_GREEDY = r"""WITH RECURSIVE paragraphs AS (SELECT doc_id, text, unnest(string_split(text, chr(10) || chr(10))) AS t, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS p FROM documents),
+placed AS (SELECT doc_id, p, t, sum(strlen(t) + 2) OVER (PARTITION BY doc_id ORDER BY p) - strlen(t) - 2 AS off FROM paragraphs),
+full_ AS (SELECT * FROM placed WHERE regexp_matches(t, '[^\s\x0B\x85\p{Z}]')),
+cut AS (SELECT doc_id, p, off, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM full_ WHERE strlen(t) > 1200),
+lines AS (SELECT doc_id, p, k, strlen(l) AS n, off + sum(strlen(l) + 1) OVER (PARTITION BY doc_id, p ORDER BY k) - strlen(l) - 1 AS pos, count(*) OVER (PARTITION BY doc_id, p) AS last FROM cut),
+fold AS (SELECT doc_id, p, k, last, pos, n, CAST(NULL AS HUGEINT) AS done_pos, CAST(NULL AS BIGINT) AS done_n FROM lines WHERE k = 1
+  UNION ALL SELECT l.doc_id, l.p, l.k, l.last, CASE WHEN f.n > 0 AND f.n + 1 + l.n <= 1200 THEN f.pos ELSE l.pos END, CASE WHEN f.n > 0 AND f.n + 1 + l.n <= 1200 THEN f.n + 1 + l.n ELSE l.n END,
+    CASE WHEN f.n > 0 AND f.n + 1 + l.n > 1200 THEN f.pos END, CASE WHEN f.n > 0 AND f.n + 1 + l.n > 1200 THEN f.n END
+  FROM fold f JOIN lines l ON l.doc_id = f.doc_id AND l.p = f.p AND l.k = f.k + 1),
+found AS (SELECT doc_id, off AS pos, strlen(t) AS n FROM full_ WHERE strlen(t) <= 1200 UNION ALL SELECT doc_id, done_pos, done_n FROM fold WHERE done_pos IS NOT NULL
+  UNION ALL SELECT doc_id, pos + g, least(1200, n - g) FROM (SELECT doc_id, pos, n, unnest(range(0, n, 1200)) AS g FROM fold WHERE k = last))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS idx, CAST(pos AS INT) AS byte_offset, CAST(n AS INT) AS length, sha256(encode(text)[CAST(pos AS BIGINT) + 1:CAST(pos + n AS BIGINT)]) AS chunk_hash
+FROM found JOIN documents USING (doc_id)"""
+
+
+@query(_GREEDY)
 def inj_chunks(spark, sf_dir):
-    """Chunks of all documents at the default limit; long paragraphs are packed by lines."""
-    return injection.with_chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))).select("doc_id", F.inline("chunks"))
+    """Chunks of all documents at the default limit; long paragraphs are packed by lines, and hashed by their bytes."""
+    rows = injection.with_chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
+    hashed = lambda data: F.transform("chunks", lambda c: F.struct(c["index"].alias("idx"), c["byte_offset"].alias("byte_offset"), c["length"].alias("length"), F.sha2(F.substring(data, c["byte_offset"] + 1, c["length"]), 256).alias("chunk_hash")))
+    return rows.select("doc_id", F.inline(let(F.encode("content", "UTF-8"), hashed)))
 
 
 @query(_CHUNKS + " SELECT doc_id, idx, CAST(off AS INT) AS byte_offset, CAST(strlen(t) AS INT) AS length, sha256(t) AS text_hash FROM chunks")
@@ -436,6 +455,31 @@ def inj_scores(spark, sf_dir):
     return rows.select("doc_id", F.inline("chunk_scores")).select("doc_id", F.col("index").alias("idx"), "injection_score", "over_threshold")
 
 
+def phrase_model():
+    """A model of two labels for the queries: told phrases, in both cases of its label; it fails for texts with a count of bytes divisible by 97."""
+
+    def answer(texts: list[str]) -> list:
+        if any(len(t.encode()) % 97 == 0 for t in texts):
+            raise RuntimeError("no answer")
+        scores = [0.97 if any(w in t.lower() for w in injection.STRONG) else 0.6 if any(w in t.lower() for w in injection.WEAK) else 0.02 for t in texts]
+        return [[("INJECTION", 1.0), ("LEGIT", 1 - s), ("Injection", s), ("OTHER", 0.01)] for s in scores]
+
+    return answer
+
+
+@query(
+    _CHUNKS
+    + """, failing AS (SELECT DISTINCT doc_id FROM chunks WHERE strlen(t) % 97 = 0),
+per AS (SELECT d.doc_id, f.doc_id IS NULL AS inj_checked, count(s.doc_id) AS n, count(*) FILTER (s.score > 0.85) AS over_n, max(s.score) AS top FROM para_docs d LEFT JOIN scored s ON s.doc_id = d.doc_id LEFT JOIN failing f ON f.doc_id = d.doc_id GROUP BY ALL)
+SELECT doc_id, inj_checked, CASE WHEN NOT inj_checked THEN 'skipped' WHEN over_n > 0 THEN 'blocked' ELSE 'pass' END AS inj_action, CAST(n AS INT) AS chunk_count, CAST(CASE WHEN inj_checked THEN over_n ELSE 0 END AS INT) AS over_count,
+  CASE WHEN inj_checked AND n > 0 THEN top ELSE 0 END AS max_score FROM per"""
+)
+def inj_classify(spark, sf_dir):
+    """A model with label arrays over the different chunks; a chunk for which it fails leaves its document unchecked."""
+    rows = injection.process(view(spark, sf_dir, "para_docs"), _with("block"), classifier=phrase_model)
+    return rows.select("doc_id", "inj_checked", "inj_action", "chunk_count", "over_count", "max_score")
+
+
 _PER = ", per AS (SELECT d.doc_id, d.content, count(s.doc_id) AS n, count(*) FILTER (s.score > 0.85) AS over_n, coalesce(max(s.score), 0) AS max_score, avg(s.score) AS mean_score FROM para_docs d LEFT JOIN scored s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.content)"
 
 
