@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from ..config import Injection
 from ..functions.arrow import slices, utf8
+from ..functions.models import halved
 from ..functions.once import evaluated, let
 
 CHUNK = "array<struct<index: int, text: string, byte_offset: int, length: int>>"
@@ -173,20 +174,11 @@ def batched(make: Callable[[], Callable[[list[str]], list]], batch: int = 64) ->
     def load() -> Callable[[np.ndarray], list[dict]]:
         model = make()
 
-        def answers(texts: list[str]) -> list:
-            try:
-                got = list(model(texts))
-                if len(got) != len(texts):
-                    raise ValueError(f"{len(got)} answers for {len(texts)} texts")
-                return [[(str(label), float(score)) for label, score in x] for x in got]
-            except Exception:  # a model may fail in any way, and that is the result
-                if len(texts) == 1:
-                    return [None]
-                half = len(texts) // 2
-                return answers(texts[:half]) + answers(texts[half:])
+        def pairs(texts: list[str]) -> list:
+            return [[(str(label), float(score)) for label, score in x] for x in model(texts)]
 
         def predict(texts: np.ndarray) -> list[dict]:
-            found = answers([str(t) for t in texts])
+            found = halved(pairs, [str(t) for t in texts])
             return [{"labels": np.array([a for a, _ in x or []], object), "scores": np.array([s for _, s in x or []], float), "ok": int(x is not None)} for x in found]
 
         return predict

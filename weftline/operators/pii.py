@@ -1,18 +1,28 @@
-"""Personal data: recognisers, redaction, density blocking, audits.  Native columns throughout.
+"""Personal data: recognisers, detectors, redaction, density blocking, audits.
 
-Recognisers are patterns with a fixed confidence, applied in order of priority; a later one sees the
-text with earlier matches blanked out, so spans never overlap.  PERSON, LOCATION and MEDICAL_LICENSE need a
-model: they are reported as unsupported unless a scorer is plugged in.
+Recognisers are patterns with a fixed confidence and, some of them, a check digit; detectors are functions plugged in, for what needs a
+model (persons, places).  All look at the whole text, so their spans may overlap.  A sweep keeps, of spans whose type is
+asked for and whose score reaches the threshold, the highest score first, then the longest, then the earliest, then the first
+recogniser, each one unless it overlaps one that is kept.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..config import PII
-from ..functions.once import evaluated, let
+from ..functions.models import halved
+from ..functions.once import evaluated
+
+#: Makes a detector: (texts, language) -> for each text a list of (entity, start, end, score), by characters.
+Detector = Callable[[], Callable[[list[str], str], list]]
 
 
 @dataclass(frozen=True)
@@ -20,104 +30,154 @@ class Recogniser:
     entity: str
     pattern: str
     score: float
-    luhn: bool = False
+    check: str = ""
 
 
-# Patterns in the subset that Java and RE2 share, in order of priority.
+# Patterns in the subset that Java, Python and RE2 share, in order of priority.
 RECOGNISERS = (
     Recogniser("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
-    Recogniser("CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 1.0, luhn=True),
+    Recogniser("CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 1.0, "luhn"),
     Recogniser("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 1.0),
     Recogniser("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b", 0.6),
     Recogniser("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85),
     Recogniser("PHONE_NUMBER", r"\+?\b[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}(?:[ .-]?[0-9]{2,4})?\b", 0.5),
+    Recogniser("MEDICAL_LICENSE", r"\b[ABCDEFGHJKLMPRSTUX][A-Z9][0-9]{7}\b", 1.0, "licence"),
 )
-UNSUPPORTED = ("PERSON", "LOCATION", "MEDICAL_LICENSE")
+UNSUPPORTED = ("PERSON", "LOCATION")  # without a detector
 # Replacements; an e-mail address is masked with up to 100 stars from its start.
 REPLACEMENTS = {"DEFAULT": "<REDACTED>", "PERSON": "<PERSON>", "PHONE_NUMBER": "<PHONE>"}
 MASKED = {"EMAIL_ADDRESS": ("*", 100)}
-BLANK = "\u0001"
 
-SORTED = "array<struct<start: int, end: int, entity_type: string, score: double>>"
 ENTITIES = "array<struct<entity_type: string, start: int, end: int, score: double>>"
+_SPANS = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+BATCH = 64
+
+Span = tuple[str, int, int, float]
 
 
 def chosen(config: PII) -> list[Recogniser]:
     return [r for r in RECOGNISERS if r.entity in config.entities and r.score >= config.score_threshold]
 
 
-def _is(match: Column, r: Recogniser) -> Column:
-    return F.coalesce(F.call_function("luhn_check", F.regexp_replace(match, "[ -]", "")), F.lit(False)) if r.luhn else F.lit(True)
+def luhn(number: str) -> bool:
+    digits = [int(c) for c in reversed(number) if c.isdigit()]
+    return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
 
 
-def _rebuilt(text: Column, r: Recogniser, new) -> Column:
-    """The text with ``new(match)`` in place of each match that counts."""
-    gaps, matches = F.split(text, r.pattern, -1), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
-    piece = lambda g, m: F.concat(g, F.when(m.isNull(), F.lit("")).when(_is(m, r), new(m)).otherwise(m))
-    return F.when(text.rlike(r.pattern), F.array_join(F.zip_with(gaps, matches, piece), "")).otherwise(text)
+def licence(number: str) -> bool:
+    """The last of seven digits is that of the sum of the odd ones and twice the even ones."""
+    d = [int(c) for c in number[2:]]
+    return (d[0] + d[2] + d[4] + 2 * (d[1] + d[3] + d[5])) % 10 == d[6]
 
 
-def spans_of(text: Column, config: PII = PII()) -> Column:
-    """Spans in characters, sorted by start."""
-    state = F.struct(text.alias("left"), F.array().cast(SORTED).alias("out"))
-    for r in chosen(config):
-        state = let(state, _recognised(r))
-    by_start = F.array_sort(state["out"])
-    named = F.transform(by_start, lambda e: F.struct(e["entity_type"].alias("entity_type"), e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score")))
-    return F.when(text.isNotNull(), named)
+CHECKS = {"": lambda match: True, "luhn": luhn, "licence": licence}
 
 
-def _recognised(r: Recogniser):
-    """One recogniser over (text with earlier matches blanked, spans so far)."""
+def _mail_places(text: str, domain: re.Pattern) -> Iterator[tuple[int, int]]:
+    """The same matches as the whole pattern's, from each at sign outwards: a long run without one costs nothing."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > done and text[begin - 1] in _LOCAL:
+            begin -= 1
+        if begin < at and (m := domain.match(text, at)):
+            yield begin, m.end()
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
 
-    def use(s: Column) -> Column:
-        left = s["left"]
-        gaps, matches = F.split(left, r.pattern, -1), F.regexp_extract_all(left, F.lit(r.pattern), F.lit(0))
-        pieces = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m"), F.when(m.isNotNull(), _is(m, r)).otherwise(False).alias("ok")))
-        found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SORTED).alias("out")), _located(r))["out"]
-        blanked = _rebuilt(left, r, lambda m: F.repeat(F.lit(BLANK), F.length(m)))
-        return F.when(left.rlike(r.pattern), F.struct(blanked.alias("left"), F.concat(s["out"], found).alias("out"))).otherwise(s)
 
-    return use
+def _finder(r: Recogniser) -> Callable[[str], Iterator[tuple[int, int]]]:
+    if r.entity == "EMAIL_ADDRESS":
+        domain = re.compile(r.pattern[r.pattern.index("@") :], re.ASCII)
+        return lambda text: _mail_places(text, domain)
+    pattern, check = re.compile(r.pattern, re.ASCII), CHECKS[r.check]
+    return lambda text: (m.span() for m in pattern.finditer(text) if check(m[0]))
 
 
-def detect(docs: DataFrame, text: str = "content", config: PII = PII()) -> DataFrame:
-    """Adds entities."""
-    return evaluated(docs.withColumn("entities", spans_of(F.col(text), config)), "entities")
+def swept(spans: list[Span]) -> list[Span]:
+    """Spans without overlaps, sorted by start: the best first; spans come in order of priority."""
+    begins: list[int] = []
+    kept: list[Span] = []
+    for span in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s[1])):
+        k = bisect.bisect_right(begins, span[1])
+        if (k == 0 or kept[k - 1][2] <= span[1]) and (k == len(kept) or span[2] <= kept[k][1]):
+            begins.insert(k, span[1])
+            kept.insert(k, span)
+    return kept
 
 
-def _located(r: Recogniser):
-    """The step of a fold over (gap, match) lengths that collects spans."""
+def _looking(config: PII, detectors: Sequence[Detector]) -> Callable[[list[str | None]], list[list[Span] | None]]:
+    """Texts to spans; null for a null text, and for one for which a detector fails."""
+    finders = [(r, _finder(r)) for r in chosen(config)]
+    plugged = [make() for make in detectors]
+    digit = re.compile("[0-9]")
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["g"]
-        found = F.struct(start.alias("start"), (start + x["m"]).alias("end"), F.lit(r.entity).alias("entity_type"), F.lit(r.score).alias("score"))
-        return F.struct((start + x["m"]).alias("at"), F.when(x["ok"], F.array_append(a["out"], found)).otherwise(a["out"]).alias("out"))
+    def own(text: str) -> list[Span]:
+        some = finders if digit.search(text) else finders[:1] if finders and finders[0][0].entity == "EMAIL_ADDRESS" and "@" in text else []
+        return [(r.entity, a, b, r.score) for r, find in some for a, b in find(text)]
 
-    return step
+    def valid(text: str, spans: list) -> list[Span]:
+        said = [(str(e), int(a), int(b), float(s)) for e, a, b, s in spans]
+        return [x for x in said if x[0] in config.entities and x[3] >= config.score_threshold and 0 <= x[1] < x[2] <= len(text)]
 
+    def look(texts: list[str | None]) -> list[list[Span] | None]:
+        full = [t for t in texts if t is not None]
+        more: list[list[Span] | None] = [[] for _ in full]
+        for detect_ in plugged:
+            said: list = []
+            for at in range(0, len(full), BATCH):
+                part = full[at : at + BATCH]
+                said += halved(lambda some: [valid(t, x) for t, x in zip(some, detect_(some, config.language), strict=True)], part)
+            more = [None if a is None or b is None else a + b for a, b in zip(more, said, strict=True)]
+        found = iter([None if m is None else swept(own(t) + m) for t, m in zip(full, more, strict=True)])
+        return [None if t is None else next(found) for t in texts]
 
-def replacement(entity: Column, match: Column) -> Column:
-    out = F.lit(REPLACEMENTS["DEFAULT"])
-    for name, new in REPLACEMENTS.items():
-        if name != "DEFAULT":
-            out = F.when(entity == name, F.lit(new)).otherwise(out)
-    for name, (char, limit) in MASKED.items():
-        n = F.least(F.lit(limit), F.length(F.coalesce(match, F.lit(""))))
-        out = F.when(entity == name, F.concat(F.repeat(F.lit(char), n), F.substring(match, n + 1, F.length(match)))).otherwise(out)
-    return out
+    return look
 
 
-def redact(text: Column, entities: Column) -> Column:
-    """The text with all spans replaced, from left to right."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def detect(docs: DataFrame, text: str = "content", config: PII = PII(), detectors: Sequence[Detector] = ()) -> DataFrame:
+    """Adds entities: spans in characters, sorted by start; null for a null text, and for one for which a detector fails.
+
+    ``detectors`` are made once a worker and asked for ``BATCH`` texts at a time.
+    """
+
+    @F.arrow_udf(ENTITIES)
+    def entities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        look = _looking(config, detectors)
+        for texts in batches:
+            found = look(texts.to_pylist())
+            yield pa.array([None if f is None else [{"entity_type": e, "start": a, "end": b, "score": s} for e, a, b, s in f] for f in found], _SPANS)
 
-    def step(a: Column, e: Column) -> Column:
-        match = F.substring(text, e["start"] + 1, e["end"] - e["start"])
-        return F.struct(e["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, e["start"] - a["at"]), replacement(e["entity_type"], match)).alias("out"))
+    return docs.withColumn("entities", entities(F.col(text)))
 
-    done = F.aggregate(entities, zero, step)
-    return F.when(F.size(entities) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+def replaced(entity: str, match: str) -> str:
+    if entity in MASKED:
+        char, limit = MASKED[entity]
+        return char * min(limit, len(match)) + match[limit:]
+    return REPLACEMENTS.get(entity, REPLACEMENTS["DEFAULT"])
+
+
+@F.arrow_udf(StringType())
+def _redacted(texts: pa.Array, entities: pa.Array) -> pa.Array:
+    out = []
+    for text, spans in zip(texts.to_pylist(), entities.to_pylist(), strict=True):
+        if text is None or spans is None:
+            out.append(text)
+            continue
+        pieces, at = [], 0
+        for s in spans:
+            pieces += [text[at : s["start"]], replaced(s["entity_type"], text[s["start"] : s["end"]])]
+            at = s["end"]
+        out.append("".join([*pieces, text[at:]]))
+    return pa.array(out, pa.string())
+
+
+def redact(text: Column, entities: Column) -> Column:
+    """The text with all spans replaced; only texts with spans are sent."""
+    some = F.coalesce(F.size(entities) > 0, F.lit(False))
+    return F.when(some, _redacted(F.when(some, text), F.when(some, entities))).otherwise(text)
 
 
 def density(entities: Column, text: Column) -> Column:
@@ -137,7 +197,7 @@ def audit_entities(entities: Column) -> Column:
     return F.transform(types, row)
 
 
-def process(docs: DataFrame, config: PII = PII(), text: str = "content") -> DataFrame:
+def process(docs: DataFrame, config: PII = PII(), text: str = "content", detectors: Sequence[Detector] = ()) -> DataFrame:
     """Adds pii_checked, pii_action, pii_blocked, pii_mode, pii_density, pii_audit, entity_count; the text is redacted by mode.
 
     A null entities column, where the input brings one, is a failed detector: skipped and unchecked.  Blocked rows keep
@@ -146,7 +206,7 @@ def process(docs: DataFrame, config: PII = PII(), text: str = "content") -> Data
     if not config.enabled:
         none = F.lit(None)
         return docs.withColumns({"pii_checked": F.lit(False), "pii_action": F.lit("skipped"), "pii_blocked": F.lit(False), "pii_mode": F.lit(config.mode), "pii_density": F.lit(0.0), "entity_count": F.lit(0), "pii_audit": none.cast("array<struct<type: string, score: double, count: int>>")})
-    found = docs if "entities" in docs.columns else detect(docs, text, config)
+    found = docs if "entities" in docs.columns else detect(docs, text, config, detectors)
     spans, content = F.col("entities"), F.col(text)
     mode = config.mode if config.mode in ("audit", "redact", "block") else "audit"
     checked = spans.isNotNull()

@@ -323,27 +323,33 @@ def blank_collapse(spark, sf_dir):
 
 
 def _sql_ok(m: str, r: pii.Recogniser) -> str:
-    if not r.luhn:
-        return "TRUE"
-    d = f"regexp_replace({m}, '[ -]', '', 'g')"
-    digit = f"CAST(substr({d}, length({d}) - i, 1) AS INT)"
-    return f"(list_sum(list_transform(range(length({d})), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END ELSE {digit} END)) % 10 = 0)"
-
-
-def _pii_ctes(config: PII = PII()) -> str:
-    """t0, t1, ...: texts with the matches of each recogniser blanked out; spans: one row a match."""
-    out, spans = ["t0 AS (SELECT doc_id, text AS t FROM documents)"], []
-    for k, r in enumerate(pii.chosen(config)):
-        z = f"list_zip(string_split_regex(t, '{r.pattern}'), regexp_extract_all(t, '{r.pattern}'))"
-        out.append(f"z{k} AS (SELECT doc_id, t, {z} AS z FROM t{k})")
-        new = f"list_transform(z, lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' WHEN {_sql_ok('x[2]', r)} THEN repeat(chr(1), length(x[2])) ELSE x[2] END)"
-        out.append(f"t{k + 1} AS (SELECT doc_id, array_to_string({new}, '') AS t FROM z{k})")
-        cell = f"SELECT doc_id, unnest(list_transform(z, lambda x, i: struct_pack(m := x[2], start := list_sum(list_transform(z[1:i], lambda y: length(y[1]) + coalesce(length(y[2]), 0))) - coalesce(length(x[2]), 0)))) AS s FROM z{k} WHERE len(z) > 1"
-        spans.append(f"SELECT doc_id, '{r.entity}' AS entity_type, CAST(s.start AS INT) AS start, CAST(s.start + length(s.m) AS INT) AS \"end\", CAST({r.score} AS DOUBLE) AS score FROM ({cell}) WHERE s.m IS NOT NULL AND {_sql_ok('s.m', r)}")
-    return "WITH " + ",\n".join([*out, f"spans AS ({' UNION ALL '.join(spans)})"])
-
-
-_PII = _pii_ctes()
+    if r.check == "luhn":
+        d = f"regexp_replace({m}, '[ -]', '', 'g')"
+        digit = f"CAST(substr({d}, length({d}) - i, 1) AS INT)"
+        return f"(list_sum(list_transform(range(length({d})), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END ELSE {digit} END)) % 10 = 0)"
+    if r.check == "licence":
+        d = [f"CAST(substr({m}, {k + 3}, 1) AS INT)" for k in range(7)]
+        return f"(({d[0]} + {d[2]} + {d[4]} + 2 * ({d[1]} + {d[3]} + {d[5]})) % 10 = {d[6]})"
+    return "TRUE"
+
+
+def _pii_ctes(recognisers: list[pii.Recogniser], text: str = "text") -> str:
+    """found: all matches of each recogniser alone; spans: those that the sweep keeps, one after the other by rank."""
+    spans = []
+    for k, r in enumerate(recognisers):
+        z = f"list_zip(string_split_regex(text, '{r.pattern}'), regexp_extract_all(text, '{r.pattern}'))"
+        cell = f"SELECT doc_id, unnest(list_transform(z, lambda x, i: struct_pack(m := x[2], start := list_sum(list_transform(z[1:i], lambda y: length(y[1]) + coalesce(length(y[2]), 0))) - coalesce(length(x[2]), 0)))) AS s FROM (SELECT doc_id, {z} AS z FROM texts) WHERE len(z) > 1"
+        spans.append(f"SELECT doc_id, '{r.entity}' AS entity_type, CAST(s.start AS INT) AS start, CAST(s.start + length(s.m) AS INT) AS stop, CAST({r.score} AS DOUBLE) AS score, {k} AS priority FROM ({cell}) WHERE s.m IS NOT NULL AND {_sql_ok('s.m', r)}")
+    return f"""WITH RECURSIVE texts AS (SELECT doc_id, {text} AS text FROM documents), found AS ({" UNION ALL ".join(spans)}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, stop - start DESC, start, priority) AS r FROM found),
+sweep AS (SELECT doc_id, r, entity_type, start, stop, score, TRUE AS keep, [struct_pack(a := start, b := stop)] AS held FROM ranked WHERE r = 1
+  UNION ALL SELECT x.doc_id, x.r, x.entity_type, x.start, x.stop, x.score, len(list_filter(held, lambda h: x.start < h.b AND h.a < x.stop)) = 0,
+    CASE WHEN len(list_filter(held, lambda h: x.start < h.b AND h.a < x.stop)) = 0 THEN list_append(held, struct_pack(a := x.start, b := x.stop)) ELSE held END
+  FROM sweep s JOIN ranked x ON x.doc_id = s.doc_id AND x.r = s.r + 1),
+spans AS (SELECT doc_id, entity_type, start, stop AS "end", score FROM sweep WHERE keep)"""
+
+
+_PII = _pii_ctes(pii.chosen(PII()))
 _COUNTS = ", per AS (SELECT d.doc_id, d.text, count(s.doc_id) AS n, CASE WHEN strlen(d.text) > 0 THEN count(s.doc_id)::DOUBLE / strlen(d.text) * 1000 ELSE 0 END AS density FROM documents d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.text)"
 
 
@@ -356,6 +362,35 @@ def pii_entities(spark, sf_dir):
     return pii.detect(_pii_docs(spark, sf_dir)).select("doc_id", F.inline("entities"))
 
 
+_NAME = pii.Recogniser("PERSON", r"\b[A-Z][a-z]+ [A-Z0-9][a-z0-9-]+\b", 0.7)
+
+
+def name_detector():
+    """A detector of two capitalised words for the queries; it fails for texts with a count of characters divisible by 50."""
+    import re
+
+    pattern = re.compile(_NAME.pattern, re.ASCII)
+
+    def look(texts: list[str], language: str) -> list:
+        if any(len(t) % 50 == 0 for t in texts):
+            raise RuntimeError("no answer")
+        return [[("PERSON", *m.span(), _NAME.score) for m in pattern.finditer(t)] + [("NOT_ASKED_FOR", 0, 1, 1.0)] for t in texts]
+
+    return look
+
+
+def _marked(text: str = "text") -> str:
+    """Texts with numbers that several recognisers take: a licence, one with a wrong digit, and a card that begins like a phone number."""
+    return f"{text} || ' Licence AB1234563 not AB1234567, Dr BC9876541, card 4111 1111 1111 1111, Anna 555-123-4567.'"
+
+
+@query(_pii_ctes([*pii.chosen(PII()), _NAME], _marked()) + " SELECT * FROM spans WHERE doc_id NOT IN (SELECT doc_id FROM texts WHERE length(text) % 50 = 0)")
+def pii_detectors(spark, sf_dir):
+    """Recognisers and a detector whose spans clash; texts for which the detector fails have none."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_marked()).alias("content"))
+    return pii.detect(rows, detectors=[name_detector]).select("doc_id", F.inline("entities"))
+
+
 @query(_PII + _COUNTS + " SELECT doc_id, doc_id % 5 <> 0 AS pii_checked, CASE WHEN doc_id % 5 = 0 THEN 'skipped' ELSE 'pass' END AS pii_action, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n END AS INT) AS entity_count FROM per")
 def pii_dispatch(spark, sf_dir):
     """Every fifth detector call counts as failed."""
@@ -371,13 +406,10 @@ def pii_audit(spark, sf_dir):
 
 
 def _redacted_sql() -> str:
-    out = ["r0 AS (SELECT doc_id, text AS t FROM documents)"]
-    recognisers = pii.chosen(PII())
-    for k, r in enumerate(recognisers):
-        new = {"PHONE_NUMBER": "'<PHONE>'", "EMAIL_ADDRESS": "repeat('*', least(100, length(x[2]))) || substr(x[2], 101)"}.get(r.entity, "'<REDACTED>'")
-        z = f"list_zip(string_split_regex(t, '{r.pattern}'), regexp_extract_all(t, '{r.pattern}'))"
-        out.append(f"r{k + 1} AS (SELECT doc_id, array_to_string(list_transform({z}, lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' WHEN {_sql_ok('x[2]', r)} THEN {new} ELSE x[2] END), '') AS t FROM r{k})")
-    return ",\n".join(out) + f", redacted AS (SELECT * FROM r{len(recognisers)})"
+    new = "CASE entity_type WHEN 'PHONE_NUMBER' THEN '<PHONE>' WHEN 'EMAIL_ADDRESS' THEN repeat('*', least(100, \"end\" - start)) || substr(text, start + 101, greatest(0, \"end\" - start - 100)) ELSE '<REDACTED>' END"
+    return f"""placed AS (SELECT s.*, text, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM spans s JOIN texts USING (doc_id)),
+changed AS (SELECT doc_id, string_agg(substr(text, before + 1, start - before) || {new}, '' ORDER BY start) || substr(any_value(text), max("end") + 1) AS t FROM placed GROUP BY doc_id),
+redacted AS (SELECT doc_id, coalesce(c.t, x.text) AS t FROM texts x LEFT JOIN changed c USING (doc_id))"""
 
 
 @query(_PII + _COUNTS + f", {_redacted_sql()} SELECT p.doc_id, CASE WHEN n > 0 THEN 'redacted' ELSE 'pass' END AS pii_action, sha256(r.t) AS content_hash FROM per p JOIN redacted r USING (doc_id)")
