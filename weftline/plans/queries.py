@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import PII, Config, Injection, Policy, Rerank
 from ..functions import html as H, text as T, urls as U
 from ..functions.once import let
-from ..operators import extract, format as fmt, injection, pii, policy, provenance, rank, scrape, search, telemetry
+from ..operators import extract, format as fmt, injection, pii, policy, provenance, rank, scrape, search, spans, telemetry
 from . import engine
 from .views import ctes, table, view
 
@@ -757,6 +757,108 @@ def trace_sample(spark, sf_dir):
     return telemetry.sampled(view(spark, sf_dir, "provenance_log"), 0.25).select("event_id", "request_id")
 
 
+_FACTS = {
+    "search.duration": "(event_id * 37) % 400", "scrape.duration": "total_duration_ms", "pii.duration": "(event_id * 53) % 300", "injection.duration": "(event_id % 7) * 100",
+    "rerank.duration": "(event_id * 11) % 150", "pipeline.duration": "total_duration_ms + (event_id * 37) % 400 + (event_id * 53) % 300", "content.length": "(event_id * 7919) % 5000 - 10",
+}
+_FACTS_SQL = ctes("provenance_log") + ", facts AS (" + " UNION ALL ".join(f"SELECT timestamp, '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM provenance_log" for m, x in _FACTS.items()) + ")"
+
+
+def _facts(spark, sf_dir):
+    """All seven histograms' values, from one scan."""
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(x).cast("double").alias("value")) for m, x in _FACTS.items()])
+    return view(spark, sf_dir, "provenance_log").select("timestamp", F.inline(each))
+
+
+@query(_FACTS_SQL + " SELECT metric, " + ", ".join(f"count(*) FILTER (value <= {b}) AS le_{b}" for b in telemetry.BOUNDS) + ", count(*) AS n, sum(value) AS total, min(value) AS low, max(value) AS high FROM facts GROUP BY metric")
+def metrics_histograms(spark, sf_dir):
+    return telemetry.histogram(_facts(spark, sf_dir), "value", "metric")
+
+
+_G = "(1.01::DOUBLE / 0.99::DOUBLE)"
+_POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query(
+    _FACTS_SQL
+    + f""", buckets AS (SELECT metric, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / ln({_G})) AS INT) END AS bucket, count(*) AS n FROM facts GROUP BY ALL),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY metric) AS all_n FROM buckets)
+SELECT metric, CAST(sum(n) AS BIGINT) AS n, {", ".join(f"round(min(CASE WHEN upto > floor({q} * (all_n - 1)) THEN CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({_G}, bucket) / ({_G} + 1) END END), 6) AS {name}" for name, q in _POINTS.items())} FROM upto GROUP BY metric"""
+)
+def metrics_quantiles(spark, sf_dir):
+    """Sketches of five-minute windows, merged over all of them."""
+    windows = telemetry.windowed_sketch(_facts(spark, sf_dir), "value", "metric")
+    out = telemetry.quantiles(telemetry.merged(windows, "metric"), _POINTS, "metric")
+    return out.select("metric", "n", *[F.round(name, 6).alias(name) for name in _POINTS])
+
+
+# documents of every stage, from the log's rows
+_OUTCOMES = {
+    "policy_step": "CASE event_id % 9 WHEN 0 THEN 'domain' WHEN 1 THEN 'robots' WHEN 2 THEN 'rate' ELSE 'pass' END", "level": "CASE WHEN event_id % 10 < 3 THEN CAST(event_id % 10 AS INT) END", "scraped": "event_id % 9 > 2 AND event_id % 10 < 3 AND event_id % 4 <> 0",
+    "pii_blocked": "event_id % 9 > 2 AND event_id % 10 < 3 AND event_id % 4 <> 0 AND event_id % 7 = 0", "entity_count": "CAST(event_id % 6 AS INT)", "chunk_count": "CAST(event_id % 5 AS INT)", "over_count": "CAST(event_id % 2 AS INT)", "inj_blocked": "event_id % 11 = 0",
+}
+_TRIED, _SCREENED = "policy_step = 'pass'", "scraped AND NOT pii_blocked"
+
+
+def _total(counter: str, what: str, level: str = "''") -> str:
+    return f"SELECT '{counter}' AS counter, {level} AS level, CAST(coalesce({what}, 0) AS BIGINT) AS total FROM outcomes"
+
+
+@query(
+    ctes("provenance_log")
+    + ", outcomes AS (SELECT request_id, " + ", ".join(f"{x} AS {c}" for c, x in _OUTCOMES.items()) + " FROM provenance_log) "
+    + " UNION ALL ".join([
+        _total("search.requests", "count(DISTINCT request_id)"), *[_total("scrape.attempts", f"count(*) FILTER ({_TRIED} AND level = {k})", f"'{name}'") for k, name in enumerate(("readability", "cdp", "cdp_stealth"))],
+        _total("scrape.attempts", f"count(*) FILTER ({_TRIED} AND level IS NULL)", "'unknown'"), _total("scrape.errors", f"count(*) FILTER ({_TRIED} AND NOT scraped)"), _total("pii.entities", f"sum(entity_count) FILTER ({_SCREENED})"),
+        _total("pii.blocked", "count(*) FILTER (pii_blocked)"), _total("injection.chunks", f"sum(chunk_count) FILTER ({_SCREENED})"), _total("injection.flagged", f"sum(over_count) FILTER ({_SCREENED})"),
+        _total("injection.blocked", f"count(*) FILTER ({_SCREENED} AND inj_blocked)"), _total("rerank.requests", f"count(DISTINCT request_id) FILTER ({_SCREENED} AND NOT inj_blocked)"), _total("pipeline.requests", "count(DISTINCT request_id)"),
+    ])
+)
+def metrics_pipeline(spark, sf_dir):
+    """The ten counters over documents of all stages."""
+    rows = view(spark, sf_dir, "provenance_log").selectExpr("request_id", *[f"{x} AS {c}" for c, x in _OUTCOMES.items()])
+    return telemetry.pipeline_counters(rows, rows.select("request_id").distinct())
+
+
+# a request's stages one after the other, with a page and a record for each of its log's rows; records may overlap
+_INTERVALS = r"""docs AS (SELECT request_id AS trace_id, event_id, 100 + (event_id * 37) % 500 AS a, 100 + (event_id * 37) % 500 + total_duration_ms AS b FROM provenance_log),
+req AS (SELECT trace_id, max(b) AS last, count(*) AS n FROM docs GROUP BY trace_id),
+intervals AS (
+  SELECT trace_id, 'pipeline' AS name, 0 AS level, 0 AS started, last + 7 * n + 80 AS ended FROM req
+  UNION ALL SELECT trace_id, 'search', 1, 2, 60 FROM req
+  UNION ALL SELECT trace_id, 'policy', 1, 60, 60 + n % 40 FROM req
+  UNION ALL SELECT trace_id, 'scrape', 1, 100, last FROM req
+  UNION ALL SELECT trace_id, 'pii', 1, last, last + 3 * n FROM req
+  UNION ALL SELECT trace_id, 'injection', 1, last + 2 * n, last + 5 * n FROM req
+  UNION ALL SELECT trace_id, 'rerank', 1, last + 5 * n + 1, last + 5 * n + 50 FROM req
+  UNION ALL SELECT trace_id, 'format', 1, last + 5 * n + 50, last + 7 * n + 80 FROM req
+  UNION ALL SELECT trace_id, 'scrape.page', 2, a, b FROM docs
+  UNION ALL SELECT d.trace_id, 'provenance', 2, last + 5 * n + 51 + event_id % 20, last + 5 * n + 60 + event_id % 23 FROM docs d JOIN req r ON r.trace_id = d.trace_id)"""
+
+
+@query(
+    ctes("provenance_log").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", {_INTERVALS},
+clipped AS (SELECT trace_id, name, level, started, greatest(started, ended) AS ended FROM intervals),
+ids AS (SELECT *, substr(sha256(concat_ws('|', trace_id, name, level, started, ended, row_number() OVER (PARTITION BY trace_id, name, level, started, ended))), 1, 16) AS span_id FROM clipped),
+held AS (SELECT c.span_id, arg_max(p.span_id, struct_pack(l := p.level, d := p.started - p.ended, s := p.started, id := p.span_id)) AS parent_id FROM ids c JOIN ids p ON p.trace_id = c.trace_id AND p.level < c.level AND p.started <= c.started AND p.ended >= c.ended GROUP BY c.span_id),
+tree AS (SELECT ids.*, parent_id FROM ids LEFT JOIN held USING (span_id)),
+later AS (SELECT *, max(ended) OVER (PARTITION BY parent_id ORDER BY started, ended, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY parent_id ORDER BY ended DESC, started DESC, span_id) AS r FROM tree WHERE parent_id IS NOT NULL),
+covered AS (SELECT parent_id, sum(greatest(0, ended - greatest(started, coalesce(before, started)))) AS covered FROM later GROUP BY parent_id),
+fold AS (SELECT parent_id, span_id, r, started AS until, TRUE AS decides FROM later WHERE r = 1
+  UNION ALL SELECT x.parent_id, x.span_id, x.r, CASE WHEN x.ended <= f.until THEN x.started ELSE f.until END, x.ended <= f.until FROM fold f JOIN later x ON x.parent_id = f.parent_id AND x.r = f.r + 1),
+path AS (SELECT span_id FROM tree WHERE parent_id IS NULL UNION ALL SELECT f.span_id FROM path JOIN fold f ON f.parent_id = path.span_id AND f.decides),
+spent AS (SELECT parent_id, sum(ended - started) AS spent FROM tree JOIN path USING (span_id) GROUP BY parent_id)
+SELECT t.trace_id, t.span_id, t.parent_id, t.name, CAST(t.started AS BIGINT) AS started, CAST(t.ended AS BIGINT) AS ended, CAST(t.ended - t.started - coalesce(covered, 0) AS BIGINT) AS self_us, p.span_id IS NOT NULL AS on_path,
+  CAST(CASE WHEN p.span_id IS NULL THEN 0 ELSE t.ended - t.started - coalesce(spent, 0) END AS BIGINT) AS path_us
+FROM tree t LEFT JOIN covered c ON c.parent_id = t.span_id LEFT JOIN path p ON p.span_id = t.span_id LEFT JOIN spent s ON s.parent_id = t.span_id"""
+)
+def trace_spans(spark, sf_dir):
+    """Trees of all requests: eight stages and spans for documents, with self times and the critical path."""
+    rows = spark.sql("WITH " + _INTERVALS.replace("FROM provenance_log", "FROM {log}") + " SELECT * FROM intervals", log=view(spark, sf_dir, "provenance_log"))
+    return spans.assembled(rows).drop("level")
+
+
 # --- whole ---------------------------------------------------------------------------------------
 
 
