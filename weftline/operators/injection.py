@@ -211,7 +211,7 @@ def process(docs: DataFrame, config: Injection = Injection(enabled=True), text:
     Scores come from ``scorer`` (text -> score column) or, where given, from the model that ``classifier`` loads.
     """
     if not config.enabled:
-        return docs.withColumns({"inj_checked": F.lit(False), "inj_action": F.lit("skipped"), "inj_blocked": F.lit(False), "inj_mode": F.lit(config.mode), "chunk_count": F.lit(0), "over_count": F.lit(0), "max_score": F.lit(0.0), "mean_score": F.lit(None).cast("double")})
+        return docs.withColumns({"inj_content_length": F.octet_length(text), "inj_checked": F.lit(False), "inj_action": F.lit("skipped"), "inj_blocked": F.lit(False), "inj_mode": F.lit(config.mode), "chunk_count": F.lit(0), "over_count": F.lit(0), "max_score": F.lit(0.0), "mean_score": F.lit(None).cast("double")})
     mode = config.mode if config.mode in ("audit", "annotate", "block") else "audit"
     rows = classify(docs, classifier, config, text) if classifier else score_chunks(evaluated(with_chunks(docs, config.max_chunk_bytes, text), "chunks"), config, scorer)
     rows = evaluated(rows, "chunk_scores")
@@ -222,7 +222,15 @@ def process(docs: DataFrame, config: Injection = Injection(enabled=True), text:
     any_over = ok & (over > 0)
     action = F.when(~ok, "skipped").when(any_over & F.lit(mode == "block"), "blocked").when(any_over & F.lit(mode == "annotate"), "annotated").otherwise("pass")
     total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)
-    rows = rows.withColumns({"inj_checked": ok, "inj_action": action, "inj_blocked": action == "blocked", "inj_mode": F.lit(mode), "chunk_count": n, "over_count": F.when(ok, over).otherwise(0), "max_score": F.when(ok & (n > 0), F.greatest(F.lit(0.0), F.array_max(scores))).otherwise(0.0), "mean_score": F.when(ok & (n > 0), total / n)})
+    rows = rows.withColumns({"inj_content_length": F.octet_length(text), "inj_checked": ok, "inj_action": action, "inj_blocked": action == "blocked", "inj_mode": F.lit(mode), "chunk_count": n, "over_count": F.when(ok, over).otherwise(0), "max_score": F.when(ok & (n > 0), F.greatest(F.lit(0.0), F.array_max(scores))).otherwise(0.0), "mean_score": F.when(ok & (n > 0), total / n)})
     marked = annotate(F.col(text), F.col("chunks"), F.col("chunk_scores"), config.open_mark, config.close_mark)
     rows = evaluated(rows, "inj_action", "inj_checked", "inj_blocked")
     return rows.withColumn(text, F.when(F.col("inj_action") == "blocked", F.lit("")).when(F.col("inj_action") == "annotated", marked).otherwise(F.col(text))).drop("chunks", "chunk_scores")
+
+
+def audit_records(processed: DataFrame, time: Column, model: str = "builtin") -> DataFrame:
+    """The audit of ``process``'s documents (request_id, url, ...), one record for each that was checked and has chunks: never a chunk's text."""
+    return processed.where("inj_checked and chunk_count > 0").select(
+        time.cast("timestamp").alias("timestamp"), "request_id", "url", F.col("inj_mode").alias("mode"), F.lit(model).alias("model"), "chunk_count", F.col("over_count").alias("over_threshold"), "max_score", "mean_score",
+        F.col("inj_action").alias("action"), F.col("inj_content_length").alias("content_length"),
+    )

@@ -198,14 +198,14 @@ def audit_entities(entities: Column) -> Column:
 
 
 def process(docs: DataFrame, config: PII = PII(), text: str = "content", detectors: Sequence[Detector] = ()) -> DataFrame:
-    """Adds pii_checked, pii_action, pii_blocked, pii_mode, pii_density, pii_audit, entity_count; the text is redacted by mode.
+    """Adds pii_checked, pii_action, pii_blocked, pii_mode, pii_density, pii_audit, entity_count and the text's bytes before; the text is redacted by mode.
 
     A null entities column, where the input brings one, is a failed detector: skipped and unchecked.  Blocked rows keep
     their place and lose their text.
     """
     if not config.enabled:
         none = F.lit(None)
-        return docs.withColumns({"pii_checked": F.lit(False), "pii_action": F.lit("skipped"), "pii_blocked": F.lit(False), "pii_mode": F.lit(config.mode), "pii_density": F.lit(0.0), "entity_count": F.lit(0), "pii_audit": none.cast("array<struct<type: string, score: double, count: int>>")})
+        return docs.withColumns({"pii_content_length": F.octet_length(text), "pii_checked": F.lit(False), "pii_action": F.lit("skipped"), "pii_blocked": F.lit(False), "pii_mode": F.lit(config.mode), "pii_density": F.lit(0.0), "entity_count": F.lit(0), "pii_audit": none.cast("array<struct<type: string, score: double, count: int>>")})
     found = docs if "entities" in docs.columns else detect(docs, text, config, detectors)
     spans, content = F.col("entities"), F.col(text)
     mode = config.mode if config.mode in ("audit", "redact", "block") else "audit"
@@ -215,6 +215,14 @@ def process(docs: DataFrame, config: PII = PII(), text: str = "content", detecto
     blocked = checked & (F.col("pii_density") > config.max_density) if mode == "block" else F.lit(False)
     action = F.when(~checked, "skipped").when(blocked, "blocked").when(full & F.lit(mode != "audit"), "redacted").otherwise("pass")
     label = F.when(blocked, "block").otherwise("redact" if mode == "block" else mode)
-    out = found.withColumns({"pii_checked": checked, "pii_blocked": blocked, "pii_action": action, "pii_mode": label, "entity_count": F.coalesce(F.when(checked, F.size(spans)), F.lit(0)), "pii_audit": audit_entities(spans)})
+    out = found.withColumns({"pii_content_length": F.octet_length(content), "pii_checked": checked, "pii_blocked": blocked, "pii_action": action, "pii_mode": label, "entity_count": F.coalesce(F.when(checked, F.size(spans)), F.lit(0)), "pii_audit": audit_entities(spans)})
     changed = F.when(F.col("pii_blocked"), F.lit("")).when(F.col("pii_action") == "redacted", redact(content, spans)).otherwise(content)
     return evaluated(out.withColumn(text, changed), text, "pii_action", "pii_blocked", "pii_checked")
+
+
+def audit_records(processed: DataFrame, time: Column, language: str = PII.language) -> DataFrame:
+    """The audit of ``process``'s documents (request_id, url, ...), one record for each that was checked: never a matched text."""
+    return processed.where("pii_checked").select(
+        time.cast("timestamp").alias("timestamp"), "request_id", "url", F.col("pii_mode").alias("mode"), F.lit(language).alias("language"), F.col("pii_audit").alias("entities"), F.transform("pii_audit", lambda e: e["type"]).alias("entity_types"),
+        "entity_count", "pii_density", F.col("pii_action").alias("action"), F.col("pii_content_length").alias("content_length"),
+    )

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..config import Rerank
+from ..functions.models import halved
 from ..functions.text import quoted
 
 PROMPT_BYTES = 2000
@@ -116,3 +121,33 @@ def prompted_provider(answer: Callable[[Column], Column]) -> Callable[[DataFrame
         return docs.join(scores, ["request_id", "idx"], "left")
 
     return score
+
+
+def tensor_provider(make: Callable[[], Callable[[list[str], list[str]], list[float]]], batch: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """A provider that asks a model for pairs: ``make`` loads it once a worker, and it takes queries and passages of one length and gives scores by place.
+
+    Pairs of many requests make a batch, and no row moves.  Where the model raises, gives another number of scores or one that isn't a
+    number, the batch is halved; a pair that fails has no score, on which its request falls back to the original order.
+    """
+
+    def load() -> Callable:
+        model = make()
+
+        def scored(pairs: list[tuple[str, str]]) -> list[float]:
+            scores = [float(s) for s in model([q for q, _ in pairs], [p for _, p in pairs])]
+            if not all(math.isfinite(s) for s in scores):
+                raise ValueError("a score is not a number")
+            return scores
+
+        def predict(queries: np.ndarray, passages: np.ndarray) -> np.ndarray:
+            found = halved(scored, [(str(q), str(p)) for q, p in zip(queries, passages, strict=True)])
+            return np.array([math.nan if s is None else s for s in found], float)
+
+        return predict
+
+    def score(docs: DataFrame) -> DataFrame:
+        ask = predict_batch_udf(load, return_type=DoubleType(), batch_size=batch)
+        asked = docs.withColumn("_s", ask(F.coalesce("query", F.lit("")), F.coalesce("content", F.lit(""))))
+        return asked.withColumn("score", F.when(~F.isnan("_s") & F.col("content").isNotNull(), F.col("_s"))).drop("_s")
+
+    return score

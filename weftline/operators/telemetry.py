@@ -41,6 +41,16 @@ def pipeline_counters(ranked: DataFrame, requests: DataFrame) -> DataFrame:
     return all_.select(F.inline(F.array(*rows)))
 
 
+def exposition(counted: DataFrame) -> DataFrame:
+    """(value): counters (counter, level, total) as lines of the text exposition format, summed up over all that was exported."""
+    name = F.concat(F.replace("counter", F.lit("."), F.lit("_")), F.lit("_total"))
+    per = counted.groupBy("counter", "level").agg(F.sum("total").alias("total"))
+    label = F.when(F.col("level") == "", "").otherwise(F.concat(F.lit('{level="'), "level", F.lit('"}')))
+    line = F.concat(name, label, F.lit(" "), F.col("total").cast("string"))
+    lines = per.groupBy("counter").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # a line a level
+    return lines.orderBy("counter").select(F.concat(F.lit("# TYPE "), name, F.lit(" counter\n"), F.array_join("lines", "\n")).alias("value"))
+
+
 # --- sketches: counts by buckets whose bounds grow by a factor, so that sums of sketches are sketches of sums
 
 

@@ -13,6 +13,7 @@ from ..config import PII, Config, Injection, Policy, Rerank
 from ..functions import html as H, text as T, urls as U
 from ..functions.once import let
 from ..operators import extract, format as fmt, injection, pii, policy, provenance, rank, scrape, search, spans, telemetry
+from ..streaming import alerts
 from . import engine
 from .views import ctes, table, view
 
@@ -627,6 +628,30 @@ def rerank_lexical(spark, sf_dir):
     return rank.rerank(rows, config, {"flashrank": scorer}).select("request_id", "idx", "score", "rank", "reranker")
 
 
+def overlap_model():
+    """A model of pairs for the queries: lengths by a formula, and no answer for passages of the tail of one engine's names."""
+
+    def answer(queries: list[str], passages: list[str]) -> list[float]:
+        if any(len(p) % 41 == 0 for p in passages):
+            return []
+        return [(7 * len(p) + 3 * len(q)) % 100 / 100 for q, p in zip(queries, passages, strict=True)]
+
+    return answer
+
+
+@query(
+    ctes("search_results")
+    + """, scored AS (SELECT *, CAST((7 * length(title) + 3 * length(request_id)) % 100 AS DOUBLE) / 100 AS s, bool_or(length(title) % 41 = 0) OVER (PARTITION BY request_id) AS failed FROM search_results)
+SELECT request_id, CAST(position - 1 AS INT) AS idx, CAST(rank AS INT) AS rank, round(CASE WHEN failed THEN 1 - (position - 1) * 0.01 ELSE s END, 9) AS score, CASE WHEN failed THEN 'none (fallback)' ELSE 'kserve' END AS reranker
+FROM (SELECT *, CASE WHEN failed THEN position ELSE row_number() OVER (PARTITION BY request_id ORDER BY s DESC, position) END AS rank FROM scored) WHERE failed OR rank <= 5"""
+)
+def rerank_tensor(spark, sf_dir):
+    """Pairs of many requests in batches; a pair without an answer sends its request back to the original order."""
+    rows = _scored(spark, sf_dir).drop("score").withColumn("query", F.col("request_id")).withColumn("content", F.col("title"))
+    out = rank.rerank(rows, Rerank(provider="kserve", endpoint="builtin", top_k=5), {"kserve": rank.tensor_provider(overlap_model)})
+    return out.select("request_id", "idx", "rank", F.round("score", 9).alias("score"), "reranker")
+
+
 # --- provenance and format -----------------------------------------------------------------------
 
 _CUT = "CASE WHEN strlen(text) > 5000 THEN encode(text)[1:5000] || encode(chr(10) || chr(10) || '... [truncated]') ELSE encode(text) END"
@@ -820,6 +845,37 @@ def metrics_pipeline(spark, sf_dir):
     return telemetry.pipeline_counters(rows, rows.select("request_id").distinct())
 
 
+ALERTS = (
+    alerts.Rule("error_rate", "share", "errors", 0.05, 5, 10), alerts.Rule("pii_unchecked", "rate", "unchecked", 0.0, 5, 5), alerts.Rule("reranker_down", "gauge", "available", 0.0, 1, 1), alerts.Rule("l2_surge", "rate", "l2", 0.004, 10, 7),
+)
+_ALERT_FACTS = "1 AS total, CAST(pii_action = 'blocked' AS INT) AS errors, CAST(event_id % 9 = 0 AS INT) AS unchecked, CAST(event_id % 3 > 0 AS INT) AS available, CAST(scraper_level = 2 AS INT) AS l2"
+
+
+def _rule_sql(r: alerts.Rule) -> str:
+    frame = f"OVER (ORDER BY minute ROWS BETWEEN {r.minutes - 1} PRECEDING AND CURRENT ROW)"
+    value = {"share": f"CASE WHEN sum({r.total}) {frame} > 0 THEN sum({r.fact}) {frame} / sum({r.total}) {frame} END", "rate": f"coalesce(sum({r.fact}) {frame}, 0) / {60 * r.minutes}.0", "gauge": f"max({r.fact}) {frame}"}[r.kind]
+    return f"SELECT '{r.name}' AS rule, {r.hold} AS hold, minute, coalesce({value} {'<=' if r.kind == 'gauge' else '>'} {r.threshold}, FALSE) AS active FROM grid"
+
+
+@query(
+    ctes("provenance_log")
+    + f""", facts AS (SELECT CAST(floor(epoch_us(timestamp) / 60000000) AS BIGINT) AS minute, {_ALERT_FACTS} FROM provenance_log),
+per AS (SELECT minute, sum(total)::DOUBLE AS total, sum(errors)::DOUBLE AS errors, sum(unchecked)::DOUBLE AS unchecked, max(available) AS available, sum(l2)::DOUBLE AS l2 FROM facts GROUP BY minute),
+grid AS (SELECT * FROM (SELECT unnest(range(min(minute), max(minute) + 1)) AS minute FROM per) LEFT JOIN per USING (minute)),
+ticks AS ({" UNION ALL ".join(_rule_sql(r) for r in ALERTS)}),
+runs AS (SELECT *, sum(CASE WHEN active THEN 0 ELSE 1 END) OVER (PARTITION BY rule ORDER BY minute) AS run, max(minute) OVER () AS stop FROM ticks),
+held AS (SELECT rule, hold, run, min(minute) AS since, max(minute) AS last, any_value(stop) AS stop FROM runs WHERE active GROUP BY rule, hold, run),
+steps AS (SELECT rule, 'pending' AS state, since AS minute FROM held UNION ALL SELECT rule, 'firing', since + hold FROM held WHERE last - since >= hold
+  UNION ALL SELECT rule, CASE WHEN last - since >= hold THEN 'resolved' ELSE 'inactive' END, last + 1 FROM held WHERE last < stop)
+SELECT rule, state, make_timestamp(minute * 60000000) AS at_minute FROM steps"""
+)
+def alert_states(spark, sf_dir):
+    """Four rules over every minute: when each is pending, firing, resolved or inactive."""
+    facts = view(spark, sf_dir, "provenance_log").selectExpr("timestamp", *[x.strip() for x in _ALERT_FACTS.split(", ")])
+    out = alerts.transitions(alerts.ticks(facts, ALERTS), ALERTS)
+    return out.select("rule", "state", F.col("at").cast("timestamp_ntz").alias("at_minute"))
+
+
 # a request's stages one after the other, with a page and a record for each of its log's rows; records may overlap
 _INTERVALS = r"""docs AS (SELECT request_id AS trace_id, event_id, 100 + (event_id * 37) % 500 AS a, 100 + (event_id * 37) % 500 + total_duration_ms AS b FROM provenance_log),
 req AS (SELECT trace_id, max(b) AS last, count(*) AS n FROM docs GROUP BY trace_id),

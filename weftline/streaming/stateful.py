@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Policy
 from ..functions.urls import normalize_url
-from ..operators import provenance, robots
+from ..operators import provenance, robots, telemetry
+from ..sources import sinks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -114,6 +115,21 @@ def export_provenance(records: DataFrame, path: str, checkpoint: str, every: str
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def export_counters(ranked: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", once: bool = False):
+    """Adds the ten counters of each batch of documents to a committed table: a batch that comes again counts once.
+
+    All documents of a request come in one batch.
+    """
+    sinks.register(ranked.sparkSession)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counted = telemetry.pipeline_counters(batch, batch.select("request_id").distinct())
+        counted.coalesce(1).write.format("committed").mode("append").option("path", path).option("batch", f"counters-{batch_id:012d}").save()  # a row a counter
+
+    writer = ranked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def drop_expired(spark, path: str, now: str, days: int = 90, delete: Callable[[str], None] | None = None) -> list[str]:
     """Date partitions older than the retention, of all batches; deletes them through Spark's file system unless told how."""
     jvm = spark.sparkContext._jvm
