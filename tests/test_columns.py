@@ -110,3 +110,15 @@ def test_blank_collapse(spark):
 
 def test_quoted(spark):
     assert one(spark, T.quoted(F.col("t")), t='a "b"\n\\') == '"a \\"b\\"\\n\\\\"'
+
+
+def test_two_decimals_of_the_binary_value(spark):
+    import random
+
+    r = random.Random(2)
+    values = [0.0, -0.0, 0.005, 0.015, 0.125, 0.375, 1.005, 2.675, 0.994999999999, 0.995, 1e12 + 0.125, 123456789.345, -0.001, -1.125, 1e-300, 5e-324, 1e13, 12345678901234567.0, 1.0]
+    values += [r.uniform(-1, 1) for _ in range(3000)] + [k / 1000 for k in range(-2000, 2000)] + [k / 8 for k in range(200)] + [r.uniform(-1e12, 1e12) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", T.two_decimals(F.col("x")).alias("s")).collect()
+    assert [x.s for x in rows] == [f"{v:.2f}" for v in values]
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(T.two_decimals(F.col("x")).alias("s")).collect()
+    assert [x.s for x in odd] == [None, None]

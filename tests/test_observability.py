@@ -104,7 +104,7 @@ def test_sketches_merge_exactly_and_are_accurate(spark):
 
 
 def _ranked(spark, sf_dir):
-    return engine.ranked_documents(*_flagship(spark, sf_dir), FLAGSHIP, {"flashrank": rank.lexical_provider, "lexical": rank.lexical_provider})
+    return engine.ranked_documents(*_flagship(spark, sf_dir), FLAGSHIP, {"lexical": rank.lexical_provider})
 
 
 def test_counters_of_the_pipeline(spark, sf_dir, tmp_path):
@@ -115,7 +115,7 @@ def test_counters_of_the_pipeline(spark, sf_dir, tmp_path):
     tried = [r for r in rows if r.policy_step == "pass"]
     assert {c for c, _ in got} == set(telemetry.COUNTERS) and len(got) == 13
     assert sum(v for (c, _), v in got.items() if c == "scrape.attempts") == len(tried) and got["scrape.errors", ""] == sum(not r.scraped for r in tried)
-    assert got["pipeline.requests", ""] == requests.count() and got["rerank.requests", ""] == len({r.request_id for r in rows if r.ready})
+    assert got["pipeline.requests", ""] == requests.count() and got["rerank.requests", ""] == len({r.request_id for r in rows if r.ready}) and got["pii.entities", ""] == sum(r.entity_count or 0 for r in rows if r.scraped and not r.pii_blocked)
     lines = [r.value for r in telemetry.exposition(telemetry.pipeline_counters(ranked, requests)).collect()]
     assert len(lines) == 10 and f"pipeline_requests_total {requests.count()}" in "\n".join(lines) and 'scrape_attempts_total{level="readability"}' in "\n".join(lines)
     none = telemetry.pipeline_counters(ranked.limit(0), requests.limit(0)).collect()

@@ -48,6 +48,21 @@ def test_rate_limit_stream(spark, sf_dir, tmp_path):
     assert got == want
 
 
+def test_distinct_urls_stream(spark, tmp_path):
+    """The first result of each canonical URL within the watermark; later ones, and those of other batches, are dropped."""
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    data = [(1, "https://a.com/x?utm_source=s", at(0)), (2, "https://A.com/x/", at(1)), (3, "https://a.com/y", at(2)), (4, "https://a.com/x", at(30)), (5, "https://a.com/y#top", at(59)), (6, "https://b.com/", at(240)), (7, "https://a.com/x", at(241))]
+    rows = spark.createDataFrame(data, "event_id long, url string, ts timestamp")
+    live = stream(spark, rows, str(tmp_path / "in"), files=4)
+    drained(stateful.distinct_urls(live), "urls", str(tmp_path / "cp"))
+    got = sorted(r.event_id for r in spark.table("urls").collect())
+    assert {1, 3, 6} <= set(got) <= {1, 3, 6, 7} and 4 not in got and 5 not in got
+    batch = stateful.distinct_urls(rows.where("event_id < 6")).select("norm_url").collect()
+    assert sorted(r.norm_url for r in batch) == ["https://a.com/x", "https://a.com/y"]
+
+
 def test_error_rate_stream(spark, sf_dir, tmp_path):
     rows = view(spark, sf_dir, "provenance_log").select(F.col("timestamp").cast("timestamp").alias("timestamp"), "pii_action", F.col("timestamp").cast("timestamp").alias("ts"))
     live = stream(spark, rows, str(tmp_path / "in")).drop("ts")

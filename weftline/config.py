@@ -189,7 +189,7 @@ def validate(c: Config) -> None:
         _require(0 <= c.injection.threshold <= 1, "injection.threshold must lie in [0, 1]")
         _require(c.injection.max_chunk_bytes >= 1, "injection.max_chunk_bytes must be at least 1")
         _require(c.injection.timeout_s > 0, "injection.timeout_s must be positive")
-    _require(c.rerank.provider in ("kserve", "flashrank", "rankllm", "none", ""), "rerank.provider is unknown")
+    _require(c.rerank.provider in ("kserve", "flashrank", "rankllm", "lexical", "none", ""), "rerank.provider is unknown")
     if c.rerank.provider not in ("none", ""):
         _require(bool(c.rerank.endpoint) and c.rerank.top_k >= 1, "rerank.endpoint and top_k are required")
     if c.telemetry.enabled:

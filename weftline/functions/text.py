@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+
+from .once import let
 
 MAX_CONTENT = 5000
 TRUNCATED = "\n\n... [truncated]"
@@ -34,10 +34,26 @@ def sha256_hex(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
-@F.pandas_udf(StringType())
-def two_decimals(x: pd.Series) -> pd.Series:
-    """Two decimals of the exact binary value; no built-in rounds like that."""
-    return x.map(lambda v: None if v is None or v != v else f"{v:.2f}")
+def two_decimals(x: Column) -> Column:
+    """Two decimals of the exact binary value, ties to even; null for null and NaN.
+
+    Built-in formats round the shortest decimal form instead.  The value is split in two halves whose hundredfold is exact, and what
+    they leave over the nearest hundredth decides.  From 1e13 on, where no such split is exact, the built-in format is used.
+    """
+
+    def cents(v: Column) -> Column:
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        n = F.rint(v * 100.0)
+        over = lambda half: (high * 100.0 - n - half) + (v - high) * 100.0  # noqa: E731  its sign is exact
+        odd = F.pmod(n, F.lit(2.0)) == 1.0
+        n = n + F.when((over(0.5) > 0) | ((over(0.5) == 0) & odd), 1.0).when((over(-0.5) < 0) | ((over(-0.5) == 0) & odd), -1.0).otherwise(0.0)
+        whole = n.cast("long")
+        return F.concat(F.floor(whole / 100).cast("string"), F.lit("."), F.lpad((whole % 100).cast("string"), 2, "0"))
+
+    value = x.cast("double")
+    sign = F.when((value < 0) | (F.concat(value.cast("string")) == "-0.0"), "-").otherwise("")
+    shown = F.when(F.abs(value) < 1e13, F.concat(sign, let(F.abs(value), cents))).otherwise(F.printf(F.lit("%.2f"), value))
+    return F.when(value.isNotNull() & ~F.isnan(value), shown)
 
 
 def level_name(level: Column) -> Column:

@@ -74,7 +74,7 @@ def lexical_score(query: Column, text: Column) -> Column:
 def with_fallback(docs: DataFrame, k: int, name: str, score: str = "score", ready: str | None = None) -> DataFrame:
     """Requests of which any score is null fall back to the original order; others are ranked, top k.
 
-    Rows whose column ``ready`` is false pass by, ranked apart and never cut.
+    Where a column ``ready`` is named, no row is cut: rows without it pass by, ranked apart, and those beyond the top k lose it.
     """
     per = Window.partitionBy("request_id", *([ready] if ready else []))
     failed = F.max(F.col(score).isNull().cast("int")).over(per) == 1
@@ -84,8 +84,9 @@ def with_fallback(docs: DataFrame, k: int, name: str, score: str = "score", read
     rows = rows.withColumn("score", F.when(F.col("_failed"), fallback_score(F.col("_place") - 1)).otherwise(F.col(score)))
     rows = rows.withColumn("rank", F.row_number().over(per.orderBy(F.when(F.col("_failed"), F.col("_place")), F.desc("score"), "idx")))
     rows = rows.withColumn("reranker", F.when(F.col("_failed"), "none (fallback)").otherwise(name))
-    passing = ~F.col(ready) if ready else F.lit(False)
-    return rows.where(passing | F.col("_failed") | (F.lit(k <= 0) | (F.col("rank") <= k))).drop("_failed", "_place")
+    within = F.col("_failed") | F.lit(k <= 0) | (F.col("rank") <= k)
+    rows = rows.withColumn(ready, F.col(ready) & within) if ready else rows.where(within)
+    return rows.drop("_failed", "_place")
 
 
 def rerank(docs: DataFrame, config: Rerank = Rerank(), scorers: dict[str, Callable[[DataFrame], DataFrame]] | None = None, ready: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Detection
 from ..functions.html import bot_signal, content_assessment
+from ..functions.once import evaluated
 
 BODY_LIMIT = 5 << 20
 
@@ -25,16 +26,16 @@ def escalation(l0: DataFrame, limits: Detection | None = None) -> DataFrame:
 def merge_levels(l0: DataFrame, rendered: DataFrame, l1_available: bool = True, l2_available: bool = True, limits: Detection | None = None) -> DataFrame:
     """(page_id, url, html, level, error): the outcome for each page.
 
-    Rendered pages are joined only to pages that escalate; the others pass by, so wide HTML moves no more than it must.
+    One pass: a page that needs no rendered one has a key of its own that matches none, so it is spread like the others.
     """
-    judged = escalation(l0, limits).drop("assessment")
-    done = judged.where("not escalate").select("page_id", "url", "html", F.lit(0).alias("level"), F.lit(None).cast("string").alias("error"))
-    open_ = judged.where("escalate").select("page_id", "url", "html")
-    level = lambda n: rendered.where(F.col("level") == n).select("page_id", F.col("html").alias(f"l{n}"))
-    both = open_.join(level(1), "page_id", "left").join(level(2), "page_id", "left")
+    judged = evaluated(escalation(l0, limits).drop("assessment"), "escalate")
+    level = lambda n: rendered.where(F.col("level") == n).select(F.col("page_id").alias(f"_p{n}"), F.col("html").alias(f"l{n}"))
+    wanted = lambda n: F.when(F.col("escalate"), F.col("page_id")).otherwise(-1 - F.col("page_id")) == F.col(f"_p{n}")
+    both = judged.join(level(1), wanted(1), "left").join(level(2), wanted(2), "left")
     at, error = _outcome(l1_available, l2_available)
+    at = F.when(F.col("escalate"), at).otherwise(F.lit(0))
     html = F.when(at == 0, F.col("html")).when(at == 1, F.col("l1")).when(at == 2, F.col("l2"))
-    return done.unionByName(both.select("page_id", "url", html.alias("html"), at.cast("int").alias("level"), error.alias("error")))
+    return both.select("page_id", "url", html.alias("html"), at.cast("int").alias("level"), F.when(F.col("escalate"), error).alias("error"))
 
 
 def _outcome(l1_available: bool, l2_available: bool) -> tuple[Column, Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import Config
 from ..functions.once import evaluated
+from ..functions.tables import scratch, written
 from ..functions.text import displayed, quoted, sha256_hex, truncated_bytes, two_decimals
 from ..operators import extract, format as fmt, injection, pii, policy, provenance, rank, scrape, search
 
@@ -24,10 +25,13 @@ def ranked_documents(requests: DataFrame, results: DataFrame, robots: DataFrame,
     pool = merged.join(asked.select("request_id", "query", F.col("max_results").alias("wanted")), "request_id")
     limited = search.limit_results(pool, F.col("wanted"))
     stepped = policy.funnel(limited, robots, config.policy)
-    rows = evaluated(stepped.select("request_id", "position", "query", "url", F.col("title").alias("result_title"), "policy_step", "robots_checked", "robots_allowed"), "policy_step")
+    light = stepped.select("request_id", "position", "query", "url", F.col("title").alias("result_title"), "policy_step", "robots_checked", "robots_allowed")
+    rows = written(light, scratch(requests.sparkSession), "policy")  # used twice, and small beside the pages
 
     # rows that a stage drops stay, without content, so that one pass gives results and counts
-    pages = scrape.merge_levels(scrape.read_pages(l0), rendered, limits=config.detection).select(F.col("url").alias("_url"), "html", "level", "error")
+    asked_for = rows.where("policy_step = 'pass'").select(F.col("url").alias("_url")).distinct()
+    visited = l0.join(asked_for, F.col("url") == F.col("_url"), "left_semi")  # no other page is judged
+    pages = scrape.merge_levels(scrape.read_pages(visited), rendered, limits=config.detection).select(F.col("url").alias("_url"), "html", "level", "error")
     fetched = rows.join(pages, (F.col("url") == F.col("_url")) & (F.col("policy_step") == "pass"), "left").drop("_url")
     fetched = fetched.withColumn("html", F.when(F.col("error").isNull(), F.col("html")))
     read = extract.extract_articles(fetched.withColumn("raw_html_hash", sha256_hex(F.col("html")))).drop("excerpt", "site", "text")

@@ -599,7 +599,7 @@ def rerank_parse_scores(spark, sf_dir):
 @query(
     ctes("search_results")
     + """ SELECT request_id, sha256('Given the query: "' || request_id || '"' || repeat(chr(10), 2) || 'Score the relevance of each document on a scale of 0.0 to 1.0.' || chr(10)
-    || 'Respond ONLY with a JSON array of scores in the same order as the documents.' || repeat(chr(10), 2) || string_agg('Document ' || CAST(position AS VARCHAR) || ': ' || snippet || chr(10), '' ORDER BY position) || chr(10) || 'Response format: [0.95, 0.23, 0.87]') AS prompt_hash
+    || 'Respond ONLY with a JSON array of scores in the same order as the documents.' || repeat(chr(10), 2) || string_agg('Document ' || CAST(position AS VARCHAR) || ': ' || CASE WHEN strlen(snippet) > 2000 THEN substr(snippet, 1, 2000) || '...' ELSE snippet END || chr(10), '' ORDER BY position) || chr(10) || 'Response format: [0.95, 0.23, 0.87]') AS prompt_hash
     FROM search_results GROUP BY request_id"""
 )
 def rerank_prompt(spark, sf_dir):
@@ -619,13 +619,21 @@ def rerank_fallback(spark, sf_dir):
     return rank.with_fallback(rows, 5, "flashrank").select("request_id", "idx", "rank", F.round("score", 9).alias("score"), "reranker")
 
 
-@query()
+_WORDS_OF = "list_distinct(list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(
+    ctes("search_results")
+    + f""", w AS (SELECT *, {_WORDS_OF.format(t="title || ' ' || snippet")} AS words FROM search_results),
+s AS (SELECT *, len(list_filter(['the', 'of', 'la', 'de', 'en'], lambda q: list_contains(words, q)))::DOUBLE / 5 AS share FROM w)
+SELECT request_id, CAST(position - 1 AS INT) AS idx, share AS score, CAST(rank AS INT) AS rank, 'lexical' AS reranker FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY share DESC, position) AS rank FROM s) WHERE rank <= 5"""
+)
 def rerank_lexical(spark, sf_dir):
     """An addition: the share of query words in each document, top k."""
-    config = Rerank(provider="flashrank", endpoint="builtin")
+    config = Rerank(provider="lexical", endpoint="builtin")
     rows = _scored(spark, sf_dir).withColumn("query", F.lit("the of la de en"))
     scorer = lambda docs: docs.withColumn("score", rank.lexical_score(F.col("query"), F.concat_ws(" ", "title", "snippet")))
-    return rank.rerank(rows, config, {"flashrank": scorer}).select("request_id", "idx", "score", "rank", "reranker")
+    return rank.rerank(rows, config, {"lexical": scorer}).select("request_id", "idx", "score", "rank", "reranker")
 
 
 def overlap_model():
@@ -654,6 +662,7 @@ def rerank_tensor(spark, sf_dir):
 
 # --- provenance and format -----------------------------------------------------------------------
 
+_BLOCK_CUT = "CASE WHEN strlen(snippet) > 5000 THEN substr(snippet, 1, 5000) || chr(10) || chr(10) || '... [truncated]' ELSE snippet END"
 _CUT = "CASE WHEN strlen(text) > 5000 THEN encode(text)[1:5000] || encode(chr(10) || chr(10) || '... [truncated]') ELSE encode(text) END"
 
 
@@ -745,7 +754,7 @@ def audit_join(spark, sf_dir):
 
 @query(
     ctes("search_results")
-    + """, b AS (SELECT request_id, position, url, '## ' || CAST(position AS VARCHAR) || '. ' || title || chr(10) || '**Source:** ' || url || chr(10) || '**Relevance:** ' || printf('%.2f', score) || repeat(chr(10), 2) || snippet || repeat(chr(10), 2) || '---' || repeat(chr(10), 2) AS block FROM search_results)
+    + f""", b AS (SELECT request_id, position, url, '## ' || CAST(position AS VARCHAR) || '. ' || title || chr(10) || '**Source:** ' || url || chr(10) || '**Relevance:** ' || printf('%.2f', score) || repeat(chr(10), 2) || {_BLOCK_CUT} || repeat(chr(10), 2) || '---' || repeat(chr(10), 2) AS block FROM search_results)
 SELECT request_id, CAST(count(*) AS INT) AS n_results, sha256('# Search Results for: "' || request_id || '"' || repeat(chr(10), 2) || string_agg(block, '' ORDER BY position) || '**Sources:**' || chr(10) || string_agg('[' || CAST(position AS VARCHAR) || '] ' || url || chr(10), '' ORDER BY position)) AS content_hash FROM b GROUP BY request_id"""
 )
 def format_result(spark, sf_dir):
@@ -918,7 +927,7 @@ def trace_spans(spark, sf_dir):
 # --- whole ---------------------------------------------------------------------------------------
 
 
-FLAGSHIP = Config(policy=FUNNEL, pii=PII(mode="redact"), injection=Injection(enabled=True, mode="annotate"), rerank=Rerank(provider="flashrank", endpoint="builtin", top_k=5))
+FLAGSHIP = Config(policy=FUNNEL, pii=PII(mode="redact"), injection=Injection(enabled=True, mode="annotate"), rerank=Rerank(provider="lexical", endpoint="builtin", top_k=5))
 
 
 def _flagship(spark, sf_dir):
@@ -927,13 +936,31 @@ def _flagship(spark, sf_dir):
     return requests, results, view(spark, sf_dir, "robots"), view(spark, sf_dir, "l0"), view(spark, sf_dir, "rendered")
 
 
+@query(
+    ctes("search_results", "robots")
+    + f""", trimmed AS (SELECT * FROM search_results WHERE position <= 10), keyed AS (SELECT *, {norm()} AS norm_url FROM trimmed),
+firsts AS (SELECT request_id, norm_url, min(position) AS position FROM keyed GROUP BY request_id, norm_url),
+ordered AS (SELECT f.request_id, CAST(row_number() OVER (PARTITION BY f.request_id ORDER BY f.position) AS INT) AS position, k.url FROM firsts f JOIN keyed k ON k.request_id = f.request_id AND k.position = f.position),
+{_ROBOTS.replace("FROM search_results s", "FROM ordered s")},
+marked AS (SELECT *, NOT ({host()} <> '' AND {matches(BLOCKED)}) AS domain_ok FROM robots_marked),
+stepped AS (SELECT *, CASE WHEN NOT domain_ok THEN 'domain' WHEN NOT robots_allowed THEN 'robots'
+  WHEN NOT ({host()} = '' OR row_number() OVER (PARTITION BY request_id, {host()}, domain_ok AND robots_allowed ORDER BY position) <= 2) THEN 'rate' ELSE 'pass' END AS policy_step FROM marked)
+SELECT request_id, count(*) FILTER (policy_step = 'domain') AS domain_dropped, count(*) FILTER (policy_step = 'robots') AS robots_blocked, count(*) FILTER (policy_step = 'rate') AS rate_limited,
+  count(*) FILTER (policy_step = 'pass') AS results_after, count(*) FILTER (policy_step = 'pass') = 0 AS all_filtered FROM stepped GROUP BY request_id"""
+)
+def web_search_counts(spark, sf_dir):
+    """What the flagship says of its results before pages are read."""
+    out = web_search(spark, sf_dir)
+    return out.select("request_id", "domain_dropped", "robots_blocked", "rate_limited", "results_after", (F.col("status") == "all_policy_filtered").alias("all_filtered"))
+
+
 @query()
 def web_search(spark, sf_dir):
     """The flagship: all requests of the results through every stage, ranked by the built-in provider."""
-    return engine.web_search(*_flagship(spark, sf_dir), FLAGSHIP, {"flashrank": rank.lexical_provider})
+    return engine.web_search(*_flagship(spark, sf_dir), FLAGSHIP, {"lexical": rank.lexical_provider})
 
 
 @query()
 def web_search_provenance(spark, sf_dir):
     """The flagship's provenance: a record for each document that it delivers."""
-    return engine.provenance_of(engine.ranked_documents(*_flagship(spark, sf_dir), FLAGSHIP, {"flashrank": rank.lexical_provider}), "2026-01-01 00:00:00", FLAGSHIP)
+    return engine.provenance_of(engine.ranked_documents(*_flagship(spark, sf_dir), FLAGSHIP, {"lexical": rank.lexical_provider}), "2026-01-01 00:00:00", FLAGSHIP)

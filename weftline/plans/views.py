@@ -1,6 +1,6 @@
 """Derived views over the test tables that give every operator something to do, for Spark and, as leading CTEs, for DuckDB.
 
-Two tokens differ between the engines: ARRAY_OF and SHA256_HEX.
+Three tokens differ between the engines: ARRAY_OF, SHA256_HEX and ASCII_OF.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ VIEWS: dict[str, str] = {
                  CASE page_id % 3 WHEN 0 THEN 'google' WHEN 1 THEN 'duckduckgo' ELSE 'brave' END AS eng
           FROM pages),
         u AS (
-          SELECT page_id, 0 AS copy, url, title, substr(title, 1, 40) AS snippet, eng, CAST((page_id * 37) % 101 AS DOUBLE) / 100 AS score FROM p
+          SELECT page_id, 0 AS copy, url, title, ASCII_OF(html) AS snippet, eng, CAST((page_id * 37) % 101 AS DOUBLE) / 100 AS score FROM p
           UNION ALL
           SELECT page_id, 1, regexp_replace(url, '#.*$', '') || CASE WHEN instr(url, '?') > 0 THEN '&' ELSE '?' END || 'utm_source=dup',
                  title, title || ' (copy)', 'bing', CAST((page_id * 53) % 101 AS DOUBLE) / 100
@@ -30,12 +30,12 @@ VIEWS: dict[str, str] = {
                CASE page_id % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'news' WHEN 2 THEN 'code' ELSE 'science' END AS category
         FROM u""",
     "requests": r"""
-        SELECT 'r' || CAST(conv_id % 10 AS VARCHAR(10)) || '-' || CAST(conv_id AS VARCHAR(20)) AS request_id, substr(text, 1, 60) AS query,
+        SELECT 'r' || CAST(turn AS VARCHAR(10)) || '-' || CAST(conv_id AS VARCHAR(20)) AS request_id, text AS query,
                CASE conv_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'general' WHEN 2 THEN 'news' WHEN 3 THEN 'code' WHEN 4 THEN 'science' ELSE 'sport' END AS category,
                CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'en' ELSE 'de' END AS language,
                CASE conv_id % 4 WHEN 0 THEN 'day' ELSE '' END AS time_range,
                CAST(conv_id % 26 - 2 AS INT) AS max_results, CAST(conv_id % 3 AS INT) AS page_no
-        FROM conversations WHERE turn = 0""",
+        FROM conversations""",
     # one row a host: failed fetches, 4xx, 5xx, texts with groups, wildcards and exceptions, and a malformed one
     "robots": r"""
         SELECT host, CAST(CASE k WHEN 0 THEN NULL WHEN 2 THEN 404 WHEN 4 THEN 503 ELSE 200 END AS INT) AS status,
@@ -87,6 +87,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame."""
     text = VIEWS[name].replace("ARRAY_OF(", "array(")
     text = re.sub(r"SHA256_HEX\((.*)\) AS", r"sha2(\1, 256) AS", text)
+    text = text.replace("ASCII_OF(html)", "regexp_replace(html, '[^ -~]', '?')")
     text = text.replace("\\", "\\\\")
     used = [t for t in TABLES if re.search(rf"\bFROM {t}\b", text)]
     for t in used:
@@ -96,5 +97,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ctes(*names: str) -> str:
     """The views as leading CTEs in DuckDB's dialect."""
-    texts = [f"{n} AS ({VIEWS[n].replace('ARRAY_OF(', 'list_value(').replace('SHA256_HEX(', 'sha256(')})" for n in names]
+    texts = [f"{n} AS ({VIEWS[n].replace('ARRAY_OF(', 'list_value(').replace('SHA256_HEX(', 'sha256(').replace('ASCII_OF(html)', "regexp_replace(html, '[^ -~]', '?', 'g')")})" for n in names]
     return "WITH " + ",\n".join(texts)
