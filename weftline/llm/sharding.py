@@ -9,8 +9,9 @@ Each round lays candidate boundaries into the open interval of each unfinished
 splitter; every partition counts the bytes below each of them exactly, partial counts are
 summed, and the interval shrinks to the two probes around the target.  A splitter is done when
 a probe meets the tolerance, or when the interval is a single key, which goes to the nearer side if it is one row.  Splitters whose
-interval is a key of several rows go on among these, by the next part of the order.  What reaches
-the driver is one number a probe, whatever the input.  Shards are further cut at finer
+interval is a key of several rows go on among these, by the next part of the order, all such keys in the same jobs.  What reaches
+the driver is four numbers a probe (``ALL_PROBES`` a round, or four a cut if that is more) and an entry a part; parts grow with the
+input, one for ``part_bytes`` of text.  Shards are further cut at finer
 splitters of the same kind, with a looser tolerance, so that a task sorts about ``part_bytes`` of text; slots are the
 exact count of rows in the parts before, plus the place in the part.  Whole rows move.  Rows that agree in everything
 and are cut by number are counted, and as many are made again from one of them, in runs, so no task holds the group.
@@ -44,52 +45,61 @@ RUN = 4096  # equal rows made by a task
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 LEVELS = ("h", "d", "e")
 
-def _count_bins(rows: DataFrame, key: str, probes: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """For the keys between each two neighbours of the sorted probes: bytes, rows, smallest and largest key."""
-    shared = rows.sparkSession.sparkContext.broadcast(probes)
+def _count_bins(rows: DataFrame, key: str, probes: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+    """For each group ``g`` of rows, and the keys between each two neighbours of its sorted probes: bytes, rows, smallest and largest key.  One job."""
+    first = np.cumsum([0] + [len(p) + 1 for p in probes])
+    shared = rows.sparkSession.sparkContext.broadcast((probes, first))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(shared.value) + 1
+        probes, first = shared.value
+        n = int(first[-1])
         total, many, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, HIGH), np.full(n, LOW)
         for batch in batches:
-            k = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(shared.value, k, side="right")
-            np.add.at(total, at, batch.column(1).to_numpy(zero_copy_only=False))
-            np.add.at(many, at, 1)
-            np.minimum.at(low, at, k)
-            np.maximum.at(high, at, k)
+            group, keys, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            order = np.argsort(group, kind="stable") if len(probes) > 1 else np.arange(len(group))
+            ends = np.searchsorted(group[order], np.arange(len(probes) + 1))
+            for g in np.flatnonzero(np.diff(ends)):
+                some = order[ends[g] : ends[g + 1]]
+                k = keys[some]
+                at = first[g] + np.searchsorted(probes[g], k, side="right")
+                np.add.at(total, at, sizes[some])
+                np.add.at(many, at, 1)
+                np.minimum.at(low, at, k)
+                np.maximum.at(high, at, k)
         used = np.flatnonzero(many)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(x[used]) for x in (total, many, low, high))], names=["bin", "b", "n", "low", "high"])
 
-    parts = rows.select(key, "size").mapInArrow(count, "bin int, b long, n long, low long, high long")
-    bins = [(0, 0, HIGH, LOW)] * (len(probes) + 1)
+    parts = rows.select("g", key, "size").mapInArrow(count, "bin int, b long, n long, low long, high long")
+    bins = [(0, 0, HIGH, LOW)] * int(first[-1])
     for r in parts.groupBy("bin").agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect():
         bins[r["bin"]] = (r["b"], r["n"], r["low"], r["high"])
-    return bins
+    return [bins[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def _splitters(rows: DataFrame, key: str, targets: list[int], tolerances: list[float], probes: int) -> list[tuple[int, bool | None, int, int]]:
-    """For each target (bytes of ``rows`` that shall lie below): a key, whether its rows lie right of the cut (None: it must be divided), the
-    bytes of smaller keys, and how many bytes rows of this key have each where it must be divided."""
+def _splitters(rows: DataFrame, key: str, groups: list[int], targets: list[int], tolerances: list[float], probes: int) -> list[tuple[int, bool | None, int, int]]:
+    """For each target (bytes of the rows of its group ``g`` that shall lie below): a key, whether its rows lie right of the cut (None: it must be divided),
+    the bytes of smaller keys, and how many bytes rows of this key have each where it must be divided."""
     ends = [[LOW, HIGH, 0, None] for _ in targets]  # keys left in question: low <= key <= high; bytes below low, and up to high
     done: dict[int, tuple[int, bool | None, int, int]] = {}
     while len(done) < len(targets):
         probes = max(4, min(probes, ALL_PROBES // (len(targets) - len(done))))
-        grid: set[int] = set()
+        grids: list[set[int]] = [set() for _ in range(max(groups) + 1)]
         for i, (low, high, below, above) in enumerate(ends):
             if i in done:
                 continue
+            grid = grids[groups[i]]
             grid.update({low, high})
             grid.update(low + (high - low) * k // probes for k in range(1, probes))
             if above is not None and above > below:  # where evenly spread keys would have it
                 centre = low + (high - low) * int(1e6 * (targets[i] - below) / (above - below)) // 1_000_000
                 grid.update(x for d in range(-probes // 4, probes // 4) if low < (x := centre + (high - low) * d // (probes * probes)) < high)
-        ordered = sorted(grid)
-        bins = _count_bins(rows, key, np.array(ordered, np.int64))
-        below = np.concatenate([[0], np.cumsum([b for b, _, _, _ in bins])])  # below[k]: bytes under ordered[k - 1]
+        all_ordered = [sorted(g) for g in grids]
+        all_bins = _count_bins(rows, key, [np.array(o, np.int64) for o in all_ordered])
+        all_below = [np.concatenate([[0], np.cumsum([b for b, _, _, _ in bins])]) for bins in all_bins]  # below[k]: bytes under ordered[k - 1]
         for i, target in enumerate(targets):
             if i in done:
                 continue
+            ordered, bins, below = (x[groups[i]] for x in (all_ordered, all_bins, all_below))
             k = min(int(np.searchsorted(below, target, side="left")), len(bins))  # below[k - 1] < target <= below[k]
             k = max(k, 1)
             size, n, low, high = bins[k - 1]
@@ -114,19 +124,26 @@ def find_splitters(keyed: DataFrame, targets: list[int], tolerances: list[float]
     out: list[Cut | None] = [None] * len(targets)
     open_: dict[tuple[int, ...], list[tuple[int, int]]] = {(): list(enumerate(targets))}
     for depth, level in enumerate(LEVELS):
+        if not open_:
+            break
+        rows = keyed.withColumn("g", F.lit(0))
+        if depth:  # all keys that must be divided, at once; one row a cut at most
+            names = LEVELS[:depth]
+            table = keyed.sparkSession.createDataFrame([(*prefix, g) for g, prefix in enumerate(open_)], ", ".join(f"_{n} long" for n in names) + ", g int")
+            on = F.lit(True)
+            for n in names:
+                on = on & (F.col(n) == F.col(f"_{n}"))
+            rows = keyed.join(table, on)
+        wanted = [(prefix, g, i, target) for g, (prefix, some) in enumerate(open_.items()) for i, target in some]
+        found = _splitters(rows, level, [g for _, g, _, _ in wanted], [t for *_, t in wanted], [tolerances[i] for _, _, i, _ in wanted], probes)
         deeper: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for prefix, wanted in open_.items():
-            rows = keyed
-            for name, value in zip(LEVELS, prefix, strict=False):
-                rows = rows.where(F.col(name) == F.lit(value))
-            found = _splitters(rows, level, [t for _, t in wanted], [tolerances[i] for i, _ in wanted], probes)
-            for (i, target), (key, right, below, each) in zip(wanted, found, strict=True):
-                if right is not None:
-                    out[i] = ((*prefix, key), right)
-                elif depth + 1 < len(LEVELS):
-                    deeper.setdefault((*prefix, key), []).append((i, target - below))
-                else:
-                    out[i] = ((*prefix, key), round((target - below) / each))
+        for (prefix, _, i, target), (key, right, below, each) in zip(wanted, found, strict=True):
+            if right is not None:
+                out[i] = ((*prefix, key), right)
+            elif depth + 1 < len(LEVELS):
+                deeper.setdefault((*prefix, key), []).append((i, target - below))
+            else:
+                out[i] = ((*prefix, key), round((target - below) / each))
         open_ = deeper
     return out  # type: ignore[return-value]
 
