@@ -39,6 +39,7 @@ BLOCK_ROWS = 256
 BLOCKS = 4096  # of a source at most, so blocks grow with a large source
 RANGE_BITS = 12
 OUTPUT_SHARDS = 16
+RUN = 1024  # copies of a row that are dealt together
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -207,16 +208,25 @@ def _mixed(docs: DataFrame, seed: int, salts: int | None) -> DataFrame:
     """
     plan = make_plan(docs, seed)
     rows = _told(_hashed(docs, seed, F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")), plan, seed).where(F.col("shard").isNotNull() & F.col("row.text").rlike(WORD))
-    plain = rows.where("not is_cut").select("row", "shard", "h", (F.col("passes") + F.col("more")).alias("whole"), F.lit(0).cast("long").alias("part"))
+    plain = rows.where("not is_cut")
+    often = kept(plan.rows.groupBy("h", "ident").agg(F.count("*").alias("often")).where(F.col("often") > RUN), shared_folder(docs.sparkSession), "often")
+    if not often.isEmpty():  # rows that are there very often: one stands for all, and is as often taken
+        alike = plain.join(often, ["h", "ident"])
+        alike = alike.groupBy("source", "place").agg(*[F.first(c).alias(c) for c in ("row", "shard", "h", "passes", "more", "often")])
+        alike = alike.select("row", "shard", "h", (F.col("often") * (F.col("passes") + F.col("more"))).alias("whole"), F.lit(0).cast("long").alias("part"))
+        plain = plain.join(often, ["h", "ident"], "left_anti")
+    plain = plain.select("row", "shard", "h", (F.col("passes") + F.col("more")).alias("whole"), F.lit(0).cast("long").alias("part"))
+    plain = plain if often.isEmpty() else plain.unionByName(alike)
     # equal rows that the target cuts: one stands for all
     cut = rows.where("is_cut").groupBy("source", "place").agg(*[F.first(c).alias(c) for c in ("row", "shard", "h", "passes", "m", "full", "part")])
     cut = cut.select("row", "shard", "h", (F.col("m") * F.col("passes") + F.col("full")).alias("whole"), "part")
     taken = plain.unionByName(cut).where("whole > 0 or part > 0")
-    # one exchange by shard and salt, before passes multiply the rows
+    # one exchange by shard and salt, before passes multiply the rows; many copies of a row are dealt in runs
     salts = salts or max(1, -(-partitions(docs.sparkSession) // OUTPUT_SHARDS))
-    cell = F.col("shard") * salts + F.pmod(F.xxhash64("h", F.lit(seed + 4)), F.lit(salts)).cast("int")
+    taken = taken.withColumn("all", F.col("whole") + (F.col("part") > 0).cast("long")).withColumn("run", F.explode(F.expr(f"sequence(0L, (all - 1) div {RUN})")))
+    cell = F.col("shard") * salts + F.pmod(F.xxhash64("h", "run", F.lit(seed + 4)), F.lit(salts)).cast("int")
     dealt = taken.withColumn("cell", cell).repartitionById(OUTPUT_SHARDS * salts, F.col("cell"))
-    copies = dealt.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + (F.col("part") > 0).cast("long"))))
+    copies = dealt.withColumn("copy", F.explode(F.expr(f"sequence(run * {RUN} + 1, least((run + 1) * {RUN}, all))")))
     cut_here = F.col("copy") > F.col("whole")
     first = F.array_join(F.slice(F.filter(F.split("row.text", SPACES), lambda w: w != ""), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
     row = F.col("row").withField("text", F.when(cut_here, first).otherwise(F.col("row.text")))
