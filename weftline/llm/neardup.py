@@ -49,6 +49,7 @@ BLOCK_SETS = 256
 BLOCK_HASHES = 1_000_000
 BUCKET_KEYS = 4_000_000
 SPREAD = 5.0
+HOT_SHARE = 1000
 
 _SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * MIX) | np.uint64(1)
 
@@ -336,7 +337,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     prints = kept(_fingerprints(docs, shingle), folder, "prints")
     light = prints.select("doc_id", "n_shingles", "h1", "h2")
     full = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    classes = light.where(full).groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    classes = light.where(full).groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     first = prints.where(full).join(classes.select(F.col("class_id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
     ties = kept(_ties(first), folder, "tied")
     candidates = components(ties, folder, "ties")
@@ -360,14 +361,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         links = links.unionByName(more)
     linked = components(links, folder, "links-cc")
     of_class = classes.join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    of_class = of_class.select("h1", "h2", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
-    out = light.join(of_class, ["h1", "h2", "n_shingles"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_class = of_class.select("h1", "h2", "n_shingles", "n", F.coalesce("component", "class_id").alias("component_id"))
+    # classes with over a thousandth of all rows, fewer than a thousand, are joined by broadcast; no other key has more rows than that
+    key = ["h1", "h2", "n_shingles"]
+    floor = -(-prints.count() // HOT_SHARE)
+    of_class = kept(of_class, folder, "of-class")
+    hot = F.broadcast(of_class.where(F.col("n") > floor).drop("n"))
+    cold = of_class.where(F.col("n") <= floor).drop("n")
+    linkable = light.where(full)
+    told = linkable.join(hot, key).unionByName(linkable.join(hot.select(*key), key, "left_anti").join(cold, key))
+    alone = light.where(~full).withColumn("component_id", F.col("doc_id"))
+    out = told.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group; repeated rows of one id stay one."""
+    """The rows of ``docs`` whose document stands for its group; rows that repeat an id and its text stay one, each text of an id stays."""
     kept_ids = near_duplicates(docs, shingle, percent).where("kept").select("doc_id").distinct()
-    some = docs.join(kept_ids.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = docs.join(kept_ids.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return some.unionByName(docs.where("doc_id is null")).select(*docs.columns)
