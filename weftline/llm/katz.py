@@ -19,7 +19,7 @@ is partitioned by ranges of them:
    number in it, two columns.
 2. Each block sends its distinct n-grams of each order with training counts, packed, to the bucket of the n-gram.  There
    they are added up; counts go back to the blocks, with one block named the owner of each n-gram, and counts of counts are kept.
-   A hot n-gram is one record a block, and no bucket depends on a hot word.
+   A hot n-gram is one number in each block's record, so its bucket gets as many numbers as there are blocks; the start's bucket likewise.
 3. Blocks with the answers give each text's sums.  Owners send what an n-gram adds to its context's masses, pre-added in
    the block, to the context's bucket, if any held-out text has the context; blocks ask there for the alphas that unseen n-grams need, each context once.
 4. The alphas go back to the blocks, which give the texts' scores.
