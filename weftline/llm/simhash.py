@@ -41,6 +41,7 @@ SEED = 42
 DISTANCE = 4
 PIECE_BYTES = 1 << 20
 BLOCK = 4096
+KEY_ROWS = 50_000  # fingerprints of a task that makes keys, which are a hundred times as many
 HOT_SHARE = 1000
 #: Generator polynomial of the Golay code of 23 bits: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
@@ -153,7 +154,8 @@ def _keys(classes: DataFrame) -> DataFrame:
                 owner, key = keys_of(some.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[owner])], names=["key", "fp"])
 
-    return classes.select("fp").mapInArrow(run, "key long, fp long")
+    tasks = max(partitions(classes.sparkSession), -(-classes.count() // KEY_ROWS))
+    return classes.select("fp").repartition(tasks, "fp").mapInArrow(run, "key long, fp long")
 
 
 def _differ(a: Column, b: Column) -> Column:
