@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -73,6 +74,20 @@ def test_trees_of_spans(spark):
     assert spans.assembled(spark.createDataFrame([], INTERVALS)).count() == 0
 
 
+def test_many_documents_of_a_trace(spark):
+    """A request with 60,000 documents: no two documents meet, and a chain of ends without length is no growing array."""
+    n = 60_000
+    part = spark.range(n).select(F.lit("t").alias("trace_id"), F.lit("d").alias("name"), F.lit(2).alias("level"), (F.col("id") % 30_000 + 10).alias("started"), (F.col("id") % 30_000 + 10 + F.floor(F.col("id") / 30_000) * 3).alias("ended"))
+    stages = spark.createDataFrame([("t", "pipeline", 0, 0, 50_000), ("t", "scrape", 1, 5, 40_000)], INTERVALS)
+    began = time.time()
+    tree = spans.assembled(part.unionByName(stages))
+    got = {(r.level, r.zero): r for r in tree.groupBy("level", (F.col("started") == F.col("ended")).alias("zero")).agg(F.count("*").alias("n"), F.count_if("on_path").alias("on"), F.sum("self_us").alias("own"), F.sum("path_us").alias("path"), F.count_distinct("parent_id").alias("over")).collect()}
+    assert time.time() - began < 60
+    assert (got[2, True].n, got[2, True].over, got[2, False].n, got[2, False].over) == (30_000, 1, 30_000, 1)
+    assert (got[1, False].own, got[2, False].on, got[2, False].path) == (39_995 - 30_002, 10_000, 30_000) and got[1, False].path == 39_995 - 30_000
+    assert got[2, True].on == 10_002
+
+
 def test_otlp_lines(spark):
     tree = spans.assembled(spark.createDataFrame([("r1", "pipeline", 0, 10, 90), ("r1", "search", 1, 20, 30)], INTERVALS))
     lines = [json.loads(r.value) for r in spans.otlp_lines(tree.withColumn("attributes", F.create_map(F.lit("k"), F.lit('a "b"'))), "svc").collect()]

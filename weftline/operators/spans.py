@@ -9,7 +9,8 @@ interval, the deepest, then the shortest, then the latest, then the one with the
   then, from that child's start, the one that ends last before it, and so on.  Roots are on it.
 - ``path_us``: the span's own part of that path, 0 off the path.  The parts of a tree sum up to its root's duration.
 
-A span's children are folded in order: at most the documents of a request, which the settings bound.
+A span's children are merged by their starts and by their ends before they are read in order, so equal times cost nothing; the spans over the deepest
+level of a trace are its stages, and each other span meets those only.
 
 Defined cases: rows without a start are left out; a missing end, or one before the start, is the start; equal rows are spans of
 their own; a null trace or name is an empty one; extra columns are left out, but for ``attributes`` in ``otlp_lines``.
@@ -17,6 +18,9 @@ their own; a null trace or name is an empty one; extra columns are left out, but
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tables import scratch, written
@@ -43,44 +47,70 @@ def identified(intervals: DataFrame) -> DataFrame:
     return rows.select(*fields, F.substring(F.sha2(F.concat_ws("|", *fields, number), 256), 1, 16).alias("span_id"))
 
 
-def with_parents(spans: DataFrame) -> DataFrame:
-    """Adds parent_id, by an equi-join on the trace."""
+def with_parents(spans: DataFrame, folder: str) -> DataFrame:
+    """Adds parent_id, by an equi-join on the trace with the spans that may hold others: those over the trace's deepest level."""
+    deepest = spans.groupBy(F.col("trace_id").alias("_t")).agg(F.max("level").alias("_deepest"))
     holder = F.struct(F.col("level").alias("l"), (F.col("started") - F.col("ended")).alias("d"), F.col("started").alias("s"), F.col("span_id").alias("id"))
-    over = spans.select(F.col("trace_id").alias("_t"), F.col("started").alias("_a"), F.col("ended").alias("_b"), holder.alias("_p"))
+    above = spans.join(deepest, F.col("trace_id") == F.col("_t")).where(F.col("level") < F.col("_deepest"))
+    over = written(above.select("_t", F.col("started").alias("_a"), F.col("ended").alias("_b"), holder.alias("_p")), folder, "holders")
     holds = (F.col("trace_id") == F.col("_t")) & (F.col("_p.l") < F.col("level")) & (F.col("_a") <= F.col("started")) & (F.col("_b") >= F.col("ended"))
-    best = spans.join(over, holds).groupBy("span_id").agg(F.max("_p")["id"].alias("parent_id"))
-    return spans.join(best, "span_id", "left")
+    return spans.join(over, holds, "left").groupBy(*spans.columns).agg(F.max("_p")["id"].alias("parent_id"))
+
+
+def deciding(children: DataFrame) -> DataFrame:
+    """(parent_id, ended, began, id): the ends at which a parent's critical path goes back, and the child with that end that it takes.
+
+    Of the children with one end, those without length decide first, all of them, then the one that began last (``id``, null if none has a
+    length), and no other; so a parent is its different ends, read in order as a stream.
+    """
+    ran = F.when(F.col("started") < F.col("ended"), F.struct((-F.col("started")).alias("s"), F.col("span_id").alias("id")))
+    ends = children.groupBy("parent_id", "ended").agg(F.min(ran).alias("r")).select("parent_id", "ended", (-F.col("r.s")).alias("began"), F.col("r.id").alias("id"))
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent, until = None, 0
+        for batch in batches:
+            fits = []
+            for own, ended, began in zip(*(batch.column(c).to_pylist() for c in ("parent_id", "ended", "began")), strict=True):
+                if own != parent:
+                    parent, until = own, ended
+                fits.append(ended <= until)
+                if fits[-1] and began is not None:
+                    until = began
+            yield batch.filter(pa.array(fits, pa.bool_()))
+
+    return ends.repartition("parent_id").sortWithinPartitions("parent_id", F.desc("ended")).mapInArrow(back, ends.schema)
 
 
 def assembled(intervals: DataFrame) -> DataFrame:
     """(trace_id, span_id, parent_id, name, level, started, ended, self_us, on_path, path_us) of all intervals."""
     folder = scratch(intervals.sparkSession)
-    tree = written(with_parents(written(identified(intervals), folder, "spans")), folder, "tree")
+    tree = written(with_parents(written(identified(intervals), folder, "spans"), folder), folder, "tree")
     children = tree.where("parent_id is not null")
-    # what children cover: each adds what lies behind all that began before it
-    so_far = F.max("ended").over(Window.partitionBy("trace_id", "parent_id").orderBy("started", "ended", "span_id").rowsBetween(Window.unboundedPreceding, -1))
+    # what children cover: each start adds what lies behind all that began before it
+    starts = children.groupBy("parent_id", "started").agg(F.max("ended").alias("ended"))
+    so_far = F.max("ended").over(Window.partitionBy("parent_id").orderBy("started").rowsBetween(Window.unboundedPreceding, -1))
     added = F.greatest(F.lit(0), F.col("ended") - F.greatest("started", F.coalesce(so_far, F.col("started"))))
-    covered = children.withColumn("added", added).groupBy("parent_id").agg(F.sum("added").alias("covered"))
-    child = F.struct((-F.col("ended")).alias("e"), (-F.col("started")).alias("s"), F.col("span_id").alias("id"))
-    state = F.struct(F.lit(1 << 62).alias("until"), F.array().cast("array<string>").alias("ids"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = -x["e"] <= a["until"]
-        return F.struct(F.when(fits, -x["s"]).otherwise(a["until"]).alias("until"), F.when(fits, F.array_append(a["ids"], x["id"])).otherwise(a["ids"]).alias("ids"))
-
-    folded = children.groupBy("parent_id").agg(F.array_sort(F.collect_list(child)).alias("c"))
-    deciding = folded.select(F.explode(F.aggregate("c", state, step)["ids"]).alias("span_id")).withColumn("decides", F.lit(True))
-    flagged = tree.join(deciding, "span_id", "left").withColumn("decides", F.col("parent_id").isNull() | F.coalesce("decides", F.lit(False)))
-    flagged = written(flagged, folder, "flagged")
-    # on the path: a span that decides and whose ancestors all do, level by level
-    known = flagged.select("span_id", "parent_id", "decides")
-    path = known
-    for _ in range(LEVELS - 1):
+    covered = starts.withColumn("added", added).groupBy("parent_id").agg(F.sum("added").alias("covered"))
+    taken = written(deciding(children), folder, "taken")
+    spent = taken.groupBy("parent_id").agg(F.sum(F.col("ended") - F.coalesce("began", "ended")).alias("spent"))
+    sums = covered.join(spent, "parent_id").withColumnRenamed("parent_id", "_id")
+    at = taken.select(F.col("parent_id").alias("_p"), F.col("ended").alias("_e"), F.coalesce("id", F.lit("")).alias("_best"))
+
+    def decided(spans: DataFrame) -> DataFrame:
+        met = spans.join(at, (F.col("parent_id") == F.col("_p")) & (F.col("ended") == F.col("_e")), "left")
+        own = F.col("_p").isNotNull() & ((F.col("started") == F.col("ended")) | (F.col("span_id") == F.col("_best")))
+        return met.withColumn("decides", F.col("parent_id").isNull() | own).drop("_p", "_e", "_best")
+
+    # on the path: a span that decides and whose ancestors all do, level by level; only spans with children are ancestors
+    parents = written(decided(tree.join(sums, F.col("span_id") == F.col("_id")).drop("_id")), folder, "parents")
+    path = known = parents.select("span_id", "parent_id", "decides", "covered", "spent")
+    for _ in range(LEVELS - 2):
         above = known.select(F.col("span_id").alias("_id"), F.col("parent_id").alias("_up"), F.col("decides").alias("_d"))
-        path = path.join(above, F.col("parent_id") == F.col("_id"), "left").select("span_id", F.col("_up").alias("parent_id"), (F.col("decides") & F.coalesce("_d", F.lit(True))).alias("decides"))
-    on = flagged.drop("decides").join(path.select("span_id", F.col("decides").alias("on_path")), "span_id")
-    spent = on.where("on_path and parent_id is not null").groupBy(F.col("parent_id").alias("span_id")).agg(F.sum(F.col("ended") - F.col("started")).alias("spent"))
-    out = on.join(covered.withColumnRenamed("parent_id", "span_id"), "span_id", "left").join(spent, "span_id", "left")
+        path = path.join(above, F.col("parent_id") == F.col("_id"), "left").select("span_id", F.col("_up").alias("parent_id"), (F.col("decides") & F.coalesce("_d", F.lit(True))).alias("decides"), "covered", "spent")
+    path = written(path, folder, "path")
+    over = path.select(F.col("span_id").alias("_up"), F.col("decides").alias("_on"))
+    out = decided(tree).join(over, F.col("parent_id") == F.col("_up"), "left").withColumn("on_path", F.col("decides") & F.coalesce("_on", F.lit(True)))
+    out = out.join(path.select("span_id", "covered", "spent"), "span_id", "left")
     length = F.col("ended") - F.col("started")
     return out.select(
         "trace_id", "span_id", "parent_id", "name", "level", "started", "ended", (length - F.coalesce("covered", F.lit(0))).alias("self_us"),
