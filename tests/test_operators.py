@@ -300,6 +300,20 @@ def test_statuses(spark):
     assert got["blocked"].content is None and got["ok"].results[0].scraper_level == 0
 
 
+def test_pages_of_one_url(spark):
+    """Of several pages of a URL, and several rendered ones of a page, one counts: a result stays one row."""
+    requests = spark.createDataFrame([("r", "q", "", "", 5)], "request_id string, query string, category string, language string, max_results int")
+    urls = ["http://a.com/1", "http://a.com/2"]
+    found = spark.createDataFrame([("r", k + 1, u, "t", "s", "e", ["e"], 0.5, "") for k, u in enumerate(urls)], RESULT)
+    body = "<html><body><article><h1>T</h1><p>{}</p></article></body></html>"
+    pages = [(7, urls[0], body.format("later words " * 80)), (3, urls[0], body.format("first words " * 80)), (None, urls[0], body.format("nameless words " * 80)), (4, urls[1], None)]
+    l0 = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rendered = spark.createDataFrame([(4, urls[1], 1, body.format("rendered words " * 80))] * 2, "page_id long, url string, level int, html string")
+    got = engine.web_search(requests, found, spark.createDataFrame([], "host string, status int, body string"), l0, rendered, Config()).first()
+    assert (got.results_after, got.scraped, got.n_results) == (2, 2, 2) and [r.url for r in got.results] == urls
+    assert "first words" in got.content and "later words" not in got.content and "rendered words" in got.content
+
+
 def test_health():
     from weftline.sources.health import health
 
