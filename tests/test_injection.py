@@ -6,11 +6,14 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import Injection
 from weftline.operators import injection
+from weftline.plans.queries import QUERIES
 
 SETTINGS = {"enabled": True, "threshold": 0.5, "max_chunk_bytes": 200}
 
@@ -64,6 +67,27 @@ def test_chunks_are_linear():
         assert time.time() - began < 5 and len(at) >= len(text) // 1300 and size.sum() <= len(text) and size.max() <= 1200
 
 
+def test_chunks_of_a_large_batch():
+    """A batch of 32 MiB goes by in runs of about one, nulls and a long text too, and the other columns stay with their rows."""
+    data = ["some words here\n\n" * 200] * 10_000 + [None, "", "y" * (3 << 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(data))), pa.array(data)], names=["i", "content"])
+    held, seen = pa.total_allocated_bytes(), 0
+    for part in injection.chunk_batches(iter([batch.slice(0, 10), batch.slice(10)]), 1200, "content"):
+        assert pa.total_allocated_bytes() - held < 16 << 20 and part.num_rows * 3_400 < 2 << 20
+        assert part.column("i").to_pylist() == list(range(seen, seen + part.num_rows))
+        sizes = pc.list_value_length(part.column("chunks")).to_pylist()
+        assert sizes == [(3 << 20) // 1200 + 1 if t and t[0] == "y" else 200 if t else 0 for t in data[seen : seen + part.num_rows]]
+        seen += part.num_rows
+    assert seen == len(data)
+
+
+@pytest.mark.parametrize("name", ["inj_chunks", "inj_chunks_paragraphs", "inj_scores", "inj_block"])
+def test_chunks_are_made_once(spark, sf_dir, name):
+    """The generator's filter doesn't run the pass a second time, in a worker of its own."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize("limit", [9, 40])
 def test_marks(spark, limit):
     """Marks around chunks over the threshold; without them, each text is as before."""

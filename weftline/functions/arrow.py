@@ -26,3 +26,11 @@ def slices(strings: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
         yield strings.slice(start, stop - start)
         start = stop
+
+
+def sliced(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in runs with about ``limit`` bytes of a column's strings, or a single one: what is made of a run is sent before the next is begun."""
+    at = 0
+    for some in slices(batch.column(column), limit):
+        yield batch.slice(at, len(some))
+        at += len(some)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..config import Injection
-from ..functions.arrow import slices, utf8
+from ..functions.arrow import sliced, slices, utf8
 from ..functions.models import halved
 from ..functions.once import evaluated, let
 
@@ -111,14 +111,26 @@ def _chunked(texts: pa.Array, limit: int) -> pa.Array:
 
 
 def with_chunks(docs: DataFrame, limit: int = Injection.max_chunk_bytes, text: str = "content") -> DataFrame:
-    """Adds chunks, by one Arrow pass over offsets that is linear in the bytes; a null text has none."""
+    """Adds chunks, by one Arrow pass over offsets that is linear in the bytes; a null text has none.
+
+    Rows go by in runs of about a MiB of text, so a worker holds the chunks of one run, whatever the batch; nor can the optimizer run the
+    pass twice, as it does with a column that a generator or a filter uses.
+    """
     limit = limit if limit > 0 else 1200
+    rest = docs.drop("chunks")
+    schema = StructType([*rest.schema.fields, StructField("chunks", DataType.fromDDL(CHUNK))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return chunk_batches(batches, limit, text)
+
+    return rest.mapInArrow(run, schema)
 
-    @F.arrow_udf(CHUNK)
-    def chunked(texts: pa.Array) -> pa.Array:
-        return _chunked(texts, limit)
 
-    return docs.withColumn("chunks", chunked(F.col(text)))
+def chunk_batches(batches: Iterator[pa.RecordBatch], limit: int, text: str) -> Iterator[pa.RecordBatch]:
+    """The rows with their chunks, in smaller batches."""
+    for batch in batches:
+        for part in sliced(batch, text):
+            yield pa.RecordBatch.from_arrays([*part.columns, _chunked(part.column(text), limit)], names=[*part.schema.names, "chunks"])
 
 
 def keyword_score(text: Column) -> Column:
@@ -192,7 +204,7 @@ def classify(docs: DataFrame, make: Callable[[], Callable[[list[str]], list]], c
     A chunk that fails has null scores, and with it its document is unchecked (``process``).  Documents with equal texts are one
     until the end, and chunks go by their hash, so a frequent text or chunk is a row.
     """
-    rows = evaluated(with_chunks(docs, config.max_chunk_bytes, text), "chunks").withColumn("_text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    rows = with_chunks(docs, config.max_chunk_bytes, text).withColumn("_text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     whole = rows.select("_text", "chunks").dropDuplicates(["_text"]).select("_text", F.inline("chunks"))
     each = whole.select("_text", "index", "length", "text", F.sha2("text", 256).alias("_chunk"))
     told = each.groupBy("_chunk").agg(F.first("text").alias("text")).select("_chunk", batched(make, batch)(F.col("text")).alias("told"))
@@ -213,7 +225,7 @@ def process(docs: DataFrame, config: Injection = Injection(enabled=True), text:
     if not config.enabled:
         return docs.withColumns({"inj_content_length": F.octet_length(text), "inj_checked": F.lit(False), "inj_action": F.lit("skipped"), "inj_blocked": F.lit(False), "inj_mode": F.lit(config.mode), "chunk_count": F.lit(0), "over_count": F.lit(0), "max_score": F.lit(0.0), "mean_score": F.lit(None).cast("double")})
     mode = config.mode if config.mode in ("audit", "annotate", "block") else "audit"
-    rows = classify(docs, classifier, config, text) if classifier else score_chunks(evaluated(with_chunks(docs, config.max_chunk_bytes, text), "chunks"), config, scorer)
+    rows = classify(docs, classifier, config, text) if classifier else score_chunks(with_chunks(docs, config.max_chunk_bytes, text), config, scorer)
     rows = evaluated(rows, "chunk_scores")
     scores = F.transform("chunk_scores", lambda s: s["injection_score"])
     n = F.size("chunk_scores")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import PII, Config, Injection, Policy, Rerank
 from ..functions import html as H, text as T, urls as U
-from ..functions.once import let
+from ..functions.once import evaluated, let
 from ..operators import extract, format as fmt, injection, pii, policy, provenance, rank, scrape, search, spans, telemetry
 from ..streaming import alerts
 from . import engine
@@ -463,7 +463,7 @@ def inj_chunks(spark, sf_dir):
     """Chunks of all documents at the default limit; long paragraphs are packed by lines, and hashed by their bytes."""
     rows = injection.with_chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
     hashed = lambda data: F.transform("chunks", lambda c: F.struct(c["index"].alias("idx"), c["byte_offset"].alias("byte_offset"), c["length"].alias("length"), F.sha2(F.substring(data, c["byte_offset"] + 1, c["length"]), 256).alias("chunk_hash")))
-    return rows.select("doc_id", F.inline(let(F.encode("content", "UTF-8"), hashed)))
+    return evaluated(rows.select("doc_id", let(F.encode("content", "UTF-8"), hashed).alias("c")), "c").select("doc_id", F.inline("c"))
 
 
 @query(_CHUNKS + " SELECT doc_id, idx, CAST(off AS INT) AS byte_offset, CAST(strlen(t) AS INT) AS length, sha256(t) AS text_hash FROM chunks")
@@ -485,7 +485,7 @@ def inj_pick_scores(spark, sf_dir):
 @query(_CHUNKS + " SELECT doc_id, idx, score AS injection_score, score > 0.85 AS over_threshold FROM scored")
 def inj_scores(spark, sf_dir):
     rows = injection.score_chunks(injection.with_chunks(view(spark, sf_dir, "para_docs"), WHOLE), WHOLE_CHUNKS)
-    return rows.select("doc_id", F.inline("chunk_scores")).select("doc_id", F.col("index").alias("idx"), "injection_score", "over_threshold")
+    return evaluated(rows.select("doc_id", "chunk_scores"), "chunk_scores").select("doc_id", F.inline("chunk_scores")).select("doc_id", F.col("index").alias("idx"), "injection_score", "over_threshold")
 
 
 def phrase_model():
