@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,6 +315,17 @@ def test_pages_of_one_url(spark):
     assert "first words" in got.content and "later words" not in got.content and "rendered words" in got.content
 
 
+def test_articles_of_a_large_batch():
+    """A batch goes by in runs of about a MiB of HTML; other columns, nulls and a long page stay in their places."""
+    pages = ["<html><title>T</title><body><p>" + "words " * 500 + "</p></body></html>"] * 3_000 + [None, "", "<p>" + "x" * (2 << 20) + "</p>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], names=["i", "html"])
+    parts = list(extract.article_batches(iter([batch.slice(0, 7), batch.slice(7)]), "html", ["i"], ["title", "markdown", "text", "excerpt", "site"]))
+    assert len(parts) > 8 and max(p.num_rows for p in parts) < 400
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert [r["i"] for r in rows] == list(range(len(pages))) and rows[2999]["markdown"] == ("words " * 500).strip() and rows[2999]["title"] == "T"
+    assert [len(r["markdown"]) for r in rows[3000:]] == [0, 0, 2 << 20]
+
+
 def test_health():
     from weftline.sources.health import health
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from ..config import PII
+from ..functions.arrow import slices
 from ..functions.models import halved
 from ..functions.once import evaluated
 
@@ -52,6 +53,7 @@ ENTITIES = "array<struct<entity_type: string, start: int, end: int, score: doubl
 _SPANS = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 BATCH = 64
+RUN = 1 << 20  # bytes of text that are Python's strings at once, or a single text
 
 Span = tuple[str, int, int, float]
 
@@ -146,8 +148,10 @@ def detect(docs: DataFrame, text: str = "content", config: PII = PII(), detector
     def entities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         look = _looking(config, detectors)
         for texts in batches:
-            found = look(texts.to_pylist())
-            yield pa.array([None if f is None else [{"entity_type": e, "start": a, "end": b, "score": s} for e, a, b, s in f] for f in found], _SPANS)
+            done = [pa.array([], _SPANS)]
+            for some in slices(texts, RUN):
+                done.append(pa.array([None if f is None else [{"entity_type": e, "start": a, "end": b, "score": s} for e, a, b, s in f] for f in look(some.to_pylist())], _SPANS))
+            yield pa.concat_arrays(done)
 
     return docs.withColumn("entities", entities(F.col(text)))
 
@@ -161,17 +165,21 @@ def replaced(entity: str, match: str) -> str:
 
 @F.arrow_udf(StringType())
 def _redacted(texts: pa.Array, entities: pa.Array) -> pa.Array:
-    out = []
-    for text, spans in zip(texts.to_pylist(), entities.to_pylist(), strict=True):
-        if text is None or spans is None:
-            out.append(text)
-            continue
-        pieces, at = [], 0
-        for s in spans:
-            pieces += [text[at : s["start"]], replaced(s["entity_type"], text[s["start"] : s["end"]])]
-            at = s["end"]
-        out.append("".join([*pieces, text[at:]]))
-    return pa.array(out, pa.string())
+    done, first = [pa.array([], pa.string())], 0
+    for some in slices(texts, RUN):
+        out = []
+        for text, spans in zip(some.to_pylist(), entities.slice(first, len(some)).to_pylist(), strict=True):
+            if text is None or spans is None:
+                out.append(text)
+                continue
+            pieces, at = [], 0
+            for s in spans:
+                pieces += [text[at : s["start"]], replaced(s["entity_type"], text[s["start"] : s["end"]])]
+                at = s["end"]
+            out.append("".join([*pieces, text[at:]]))
+        done.append(pa.array(out, pa.string()))
+        first += len(some)
+    return pa.concat_arrays(done)
 
 
 def redact(text: Column, entities: Column) -> Column:
