@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -88,6 +90,12 @@ def test_chunks_are_made_once(spark, sf_dir, name):
     assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
 
 
+def test_workers_of_chunks_load_no_models():
+    """Each worker imports the module anew, so what it loads counts once for every core."""
+    code = "import sys, weftline.operators.injection; print([m for m in ('pandas', 'pyspark.ml') if m in sys.modules])"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "[]"
+
+
 @pytest.mark.parametrize("limit", [9, 40])
 def test_marks(spark, limit):
     """Marks around chunks over the threshold; without them, each text is as before."""

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -182,6 +181,7 @@ def batched(make: Callable[[], Callable[[list[str]], list]], batch: int = 64) ->
     ``make`` loads the model once a worker; the model takes a list of texts and gives for each a list of (label, score).  Where it
     raises or gives another number of answers, the batch is halved until the texts that fail are alone; those are not ok.
     """
+    from pyspark.ml.functions import predict_batch_udf  # here, for workers that only make chunks: it loads all of pyspark.ml and pandas
 
     def load() -> Callable[[np.ndarray], list[dict]]:
         model = make()
