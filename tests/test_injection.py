@@ -96,6 +96,13 @@ def test_workers_of_chunks_load_no_models():
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "[]"
 
 
+@pytest.mark.parametrize("name", ["inj_scores", "inj_block"])
+def test_a_chunk_is_lowered_once(spark, sf_dir, name):
+    """The scorer's words share one lower-cased chunk, and a chunk's columns share one score."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
 @pytest.mark.parametrize("limit", [9, 40])
 def test_marks(spark, limit):
     """Marks around chunks over the threshold; without them, each text is as before."""

@@ -134,9 +134,12 @@ def chunk_batches(batches: Iterator[pa.RecordBatch], limit: int, text: str) -> I
 
 def keyword_score(text: Column) -> Column:
     """The built-in scorer."""
-    low = F.lower(text)
-    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
-    return F.when(has(STRONG), F.lit(STRONG_SCORE)).when(has(WEAK), F.lit(WEAK_SCORE)).otherwise(F.lit(BENIGN_SCORE))
+
+    def scored(low: Column) -> Column:
+        has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+        return F.when(has(STRONG), F.lit(STRONG_SCORE)).when(has(WEAK), F.lit(WEAK_SCORE)).otherwise(F.lit(BENIGN_SCORE))
+
+    return let(F.lower(text), scored)
 
 
 def pick_scores(labels: Column, label: str = Injection.label) -> Column:
@@ -151,8 +154,8 @@ def score_chunks(docs: DataFrame, config: Injection = Injection(), scorer=keywor
     """Adds scores to chunks: an array of (index, length, injection_score, benign_score, over_threshold) by ``scorer`` (text -> score column)."""
 
     def row(c: Column) -> Column:
-        s = scorer(c["text"])
-        return F.struct(c["index"].alias("index"), c["length"].alias("length"), s.alias("injection_score"), (1.0 - s).alias("benign_score"), (s > config.threshold).alias("over_threshold"))
+        told = lambda s: F.struct(c["index"].alias("index"), c["length"].alias("length"), s.alias("injection_score"), (1.0 - s).alias("benign_score"), (s > config.threshold).alias("over_threshold"))
+        return let(scorer(c["text"]), told)
 
     return docs.withColumn("chunk_scores", F.transform("chunks", row))
 
