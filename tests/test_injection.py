@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import Injection
 from weftline.operators import injection
-from weftline.plans.queries import QUERIES
+from weftline.plans.queries import QUERIES, WHOLE
 
 SETTINGS = {"enabled": True, "threshold": 0.5, "max_chunk_bytes": 200}
 
@@ -83,6 +83,43 @@ def test_chunks_of_a_large_batch():
     assert seen == len(data)
 
 
+PEAK = """if True:
+    import sys
+    import pyarrow as pa
+    from weftline.operators import injection
+
+    def most():
+        return int(open("/proc/self/status").read().split("VmHWM:")[1].split()[0]) >> 10
+
+    def batches():
+        for _ in range(count):
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([text] * texts)], names=["content"])
+            yield batch
+
+    count, texts, paragraphs, limit = map(int, sys.argv[1:])
+    text = pa.array([("some words here " * 4 + "\\n\\n") * paragraphs])
+    began = most()
+    assert sum(part.num_rows for part in injection.chunk_batches(batches(), limit, "content")) == count * texts
+    print(most() - began)
+"""
+
+
+def peak(*args):
+    """MB that a new worker needs for so many batches of so many texts of so many paragraphs."""
+    return int(subprocess.run([sys.executable, "-c", PEAK, *map(str, args)], capture_output=True, text=True, check=True).stdout)
+
+
+def test_a_worker_holds_two_batches_and_a_run():
+    """Of whole paragraphs too, a worker's peak is two batches (32 MB each; Spark keeps one until it has read the next) and little more; more batches don't raise it."""
+    low, high = peak(2, 10_000, 50, WHOLE), peak(8, 10_000, 50, WHOLE)
+    assert high < 2 * 32 + 64 and high - low < 16
+
+
+def test_a_long_text_takes_little_more():
+    """A text of 32 MB goes by alone; in paragraphs as short as these, what is made of it stays under ten times its size."""
+    assert peak(1, 1, 500_000, WHOLE) < 10 * 32
+
+
 @pytest.mark.parametrize("name", ["inj_chunks", "inj_chunks_paragraphs", "inj_scores", "inj_block"])
 def test_chunks_are_made_once(spark, sf_dir, name):
     """The generator's filter doesn't run the pass a second time, in a worker of its own."""

@@ -69,8 +69,8 @@ def chunk_places(raw: np.ndarray, off: np.ndarray, limit: int) -> tuple[np.ndarr
     feeds = np.flatnonzero(raw == 10)
     of, start, end = _paragraphs(raw, off, feeds)
     size = end - start
-    solid = np.concatenate([[0], np.cumsum(_ASCII_SOLID[raw], dtype=np.int32)])
-    full = solid[end] > solid[start]
+    solid = np.append(_ASCII_SOLID[raw], False)  # a byte each: a sum over the bytes would take eight
+    full = np.logical_or.reduceat(solid, np.column_stack([start, end]).ravel())[::2] & (size > 0)
     for k in np.flatnonzero(~full & (size > 0)):  # white space, or no ASCII at all
         full[k] = _SOLID.search(raw[start[k] : end[k]].tobytes().decode(errors="replace")) is not None
     short = full & (size <= limit)
@@ -98,11 +98,11 @@ def _chunked(texts: pa.Array, limit: int) -> pa.Array:
     for some in slices(texts):
         raw, off = utf8(some)
         owner, at, size = chunk_places(raw, off, limit)
-        data = raw.tobytes()
+        data = memoryview(raw)
         count = np.bincount(owner, minlength=len(some)) if len(owner) else np.zeros(len(some), np.int64)
         ends = np.cumsum(count)
         index = np.arange(len(owner)) - np.repeat(ends - count, count)
-        text = pa.array([data[a : a + n].decode(errors="replace") for a, n in zip(at.tolist(), size.tolist(), strict=True)], pa.string())
+        text = pa.array([str(data[a : a + n], "utf-8", "replace") for a, n in zip(at.tolist(), size.tolist(), strict=True)], pa.string())
         fields = [pa.array(index.astype(np.int32)), text, pa.array((at - off[:-1][owner]).astype(np.int32)), pa.array(size.astype(np.int32))]
         items = pa.StructArray.from_arrays(fields, names=["index", "text", "byte_offset", "length"])
         done.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), items))
